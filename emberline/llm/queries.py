@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import budget, encoding, mixing, packing, proportions
+from emberline.llm import budget, encoding, mixing, mojibake, packing, proportions
 from emberline.session import staged
 from emberline.sources.tables import table
 
@@ -115,9 +115,25 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(*_mix(spark, sf_dir))
 
 
+# -- problem 9 ---------------------------------------------------------------------------------------------------------
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.find_garbled(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with a garbled passage."""
+    return _garbled(spark, sf_dir).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents with the chain of decodings and the original text, null where bytes were lost."""
+    return _garbled(spark, sf_dir)
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report, "p5_budget": p5_budget, "p5_totals": p5_totals, "p6_found": p6_found,
     "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report,
+    "p9_found": p9_found, "p9_restored": p9_restored,
 }
 
 ORACLE = {
