@@ -96,9 +96,17 @@ class CutModel:
         return max(1.0 / (1.0 + np.exp(-np.clip(self.weights[p].sum(), -30, 30))) for p in parts)
 
     @classmethod
-    def fit(cls, values: list[str], seed: int = 7, passes: int = 60) -> CutModel:
-        """On artificially cut copies of the values that look intact."""
+    def fit(cls, values: list[str], prompts: list[str] | None = None, seed: int = 7, passes: int = 60) -> CutModel:
+        """On artificially cut copies of the values that look intact; lines of prompts are further intact texts."""
         examples, labels = make_examples(values, seed)
+        rng = random.Random(seed)
+        for prompt in prompts or []:
+            lines = prompt.split("\n")
+            for _ in range(2):
+                text = strip_blank("\n".join(lines[: rng.randrange(1, len(lines) + 1)]))
+                if is_running(text):
+                    examples.append(end_features(read_end(text), "prose", len(text)))
+                    labels.append(0)
         if not examples:
             return cls(np.zeros(DIMS, np.float32))
         sizes = np.array([len(e) for e in examples])

@@ -4,11 +4,70 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import budget, encoding, mixing, mojibake, packing, proportions
+from emberline.llm import budget, cutoff, encoding, mixing, mojibake, packing, pairs, proportions
 from emberline.session import staged
 from emberline.sources.tables import table
 
 
+# -- problems 1 and 4 --------------------------------------------------------------------------------------------------
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, row_id, prompt, response) of both tables; redelivered rows repeat."""
+    traces = table(spark, sf_dir, "player_trace").select(F.lit("player_trace").alias("tab"), F.col("trace_id").alias("row_id"), "prompt", "response")
+    contents = lambda c: F.array_join(cutoff.completion_texts(F.col(c)), "\n")
+    kto = table(spark, sf_dir, "kto_dataset").select(
+        F.lit("kto_dataset").alias("tab"), F.col("sample_id").alias("row_id"), contents("prompt").alias("prompt"), contents("completion").alias("response")
+    )
+    return traces.unionByName(kto)
+
+
+def _labelled_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "kto_dataset").select(F.array_join(cutoff.completion_texts(F.col("prompt")), "\n").alias("text"), "lang")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defective pairs with their defects. Rows are judged where they are read; only keys and defects are shuffled."""
+    rows = _pairs(spark, sf_dir)
+    model = pairs.PairModel.fit(pairs.sample_prompts(_labelled_prompts(spark, sf_dir)), pairs.sample_pairs(rows))
+    return pairs.find_defects(rows, model, ["tab", "row_id"]).distinct()
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, defect, pairs)."""
+    return p1_found(spark, sf_dir).groupBy("tab", "defect").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def _cut_scores(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(tab, row_id, source columns..., probability) of every value."""
+    rows = _pairs(spark, sf_dir)
+    sample = pairs.sample_pairs(rows, cutoff.SAMPLE_VALUES)
+    model = cutoff.CutModel.fit([r for _, r in sample], [p for p, _ in sample])
+    traces = table(spark, sf_dir, "player_trace").select(
+        F.lit("player_trace").alias("tab"), F.col("trace_id").alias("row_id"), "game_path", "player_id", F.lit(None).cast("string").alias("source_model"), F.col("response").alias("text")
+    )
+    kto = table(spark, sf_dir, "kto_dataset").select(
+        F.lit("kto_dataset").alias("tab"), F.col("sample_id").alias("row_id"), F.lit(None).cast("string").alias("game_path"), F.lit(None).cast("int").alias("player_id"), "source_model",
+        F.explode_outer(cutoff.completion_texts(F.col("completion"))).alias("text"),
+    )
+    return cutoff.score_values(traces.unionByName(kto), model, ["tab", "row_id", *more])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that were cut off."""
+    return _cut_scores(spark, sf_dir).filter(F.col("probability") >= cutoff.LIMIT).select("tab", "row_id").distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, source_model, records, cut, share): how often each source's values are cut. A record counts once."""
+    scored = _cut_scores(spark, sf_dir, "game_path", "player_id", "source_model")
+    records = scored.groupBy("tab", "row_id", "game_path", "player_id", "source_model").agg((F.max("probability") >= cutoff.LIMIT).alias("cut"))
+    players = table(spark, sf_dir, "role_model").groupBy("game_path", F.col("id").alias("player_id")).agg(F.max("model").alias("model"))
+    # counted per player before the join, so that a game or a source with most of the rows is no hot key
+    counts = records.groupBy("tab", "game_path", "player_id", "source_model").agg(F.count(F.lit(1)).alias("records"), F.count_if("cut").alias("cut"))
+    known = counts.join(players, ["game_path", "player_id"], "left").withColumn("source_model", F.coalesce("source_model", "model"))
+    out = known.groupBy("tab", "source_model").agg(F.sum("records").alias("records"), F.sum("cut").alias("cut"))
+    return out.withColumn("share", F.col("cut") / F.col("records"))
+
+
 # -- problem 2 ---------------------------------------------------------------------------------------------------------
 def _draw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     samples = staged(proportions.usable_samples(table(spark, sf_dir, "kto_dataset")), "samples")
@@ -131,6 +190,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_rates": p4_rates,
     "p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report, "p5_budget": p5_budget, "p5_totals": p5_totals, "p6_found": p6_found,
     "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report,
     "p9_found": p9_found, "p9_restored": p9_restored,
