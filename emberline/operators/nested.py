@@ -155,11 +155,14 @@ def learn_plan(texts: DataFrame, text: str, reader: Reader) -> Plan:
     return plan_tables([tuple(r) for r in graph])
 
 
-def _emit(reader: Reader, plan: Plan, root: object) -> Iterator[tuple]:
+def _emit(reader: Reader, plan: Plan, root: object, only: Callable[[str], bool]) -> Iterator[tuple]:
     """Rows (table, parent table, path, place, member, item text, columns) of a record, parents before children."""
     todo: list[tuple] = [(ROOT, None, (), None, ROOT, root)]
     while todo:
         table, parent_table, path, place, member, value = todo.pop()
+        wanted = only(table)
+        if not wanted and not isinstance(value, (dict, list)):
+            continue
         columns: dict[str, str | None] = {}
         below: list[tuple] = []
         inline: list[tuple[str, str, object]] = [("", table, value)]
@@ -173,26 +176,29 @@ def _emit(reader: Reader, plan: Plan, root: object) -> Iterator[tuple]:
                         below.append((label, table, (*path, at), at, element if number is not None else name, child))
                     elif isinstance(child, (dict, list)):
                         inline.append((f"{prefix}{name.partition(':')[0]}.", label, child))
-                    else:
+                    elif wanted:
                         columns[prefix + name] = scalar_text(child)
             elif isinstance(v, list):
                 for i, child in enumerate(v, 1):
                     if child is not None:
                         below.append((f"{element}[]", table, (*path, i), i, element, child))
-        text = None if isinstance(value, (dict, list)) else scalar_text(value)
-        yield table, parent_table, list(path), place, member, text, columns
+        if wanted:
+            text = None if isinstance(value, (dict, list)) else scalar_text(value)
+            yield table, parent_table, list(path), place, member, text, columns
         todo.extend(reversed(below))
 
 
-def shred(texts: DataFrame, key: str, text: str, reader: Reader, plan: Plan | None = None) -> DataFrame:
+def shred(texts: DataFrame, key: str, text: str, reader: Reader, plan: Plan | None = None, only: set[str] | None = None) -> DataFrame:
     """(rec_id, table, parent_table, path, place, member, item_text, columns): the rows of all tables.
 
-    ``columns`` holds the inlined members by dotted name; ``flat_table`` makes a table of named columns of it.
+    ``columns`` holds the inlined members by dotted name; ``flat_table`` makes a table of named columns of it. ``only``
+    names the tables that are asked for; the rows of others aren't made.
     """
     plan = plan or learn_plan(texts, text, reader)
     kind = texts.schema[key].dataType.simpleString()
     types = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
     names = ["table", "parent_table", "path", "place", "member", "item_text", "columns"]
+    wanted = only.__contains__ if only is not None else lambda _: True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +206,7 @@ def shred(texts: DataFrame, key: str, text: str, reader: Reader, plan: Plan | No
             for i, t in enumerate(batch.column(1).to_pylist()):
                 root = reader.parse(t) if t is not None else None
                 if root is not None:
-                    for row in _emit(reader, plan, root):
+                    for row in _emit(reader, plan, root, wanted):
                         ids.append(i)
                         rows.append(row)
             cols = [batch.column(0).take(pa.array(ids, pa.int64()))]

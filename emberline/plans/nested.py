@@ -13,27 +13,28 @@ _SOURCES = {"game_log": ("file_id", "payload", GAME_LOG), "agent_log": ("line_id
 CONTENT_LISTS = ["wolf_team", "dead_list", "speech_queue", "vote_queue"]
 
 
-def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The shredded rows of a source. Redelivered records give repeated rows."""
+def rows_of(spark: SparkSession, sf_dir: str, name: str, *only: str) -> DataFrame:
+    """The shredded rows of a source, of the tables ``only`` where any are given. Redelivered records give repeated rows."""
     key, text, reader = _SOURCES[name]
-    return shred(table(spark, sf_dir, name).select(key, text), key, text, reader)
+    return shred(table(spark, sf_dir, name).select(key, text), key, text, reader, only=set(only) or None)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The child items of all three sources. Only narrow rows are shuffled to remove redelivered ones."""
     none = F.lit(None).cast("string")
-    games = child_items(rows_of(spark, sf_dir, "game_log"))
+    lists = [f"{x}[]" for x in CONTENT_LISTS]
+    games = child_items(rows_of(spark, sf_dir, "game_log", "content:god_view.#", "identity_labels.#", *lists))
     in_content = F.col("parent_table") == "events[]"
     name = (
         F.when(F.col("table") == "content:god_view.#", F.lit("role_map"))
         .when(F.col("table") == "identity_labels.#", F.lit("identity_labels"))
-        .when(F.col("table").isin([f"{x}[]" for x in CONTENT_LISTS]), F.col("member"))
+        .when(F.col("table").isin(lists), F.col("member"))
         .otherwise(none)
     )
     games = games.filter(in_content).select(F.lit("game_log").alias("tab"), "rec_id", "parent_no", name.alias("list_name"), "item_no", "item_text")
-    traces = child_items(rows_of(spark, sf_dir, "player_trace")).filter(F.col("table") == "identity_labels.#")
+    traces = child_items(rows_of(spark, sf_dir, "player_trace", "identity_labels.#")).filter(F.col("table") == "identity_labels.#")
     traces = traces.select(F.lit("player_trace").alias("tab"), "rec_id", F.lit(0).alias("parent_no"), F.lit("identity_labels").alias("list_name"), "item_no", "item_text")
-    agents = child_items(rows_of(spark, sf_dir, "agent_log")).filter(F.col("parent_table") == ROOT)
+    agents = child_items(rows_of(spark, sf_dir, "agent_log", "Player Roster[]", "Action Repair Attempts[]")).filter(F.col("parent_table") == ROOT)
     repair = F.col("table") == "Action Repair Attempts[]"
     agents = agents.filter(repair | (F.col("table") == "Player Roster[]")).select(
         F.lit("agent_log").alias("tab"), "rec_id", F.lit(0).alias("parent_no"), F.when(repair, "repair").otherwise("roster").alias("list_name"),
@@ -51,7 +52,7 @@ def p3_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kill_decision": "content.kill_decision", "protected": "content.protected", "checked_identity": "content.checked_identity", "heal": "content.heal",
         "poison": "content.poison", "pass": "content.pass", "shoot": "content.shoot", "outcome": "content.outcome",
     }
-    flat = flat_table(rows_of(spark, sf_dir, "game_log"), "events[]", columns)
+    flat = flat_table(rows_of(spark, sf_dir, "game_log", "events[]"), "events[]", columns)
     return flat.withColumnsRenamed({"rec_id": "file_id", "place": "event_no"}).drop("table", "parent_table", "path", "item_text").distinct()
 
 
@@ -64,7 +65,7 @@ def p3_agent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "memory": i + "prompt.Memory", "speech_event_id": i + "prompt.Speech Event Id", "response_text": i + "response", "response_memory": i + "response.Condensed Memory",
         "response_thought": i + "response.Thinking Process.thought", "response_thinking": i + "response.Thinking Process", "response_action": i + "response.Action",
     }
-    flat = flat_table(rows_of(spark, sf_dir, "agent_log"), ROOT, columns)
+    flat = flat_table(rows_of(spark, sf_dir, "agent_log", ROOT), ROOT, columns)
     return flat.withColumnRenamed("rec_id", "line_id").drop("table", "parent_table", "path", "place", "item_text").distinct()
 
 
