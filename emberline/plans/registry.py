@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from emberline.plans import nested
+from emberline.plans import functions, nested
 
-QUERIES = {**nested.QUERIES}
-ORACLE: dict[str, str] = {}
+_PARTS = (nested, functions)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in getattr(part, "ORACLE", {}).items()}
 FLAGSHIP = nested.p3_found
