@@ -16,6 +16,10 @@ _MARKER = re.compile(r"(?:\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\
 #: A last line that names a speaker and says nothing.
 _SIGNATURE = re.compile(r"(?<=[.!?。！？])[\"”’]?\s*\n\s*[^\n.!?。！？,，:：]{0,14}\d[^\n.!?。！？,，:：]{0,6}$")
 _SECTION = re.compile(r"^\[([A-Z][A-Za-z ]{2,30})\][ \t]*", re.M)
+_TAG = re.compile(r"<[^<>]{0,40}>")
+_RUNNING = re.compile(r"\S\s+\S+\s+\S+\s+\S|(?:[\u3400-\u9fff][^\u3400-\u9fff]*){6}")
+#: How much of the end of a text is looked at to find what follows its last sentence.
+_TAIL = 200
 # Contents that stand for no content.
 PLACEHOLDERS = {"", "-", "--", "...", "…", "n/a", "na", "none", "null", "nil", "empty", "tbd", "todo", "undefined", "空", "无", "\"\"", "''", "[]", "{}", "()", "<>"}
 
@@ -83,8 +87,9 @@ def read_answer(text: str | None) -> Answer:
 
 
 def is_placeholder(text: str) -> bool:
-    t = strip_blank(re.sub(r"<[^<>]{0,40}>", "", text))
-    return t.lower() in PLACEHOLDERS
+    if len(text) > 400 and not text.isspace():  # no placeholder is that long unless it is blank
+        return not strip_blank(text)
+    return strip_blank(_TAG.sub("", text)).lower() in PLACEHOLDERS
 
 
 def has_content(answer: Answer) -> bool:
@@ -102,10 +107,22 @@ class End:
 
 
 def read_end(text: str) -> End:
-    t = strip_blank(text)
-    marker = False
+    if text[-1:] in END_MARKS and text and text[-2:-1] not in ".…":
+        return End(text, True, False)
+    head, tail = text[:-_TAIL], text[-_TAIL:]
+    core, marker = _cut_trail(tail)
+    if head and len(core) < 20:  # what follows is longer than the tail
+        core, marker = _cut_trail(text)
+        head = ""
+    core = head + core
+    return End(core, bool(core) and core[-1] in END_MARKS, marker)
+
+
+def _cut_trail(text: str) -> tuple[str, bool]:
+    t, marker = text, False
     while True:
-        shorter = _TRAIL.sub("", t) if not _MARKER.search(t) else t
+        m = _MARKER.search(t)
+        shorter = t if m else _TRAIL.sub("", t)
         m = _MARKER.search(shorter)
         if m and m.start() > 0:
             marker, shorter = True, shorter[: m.start()]
@@ -113,12 +130,10 @@ def read_end(text: str) -> End:
         if s:
             shorter = shorter[: s.start()]
         if shorter == t or not shorter:
-            break
+            return t, marker
         t = shorter
-    return End(t, bool(t) and t[-1] in END_MARKS, marker)
 
 
 def is_running(text: str) -> bool:
-    """Whether a string is running text rather than a name, a number or a choice."""
-    t = strip_blank(text)
-    return len(t.split()) >= 4 or sum("㐀" <= c <= "鿿" for c in t) >= 6
+    """Whether a string is running text (four words, or six Han characters) rather than a name, a number or a choice."""
+    return bool(_RUNNING.search(text))
