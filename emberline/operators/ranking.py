@@ -20,24 +20,24 @@ def distributed_rank(df: DataFrame, keys: list[str], order: list[Column], out: s
     of their own. An empty input gives an empty result. The sorted rows are kept in the shared folder so that both
     passes see the same slices; pass narrow rows.
     """
-    part, place, first, before = "__slice", "__place", "__first", "__before"
+    part, place, first, before = "__dr_slice", "__dr_place", "__dr_first", "__dr_before"
     cols = [F.col(k) for k in keys]
     by = [*cols, *order]
     ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
-    numbered = ranged.sortWithinPartitions(*by).withColumn("__mid", F.monotonically_increasing_id())
-    numbered = numbered.withColumn(part, F.shiftright("__mid", _ROW_BITS).cast("int")).withColumn(
-        place, F.col("__mid").bitwiseAND((1 << _ROW_BITS) - 1)
+    numbered = ranged.sortWithinPartitions(*by).withColumn("__dr_mid", F.monotonically_increasing_id())
+    numbered = numbered.withColumn(part, F.shiftright("__dr_mid", _ROW_BITS).cast("int")).withColumn(
+        place, F.col("__dr_mid").bitwiseAND((1 << _ROW_BITS) - 1)
     )
-    kept = staged(numbered.drop("__mid"), "rank")
+    kept = staged(numbered.drop("__dr_mid"), "rank")
     from pyspark.sql import Window
 
-    slices = kept.groupBy(part, *keys).agg(F.min(place).alias(first), F.count(F.lit(1)).alias("__n"))
+    slices = kept.groupBy(part, *keys).agg(F.min(place).alias(first), F.count(F.lit(1)).alias("__dr_n"))
     earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn(before, F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    renamed = slices.select(F.col(part).alias("__s"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], first, before)
-    match = F.col(part) == F.col("__s")
+    slices = slices.withColumn(before, F.coalesce(F.sum("__dr_n").over(earlier), F.lit(0)))
+    renamed = slices.select(F.col(part).alias("__dr_s"), *[F.col(k).alias(f"__dr_k{i}") for i, k in enumerate(keys)], first, before)
+    match = F.col(part) == F.col("__dr_s")
     for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        match = match & F.col(k).eqNullSafe(F.col(f"__dr_k{i}"))
     joined = kept.join(renamed, match, "left")
     rank = F.col(place) - F.col(first) + F.col(before) + 1
-    return joined.withColumn(out, rank.cast("long")).drop("__s", *[f"__k{i}" for i in range(len(keys))], first, before, part, place)
+    return joined.withColumn(out, rank.cast("long")).drop("__dr_s", *[f"__dr_k{i}" for i in range(len(keys))], first, before, part, place)

@@ -12,11 +12,12 @@ def tally(df: DataFrame, keys: list[str], choice: str, out: str = "votes") -> Da
 def plurality(counts: DataFrame, keys: list[str], choice: str, votes: str = "votes") -> DataFrame:
     """(keys..., top_votes, tied, winner): the choice with most votes; null where several share the top.
 
-    Works on tallies, a row per group and choice; two levels of aggregation, no window.
+    Works on tallies, a row per group and choice: choices with equally many votes are counted, then the largest count wins.
+    Both steps aggregate partially before the shuffle; nothing is collected, whatever the number of choices.
     """
-    top = counts.groupBy(*keys).agg(F.collect_list(F.struct(F.col(votes).alias("v"), F.col(choice).alias("c"))).alias("__all"), F.max(votes).alias("top_votes"))
-    best = F.filter("__all", lambda x: x["v"] == F.col("top_votes"))
-    return top.select(*keys, "top_votes", F.size(best).alias("tied"), F.when(F.size(best) == 1, best[0]["c"]).alias("winner"))
+    level = counts.groupBy(*keys, votes).agg(F.count(F.lit(1)).cast("int").alias("tied"), F.max(choice).alias("c"))
+    best = level.groupBy(*keys).agg(F.max(F.struct(F.col(votes).alias("v"), "tied", "c")).alias("b"))
+    return best.select(*keys, F.col("b.v").alias("top_votes"), F.col("b.tied").alias("tied"), F.when(F.col("b.tied") == 1, F.col("b.c")).alias("winner"))
 
 
 def consistent(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
