@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ GAIN = 1.0
 LEAST_BIGRAMS = 50
 #: Numbers held at once while all classes are scored on a text.
 BLOCK = 4_000_000
+#: Chunks whose scores a worker keeps; a chunk takes 4 bytes for each class.
+MEMO_CHUNKS = 15_000
 
 # Byte encodings that leave single bytes undefined; those bytes are shown as the code point of the same number.
 _LOOSE = {"cp1252", "cp1251", "cp1250"}
@@ -90,6 +93,9 @@ CLEAN = "intact"
 
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_DIGIT = re.compile(r"[0-9]")
+_NEAR = re.compile(r"[A-Za-z0-9\t\n\v\f\r]")
+_CHUNK = re.compile(r"(?=([\x00-\x7f][^\x00-\x7f]+[\x00-\x7f]))")
 _LOST = re.compile("\ufffd")
 #: Characters outside the blocks of Latin and Cyrillic letters, Han characters and their punctuation.
 _ODD = re.compile("[^\u0000-\u024f\u0300-\u036f\u0400-\u052f\u1e00-\u1eff\u2000-\u22ff\u2500-\u257f\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef\U0001f000-\U0001ffff]")
@@ -152,11 +158,12 @@ def invert(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return text
 
 
-# ASCII letters and digits count as one letter and one digit.
+# ASCII letters, digits and blanks count as one letter, one digit and one blank.
 _FOLD = np.arange(256, dtype=np.int64)
 _FOLD[ord("a") : ord("z") + 1] = ord("a")
 _FOLD[ord("A") : ord("Z") + 1] = ord("a")
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
+_FOLD[[9, 10, 11, 12, 13]] = ord(" ")
 
 
 def bigrams(text: str) -> np.ndarray:
@@ -183,7 +190,13 @@ def _beyond(text: str) -> int:
 
 
 def _pieces(text: str) -> list[str]:
-    return [" " + p + " " for p in text.split() if not p.isascii()]
+    return [" " + p + " " for p in _DIGIT.sub("0", text).split() if not p.isascii()]
+
+
+def _chunks(text: str) -> list[str]:
+    """The runs beyond ASCII with the character before and after, folded: bigrams beyond ASCII belong to one run each."""
+    t = _NEAR.sub(lambda m: "a" if m.group().isalpha() else "0" if m.group().isdigit() else " ", " " + text.replace("\xa0", "  ") + " ")
+    return _CHUNK.findall(t)
 
 
 class _Counts:
@@ -239,9 +252,11 @@ class Classifier:
         model = cls._fit(kept)
         best = np.zeros(len(model.classes))
         for text, _ in kept:
-            at = model._columns(text)[1]
-            if len(at):
-                best = np.maximum(best, model._best(at))
+            more = np.flatnonzero(model._bounds(text) > best)
+            if len(more):
+                columns = model._columns(text)[1]
+                for k in more:
+                    best[k] = max(best[k], best_run(model.odds[columns, k])[0])
         model.limits = np.maximum(FOUND, MARGIN * best + 2)
         return model
 
@@ -286,25 +301,45 @@ class Classifier:
         return at, self.columns[bins[at]]
 
     def _best(self, columns: np.ndarray) -> np.ndarray:
-        """The sum of each class's best run; long texts take the classes in blocks, to bound the memory."""
+        """The sum of each class's best run over the columns; long ones take the classes in blocks, to bound the memory."""
         k = len(self.classes)
         step = max(1, min(k, BLOCK // max(1, len(columns))))
-        out = np.zeros(k)
+        out = np.zeros(k, np.float32)
         for first in range(0, k, step):
             total = np.cumsum(self.odds[columns, first : first + step], axis=0)
             low = np.minimum(np.minimum.accumulate(np.vstack([np.zeros((1, total.shape[1]), total.dtype), total[:-1]]), axis=0), 0)
             out[first : first + step] = (total - low).max(axis=0)
         return out
 
+    def _bounds(self, text: str) -> np.ndarray:
+        """At least each class's best run: what its best runs inside the single chunks add up to. Chunks met before are kept."""
+        memo = self.__dict__.setdefault("_memo", {})
+        if len(memo) > MEMO_CHUNKS:
+            memo.clear()
+        total = np.zeros(len(self.classes), np.float32)
+        for chunk, n in Counter(_chunks(text)).items():
+            best = memo.get(chunk)
+            if best is None:
+                bins = bigrams(chunk)
+                best = np.maximum(self._best(self.columns[bins[bins >= 0]]), 0)
+                if len(chunk) <= 40:
+                    memo[chunk] = best
+            total += n * best
+        return total
+
     def passages(self, text: str) -> list[tuple[float, int, int, int]]:
         """(log odds, class, first byte, byte after the last) of the best passage of each class above its limit, best first."""
-        at, columns = self._columns(text)
-        if not len(at) or not len(self.classes):
+        if not len(self.classes):
+            return []
+        likely = np.flatnonzero(self._bounds(text) >= self.limits - 0.01)
+        if not len(likely):
             return []
+        at, columns = self._columns(text)
         out = []
-        for k in np.flatnonzero(self._best(columns) >= self.limits):
+        for k in likely:
             score, start, end = best_run(self.odds[columns, k])
-            out.append((score, int(k), int(at[start]), int(at[end - 1]) + 1))
+            if score >= self.limits[k]:
+                out.append((score, int(k), int(at[start]), int(at[end - 1]) + 1))
         return sorted(out, reverse=True)
 
     def find(self, text: str | None) -> tuple[str, str | None, float] | None:
