@@ -28,9 +28,10 @@ def strip_blank(text: str) -> str:
     """Without blanks of any kind at either end."""
     start = _BLANK.match(text)
     text = text[start.end() :] if start else text
-    while text and _BLANK.fullmatch(text[-1]):
-        text = text[:-1]
-    return text
+    end = len(text)
+    while end and _BLANK.fullmatch(text[end - 1]):
+        end -= 1
+    return text[:end]
 
 
 @dataclass
@@ -109,6 +110,7 @@ class End:
 def read_end(text: str) -> End:
     if text[-1:] in END_MARKS and text and text[-2:-1] not in ".…":
         return End(text, True, False)
+    text = strip_blank(text)
     head, tail = text[:-_TAIL], text[-_TAIL:]
     core, marker = _cut_trail(tail)
     if head and len(core) < 20:  # what follows is longer than the tail
