@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberline.plans import entries, functions, games, nested, samples
+from emberline.plans import entries, extras, functions, games, nested, samples, streams
 
-_PARTS = (nested, functions, games, entries, samples)
+_PARTS = (nested, functions, games, entries, samples, streams, extras)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in getattr(part, "ORACLE", {}).items()}
 FLAGSHIP = nested.p3_found
