@@ -52,9 +52,12 @@ def read_entries(spark: SparkSession, paths: list[str] | str, strict: bool = Tru
 def read_records(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, record) of files that hold an array, one object, or a record per line; found out for each file."""
     files = whole_texts(spark, paths).withColumn("v", F.try_parse_json("text"))
-    kind = F.schema_of_variant("v")
-    lines = F.filter(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.try_parse_json), lambda x: x.isNotNull())
-    records = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(F.col("v").isNotNull(), F.array("v")).otherwise(lines)
+    kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.transform(kept, F.try_parse_json), lambda x: x.isNotNull())
+    by_line = F.try_parse_json(F.get(kept, F.lit(0))).isNotNull()  # parsing reads the first value only, so the whole text would pass as one object
+    records = (
+        F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(F.col("v").isNotNull() & ~by_line, F.array("v")).otherwise(lines)
+    )
     return files.select("path", F.explode(records).alias("record"))
 
 
