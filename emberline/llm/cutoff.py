@@ -59,11 +59,17 @@ def end_features(end: End, key: str, length: int) -> list[int]:
     return [_bin(x) for x in out]
 
 
+def structure_heads(answer: Answer) -> list[str]:
+    return [k for k, _ in answer.texts] if answer.kind == "sections" else []
+
+
 def structure_features(answer: Answer, text: str) -> list[int]:
     """Of the value as a whole."""
     depth = text.count("{") - text.count("}")
     last = strip_blank(text)[-1:]
     out = ["whole", f"whole kind {answer.kind}", f"whole fence {answer.open_fence}", f"whole {answer.kind} {answer.open_fence} {min(max(depth, -1), 2)}", f"whole last {last!r}"]
+    if answer.kind == "sections":
+        out.append("whole heads " + "|".join(structure_heads(answer)))
     return [_bin(x) for x in out]
 
 
@@ -164,12 +170,12 @@ def make_examples(values: list[str], seed: int) -> tuple[list[list[int]], list[i
             continue
         n = len(value)
         add(structure_features(answer, value), 0)
-        if answer.kind == "json":
+        if answer.kind in ("json", "sections"):
             for _ in range(2):  # the structure itself is cut
                 at = rng.randrange(max(2, n // 10), n) if n > 2 else n
                 cut = value[:at] + rng.choice(after)
                 broken = read_answer(cut)
-                if broken.kind != "json" or broken.open_fence:
+                if broken.kind != answer.kind or broken.open_fence or structure_heads(broken) != structure_heads(answer):
                     add(structure_features(broken, cut), 1)
         texts = [(k, t) for k, t in answer.texts if is_running(t)] if answer.kind == "json" else [(answer.kind, strip_blank(value))]
         for key, text in texts:
@@ -199,13 +205,6 @@ def make_examples(values: list[str], seed: int) -> tuple[list[list[int]], list[i
     return examples, labels
 
 
-def sample_values(values: DataFrame, text: str = "text", n: int = SAMPLE_VALUES) -> list[str]:
-    """At most ``n`` values, those with the smallest hashes; only about twice as many are sorted."""
-    rows = values.filter(F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(F.col(text).alias("t"), F.pmod(F.xxhash64(text), F.lit(1_000_000)).alias("h"))
-    share = min(1.0, 2 * n / max(1, rows.count()))
-    return [r.t for r in rows.filter(F.col("h") < max(1, int(share * 1_000_000))).orderBy("h", "t").limit(n).select("t", "h").collect()]
-
-
 def score_values(values: DataFrame, model: CutModel, keep: list[str], text: str = "text") -> DataFrame:
     """(keep..., probability) of every value; no shuffle."""
     shared = values.sparkSession.sparkContext.broadcast(model.weights)  # 1 MB, whatever the data
