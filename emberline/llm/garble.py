@@ -94,7 +94,7 @@ CLEAN = "intact"
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _DIGIT = re.compile(r"[0-9]")
-_NEAR = re.compile(r"[A-Za-z0-9\t\n\v\f\r]")
+_NEAR = {i: "a" if chr(i).isalpha() else "0" if chr(i).isdigit() else " " for i in range(128) if chr(i).isalnum() or chr(i).isspace()} | {0xA0: "  "}
 _CHUNK = re.compile(r"(?=([\x00-\x7f][^\x00-\x7f]+[\x00-\x7f]))")
 _LOST = re.compile("\ufffd")
 #: Characters outside the blocks of Latin and Cyrillic letters, Han characters and their punctuation.
@@ -195,7 +195,7 @@ def _pieces(text: str) -> list[str]:
 
 def _chunks(text: str) -> list[str]:
     """The runs beyond ASCII with the character before and after, folded: bigrams beyond ASCII belong to one run each."""
-    t = _NEAR.sub(lambda m: "a" if m.group().isalpha() else "0" if m.group().isdigit() else " ", " " + text.replace("\xa0", "  ") + " ")
+    t = " " + text.translate(_NEAR) + " "
     return _CHUNK.findall(t)
 
 
@@ -254,9 +254,7 @@ class Classifier:
         for text, _ in kept:
             more = np.flatnonzero(model._bounds(text) > best)
             if len(more):
-                columns = model._columns(text)[1]
-                for k in more:
-                    best[k] = max(best[k], best_run(model.odds[columns, k])[0])
+                best[more] = np.maximum(best[more], model._best(model._columns(text)[1], more))
         model.limits = np.maximum(FOUND, MARGIN * best + 2)
         return model
 
@@ -300,13 +298,14 @@ class Classifier:
         at = np.flatnonzero(bins >= 0)
         return at, self.columns[bins[at]]
 
-    def _best(self, columns: np.ndarray) -> np.ndarray:
+    def _best(self, columns: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
         """The sum of each class's best run over the columns; long ones take the classes in blocks, to bound the memory."""
-        k = len(self.classes)
-        step = max(1, min(k, BLOCK // max(1, len(columns))))
-        out = np.zeros(k, np.float32)
-        for first in range(0, k, step):
-            total = np.cumsum(self.odds[columns, first : first + step], axis=0)
+        n = len(self.classes) if classes is None else len(classes)
+        step = max(1, min(n, BLOCK // max(1, len(columns))))
+        out = np.zeros(n, np.float32)
+        for first in range(0, n, step):
+            odds = self.odds[columns, first : first + step] if classes is None else self.odds[np.ix_(columns, classes[first : first + step])]
+            total = np.cumsum(odds, axis=0)
             low = np.minimum(np.minimum.accumulate(np.vstack([np.zeros((1, total.shape[1]), total.dtype), total[:-1]]), axis=0), 0)
             out[first : first + step] = (total - low).max(axis=0)
         return out
@@ -336,7 +335,7 @@ class Classifier:
             return []
         at, columns = self._columns(text)
         out = []
-        for k in likely:
+        for k in likely[self._best(columns, likely) >= self.limits[likely] - 0.01]:
             score, start, end = best_run(self.odds[columns, k])
             if score >= self.limits[k]:
                 out.append((score, int(k), int(at[start]), int(at[end - 1]) + 1))
