@@ -20,10 +20,12 @@ BINS = 1 << 16
 SMOOTHING = 0.02
 #: Most that one bigram can say.
 CLIP = 5.0
-#: Log odds from which a passage can count as garbled.
-FOUND = 10.0
+#: Log odds from which a passage can count as garbled; more where both encodings take any byte, so that decoding proves nothing.
+FOUND, FOUND_BYTES = 10.0, 15.0
 #: The limit while garbled texts are looked for among the training texts, and how far above intact texts limits are set.
-FIRST_ROUND, MARGIN = 30.0, 1.25
+FIRST_ROUND, MARGIN = 15.0, 1.25
+#: Training texts that must share a passage for it to count as a usage rather than as garbled.
+USUAL = 3
 #: How much more likely, in the mean over bigrams, the restored passage must be as intact text.
 GAIN = 1.0
 #: Bigrams of training text that a class must have.
@@ -99,8 +101,8 @@ _CHUNK = re.compile(r"(?=([\x00-\x7f][^\x00-\x7f]+[\x00-\x7f]))")
 _LOST = re.compile("\ufffd")
 #: Characters outside the blocks of Latin and Cyrillic letters, Han characters and their punctuation.
 _ODD = re.compile("[^\u0000-\u024f\u0300-\u036f\u0400-\u052f\u1e00-\u1eff\u2000-\u22ff\u2500-\u257f\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef\U0001f000-\U0001ffff]")
-#: Letters of two alphabets side by side.
-_MIXED = re.compile("[A-Za-z\u00c0-\u024f][\u0400-\u052f]|[\u0400-\u052f][A-Za-z\u00c0-\u024f]")
+#: Letters of two alphabets side by side, or a small accented letter among capitals.
+_MIXED = re.compile("[A-Z]{2}[\u00df-\u00f6\u00f8-\u00ff]|[\u00df-\u00f6\u00f8-\u00ff][A-Z]|[A-Za-z\u00c0-\u024f][\u0400-\u052f]|[\u0400-\u052f][A-Za-z\u00c0-\u024f]")
 
 
 def chain_name(chain: tuple[tuple[str, str], ...]) -> str:
@@ -199,6 +201,13 @@ def _chunks(text: str) -> list[str]:
     return _CHUNK.findall(t)
 
 
+def _changed(before: str, after: str) -> str:
+    """The part of a text that another version of it has differently."""
+    start = next((i for i, (a, b) in enumerate(zip(before, after)) if a != b), min(len(before), len(after)))
+    end = next((i for i, (a, b) in enumerate(zip(reversed(before[start:]), reversed(after[start:]))) if a != b), 0)
+    return before[start : len(before) - end]
+
+
 class _Counts:
     """Bins and their weights, summed up now and then."""
 
@@ -242,20 +251,24 @@ class Classifier:
     def train(cls, texts: list[tuple[str, str]]) -> Classifier:
         """``texts``: (text, language) of intact texts.
 
-        Garbled ones among them are found by a first round with high limits and left out. The limit of each class is then
-        set above the best run that it has in any intact text.
+        Garbled ones among them are found by a first round and left out, unless the same passage stands in several texts:
+        that is a usage of the corpus. The limit of each class is then set above the best run that it has in any intact text.
         """
         model = cls._fit(texts)
-        for k, (chain, _) in enumerate(model.classes):
-            model.limits[k] = FIRST_ROUND if chain[0][0] == "utf-8" else 2 * FIRST_ROUND
-        kept = [(t, lang) for t, lang in texts if model.find(t) is None]
+        model.limits[:] = FIRST_ROUND
+        found = [model.find(t) for t, _ in texts]
+        passages = [_changed(t, f[1]) if f and f[1] is not None else None for (t, _), f in zip(texts, found)]
+        often = Counter(p for p in passages if p is not None)
+        sure = [f is not None and (often[p] < USUAL if p is not None else f[2] >= 4 * FIRST_ROUND) for f, p in zip(found, passages)]
+        kept = [x for x, bad in zip(texts, sure) if not bad]
         model = cls._fit(kept)
         best = np.zeros(len(model.classes))
         for text, _ in kept:
             more = np.flatnonzero(model._bounds(text) > best)
             if len(more):
                 best[more] = np.maximum(best[more], model._best(model._columns(text)[1], more))
-        model.limits = np.maximum(FOUND, MARGIN * best + 2)
+        least = np.array([FOUND if chain[0][0] == "utf-8" else FOUND_BYTES for chain, _ in model.classes])
+        model.limits = np.maximum(least, MARGIN * best + 2)
         return model
 
     @classmethod
