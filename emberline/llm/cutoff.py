@@ -32,6 +32,9 @@ SAMPLE_VALUES, SAMPLE_CHARS = 6000, 8_000
 LIMIT = 0.5
 # Lengths at which fields are commonly cut.
 FIELD_LIMITS = (64, 100, 128, 200, 250, 255, 256, 300, 400, 500, 512, 600, 800, 1000, 1024, 1200, 1500, 2000, 2048, 4000, 4096, 8000, 8192)
+#: Sections that hold a choice, not running text.
+CHOICES = {"action", "vote", "actions"}
+BARE_CHOICE = re.compile(r"none|pass|abstain|skip|no action|\d+", re.I)
 _DIGITS = re.compile(r"\d+")
 _SUFFIXES = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20)
 _WORDS = re.compile(r"\S+")
@@ -59,8 +62,8 @@ def end_features(end: End, key: str, length: int) -> list[int]:
     return [_bin(x) for x in out]
 
 
-def structure_heads(answer: Answer) -> list[str]:
-    return [k for k, _ in answer.texts] if answer.kind == "sections" else []
+def last_head(answer: Answer) -> str:
+    return answer.texts[-1][0] if answer.kind == "sections" else ""
 
 
 def structure_features(answer: Answer, text: str) -> list[int]:
@@ -69,7 +72,7 @@ def structure_features(answer: Answer, text: str) -> list[int]:
     last = strip_blank(text)[-1:]
     out = ["whole", f"whole kind {answer.kind}", f"whole fence {answer.open_fence}", f"whole {answer.kind} {answer.open_fence} {min(max(depth, -1), 2)}", f"whole last {last!r}"]
     if answer.kind == "sections":
-        out.append("whole heads " + "|".join(structure_heads(answer)))
+        out.append("whole last head " + answer.texts[-1][0])
     return [_bin(x) for x in out]
 
 
@@ -84,6 +87,8 @@ def scored_parts(text: str, answer: Answer | None = None) -> list[list[int]]:
         out += [end_features(read_end(t), k, n) for k, t in answer.texts if is_running(t)]
     elif answer.kind in ("prose", "sections"):
         whole = strip_blank(text)
+        if last_head(answer).lower() in CHOICES and BARE_CHOICE.fullmatch(strip_blank(answer.texts[-1][1])):
+            return out
         if answer.kind == "sections" or is_running(whole) or len(whole) > 12:
             out.append(end_features(read_end(whole), answer.kind, n))
     return out
@@ -141,10 +146,10 @@ def looks_intact(text: str, answer: Answer, known: Counter) -> bool:
 
 
 def closings(text: str, answer: Answer) -> list[str]:
-    """What recurs at the end of intact values that end without mark: the last line; in sections also its last two words."""
+    """What recurs at the end of intact values that end without mark: the last line; where it is a choice also its last two words."""
     line = _DIGITS.sub("9", strip_blank(text).rsplit("\n", 1)[-1])[-200:]
     words = line.split()
-    return [line, "… " + " ".join(words[-2:])] if answer.kind == "sections" and len(words) > 3 else [line]
+    return [line, "… " + " ".join(words[-2:])] if last_head(answer).lower() in CHOICES and len(words) > 3 else [line]
 
 
 def _ends(text: str) -> list[int]:
@@ -175,7 +180,7 @@ def make_examples(values: list[str], seed: int) -> tuple[list[list[int]], list[i
                 at = rng.randrange(max(2, n // 10), n) if n > 2 else n
                 cut = value[:at] + rng.choice(after)
                 broken = read_answer(cut)
-                if broken.kind != answer.kind or broken.open_fence or structure_heads(broken) != structure_heads(answer):
+                if broken.kind != answer.kind or broken.open_fence or last_head(broken) != last_head(answer):
                     add(structure_features(broken, cut), 1)
         texts = [(k, t) for k, t in answer.texts if is_running(t)] if answer.kind == "json" else [(answer.kind, strip_blank(value))]
         for key, text in texts:
@@ -205,18 +210,28 @@ def make_examples(values: list[str], seed: int) -> tuple[list[list[int]], list[i
     return examples, labels
 
 
-def score_values(values: DataFrame, model: CutModel, keep: list[str], text: str = "text") -> DataFrame:
-    """(keep..., probability) of every value; no shuffle."""
+def ends_as_prompt(text: str, prompt: str | None) -> bool:
+    """Whether the last line of an answer is a whole line of its prompt, such as an action of a list: a copy, not a cut."""
+    last = strip_blank(text).rsplit("\n", 1)[-1].strip()
+    return len(last) > 5 and bool(prompt) and last in prompt and last in (x.strip() for x in prompt.split("\n"))
+
+
+def score_values(values: DataFrame, model: CutModel, keep: list[str], text: str = "text", prompt: str = "prompt") -> DataFrame:
+    """(keep..., probability) of every value, given its prompt; no shuffle."""
     shared = values.sparkSession.sparkContext.broadcast(model.weights)  # 1 MB, whatever the data
     schema = ", ".join(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in keep) + ", probability double"
+    k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CutModel(shared.value)
         for batch in batches:
-            scores = [model.probability(t) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, "probability"])
+            scores = []
+            for t, p in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):
+                score = model.probability(t)
+                scores.append(0.0 if score >= LIMIT and ends_as_prompt(t, p) else score)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(scores, pa.float64())], [*keep, "probability"])
 
-    return values.select(*keep, text).mapInArrow(run, schema)
+    return values.select(*keep, text, prompt).mapInArrow(run, schema)
 
 
 def completion_texts(completion: Column) -> Column:

@@ -42,11 +42,11 @@ def _cut_scores(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     sample = pairs.sample_pairs(rows, cutoff.SAMPLE_VALUES)
     model = cutoff.CutModel.fit([r for _, r in sample], [p for p, _ in sample])
     traces = table(spark, sf_dir, "player_trace").select(
-        F.lit("player_trace").alias("tab"), F.col("trace_id").alias("row_id"), "game_path", "player_id", F.lit(None).cast("string").alias("source_model"), F.col("response").alias("text")
+        F.lit("player_trace").alias("tab"), F.col("trace_id").alias("row_id"), "game_path", "player_id", F.lit(None).cast("string").alias("source_model"), F.col("response").alias("text"), "prompt"
     )
     kto = table(spark, sf_dir, "kto_dataset").select(
         F.lit("kto_dataset").alias("tab"), F.col("sample_id").alias("row_id"), F.lit(None).cast("string").alias("game_path"), F.lit(None).cast("int").alias("player_id"), "source_model",
-        F.explode_outer(cutoff.completion_texts(F.col("completion"))).alias("text"),
+        F.explode_outer(cutoff.completion_texts(F.col("completion"))).alias("text"), F.array_join(cutoff.completion_texts(F.col("prompt")), "\n").alias("prompt"),
     )
     return cutoff.score_values(traces.unionByName(kto), model, ["tab", "row_id", *more])
 
