@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,13 +37,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set the run-time settings the operators rely on (idempotent)."""
+    """Set the run-time settings the operators rely on and ship the code (idempotent)."""
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_code(spark)
     return spark
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package once per application, so that it needn't be installed there.
+
+    The archive is served by the driver; executors don't read the driver's folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_emberline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="emberline-code-")) / "emberline_code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._emberline_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
