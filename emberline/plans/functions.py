@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.functions import phases, roles, text
+from emberline.functions import phases, render, roles, text
 from emberline.sources import logs
 from emberline.sources.tables import table
 
@@ -227,10 +227,43 @@ SQL_SIDES = r"""SELECT file_id, regexp_extract(game_path, 'w-(.+?)_vs_v-', 1) AS
   regexp_extract(game_path, '_vs_v-([^/]+)/', 1) IN ('tern-13b', 'orchid-lite') AS good_wanted, contains(lower(game_path), 'moe') OR contains(lower(game_path), 'lite') AS name_matches, len(events) AS n_events
   FROM file_lists WHERE events IS NOT NULL"""
 
-QUERIES = {f.__name__: f for f in (fn_phase_parts, fn_role_normalise, fn_action_targets, fn_fenced_labels, fn_message_rows, fn_info_sections, fn_applied_actions, fn_belief_lines, fn_known_impostors, fn_keys, fn_matchup_sides)}
+def fn_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat messages of each sample and its completion with the applied action."""
+    s = logs.samples(spark, sf_dir, "prompt", "completion", "action_text", "game_path")
+    m = render.to_messages(F.col("prompt"), F.col("completion"))
+    shown = F.when(F.col("action_text") != "", render.with_action(text.message_text(F.col("completion")), F.col("action_text")))
+    return s.select(
+        "sample_id", F.size(m).alias("messages"), F.md5(F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["role"], x["content"])), "|")).alias("messages_md5"), F.md5(shown).alias("shown_md5"),
+        F.md5(render.english_roles(text.message_text(F.col("prompt")))).alias("english_md5"), render.game_type(F.coalesce(F.col("game_path"), F.lit("agent-logs"))).alias("game"),
+    )
+
+
+_EN = "array_to_string(list_transform(list_filter(prompt, lambda m: m.content IS NOT NULL), lambda m: m.content), chr(10))"
+for _zh, _to in roles.CHINESE.items():
+    _EN = f"replace({_EN}, '{_zh}', '{_to}')"
+_TEXT = "array_to_string(list_transform(list_filter(completion, lambda m: m.content IS NOT NULL), lambda m: m.content), chr(10))"
+SQL_RENDER = f"""msgs AS (SELECT *, list_filter(list_concat(coalesce(prompt, []), coalesce(completion, [])), lambda m: m.role IN ('system', 'user', 'assistant') AND trim(m.content, ' ') <> '') AS ms FROM samples)"""
+SQL_RENDER_END = f"""SELECT sample_id, len(ms) AS messages, md5(array_to_string(list_transform(ms, lambda m: m.role || ':' || trim(m.content, ' ')), '|')) AS messages_md5,
+  md5(CASE WHEN action_text <> '' THEN CASE WHEN regexp_matches({_TEXT}, '(?i)\\[action\\]') THEN regexp_replace({_TEXT}, '(?is)\\[action\\].*$', '') || '[Action] ' || action_text ELSE concat_ws(chr(10), {_TEXT}, '[Action] ' || action_text) END END) AS shown_md5,
+  md5({_EN}) AS english_md5, CASE WHEN game_path IS NULL THEN 'task_meeting' WHEN regexp_matches(game_path, 'night_day|werewolf|/w-') THEN 'night_day' WHEN regexp_matches(game_path, 'task_meeting|agent-logs') THEN 'task_meeting' END AS game FROM msgs"""
+
+
+def fn_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user prompt of each entry rendered from its parts, and its player's name tidied."""
+    e = logs.agent_entries(spark, sf_dir)
+    shown = render.user_prompt(logs.prompt_of("Phase"), logs.prompt_of("All Info"), logs.prompt_of("Memory"))
+    return e.select("line_id", F.md5(shown).alias("prompt_md5"), render.tidy_name(F.col("player")).alias("player"))
+
+
+_PART = "CASE WHEN trim({1}, ' ') <> '' THEN '[{0}]' || chr(10) || trim({1}, ' ') END"
+SQL_PROMPT = f"""SELECT line_id, md5(concat_ws(chr(10) || chr(10), {_PART.format("Phase", "(prompt ->> '$.Phase')")}, {_PART.format("State", "(prompt ->> '$.\"All Info\"')")}, {_PART.format("Memory", "(prompt ->> '$.Memory')")})) AS prompt_md5,
+  regexp_replace(regexp_replace(trim(player, ' '), '\\s+', ' ', 'g'), '\\s*:\\s*', ': ', 'g') AS player FROM entries"""
+
+QUERIES = {f.__name__: f for f in (fn_phase_parts, fn_role_normalise, fn_action_targets, fn_fenced_labels, fn_message_rows, fn_info_sections, fn_applied_actions, fn_belief_lines, fn_known_impostors, fn_keys, fn_matchup_sides, fn_rendered, fn_prompt_text)}
 ORACLE = {
     "fn_phase_parts": logs.with_sql(SQL_PHASE), "fn_role_normalise": logs.with_sql(SQL_ROLE, SQL_ROLE_END), "fn_action_targets": logs.with_sql(SQL_ACTION, SQL_ACTION_END),
     "fn_fenced_labels": logs.with_sql(SQL_FENCED, SQL_FENCED_END), "fn_message_rows": logs.with_sql(SQL_MESSAGES), "fn_info_sections": logs.with_sql(SQL_INFO, SQL_INFO_END),
     "fn_applied_actions": logs.with_sql(SQL_APPLIED, SQL_APPLIED_END), "fn_belief_lines": logs.with_sql(SQL_BELIEF, "SELECT player, role, count(*) AS documents FROM last_ GROUP BY ALL"),
     "fn_known_impostors": logs.with_sql(SQL_ROSTER, SQL_ROSTER_END), "fn_keys": logs.with_sql(SQL_KEYS), "fn_matchup_sides": logs.with_sql(SQL_SIDES),
+    "fn_rendered": logs.with_sql(SQL_RENDER, SQL_RENDER_END), "fn_prompt_text": logs.with_sql(SQL_PROMPT),
 }

@@ -61,6 +61,25 @@ def read_records(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return files.select("path", F.explode(records).alias("record"))
 
 
+def first_games(df: DataFrame, n: int, path: str = "game_path") -> DataFrame:
+    """The rows of the first ``n`` games by path, of those that could be read. Only the paths are sorted."""
+    return df.join(df.select(path).distinct().orderBy(path).limit(n), path, "left_semi")
+
+
+def is_speech_file(path: Column) -> Column:
+    """Whether a file holds speech samples that nobody has verified yet."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return name.rlike(r"speech") & name.rlike(r"\.jsonl?$") & ~name.rlike(r"^(?:reverify_|verified_)")
+
+
+def read_summaries(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, game, winner, reason) of summary lines ``{"Game k": {...}}``; winners 1 and 4 are the impostors, 2 and 3 the crew."""
+    rows = line_texts(spark, paths).withColumn("games", F.try_variant_get(F.try_parse_json("text"), "$", "map<string,variant>"))
+    rows = rows.select("path", F.explode("games").alias("game", "g"))
+    winner = F.try_variant_get("g", "$.winner", "int")
+    return rows.select("path", "game", F.when(winner.isin(1, 4), "impostors").when(winner.isin(2, 3), "crew").alias("winner"), F.try_variant_get("g", "$.winner_reason", "string").alias("reason"))
+
+
 def columns_to_rows(df: DataFrame, columns: list[str], short: str = "strict") -> DataFrame:
     """Parallel arrays as rows. ``short`` says what a shorter array gives: ``strict`` an error, ``pad`` nulls, ``repeat`` the whole array in each row."""
     size = F.size(F.col(columns[0]))

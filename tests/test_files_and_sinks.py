@@ -105,3 +105,23 @@ def test_verdicts(spark, said, want):
     ).first()
     assert tuple(row)[:3] == want
     assert row.lenient == (want[0] is False) and row.strict == (want == (False, False, False))
+
+
+def test_first_games_speech_files_and_summaries(spark, tmp_path):
+    df = spark.createDataFrame([("g2", 1), ("g1", 2), ("g1", 3), ("g3", 4)], "game_path string, x int")
+    assert sorted(r.x for r in files.first_games(df, 2).collect()) == [1, 2, 3]
+    names = spark.createDataFrame([("/a/good_speech.jsonl",), ("/a/verified_speech.json",), ("/a/votes.json",), ("/speech/x.txt",)], "p string")
+    assert [r.p for r in names.filter(files.is_speech_file(F.col("p"))).collect()] == ["/a/good_speech.jsonl"]
+    (tmp_path / "summary.json").write_text('{"Game 1": {"winner": 1, "winner_reason": "r"}}\n{"Game 2": {"winner": 3}}\nbad\n')
+    rows = files.read_summaries(spark, str(tmp_path / "summary.json")).collect()
+    assert sorted((r.game, r.winner, r.reason) for r in rows) == [("Game 1", "impostors", "r"), ("Game 2", "crew", None)]
+
+
+def test_rendering(spark):
+    from emberline.functions import render
+
+    row = spark.createDataFrame([(" Player  3 :teal", {"Player 3": "Seer", "4": "Witch"}, "x\n[Action] OLD\nmore", "no block")], "n string, m map<string,string>, a string, b string").select(
+        render.tidy_name(F.col("n")), render.lookup_player(F.col("m"), F.lit(3)), render.lookup_player(F.col("m"), F.lit(4)), render.lookup_player(F.col("m"), F.lit(5)),
+        render.with_action(F.col("a"), F.lit("NEW")), render.with_action(F.col("b"), F.lit("NEW")), render.english_roles(F.lit("女巫和守卫")),
+    ).first()
+    assert tuple(row) == ("Player 3: teal", "Seer", "Witch", None, "x\n[Action] NEW", "no block\n[Action] NEW", "Witch和Guard")
