@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +49,16 @@ def tune(spark: SparkSession) -> SparkSession:
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package once per application, so that it needn't be installed there.
 
-    The archive is served by the driver; executors don't read the driver's folder.
+    The archive lies in the shared folder where the driver can write to it as a file, and is served by the driver in any case.
     """
     context = spark.sparkContext
     if getattr(context, "_emberline_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="emberline-code-")) / "emberline_code.zip"
+    url = urlparse(shared_dir(spark))
+    folder = Path(url.path) / f"code-{uuid.uuid4().hex}" if url.scheme in ("", "file") else Path(tempfile.mkdtemp(prefix="emberline-code-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    archive = folder / "emberline_code.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(package.rglob("*.py")):
             z.write(path, path.relative_to(package.parent))
