@@ -17,6 +17,15 @@ def test_same_rows(spark, duck, name):
     assert rows_of_spark(registry.QUERIES[name](spark, MIDDLE)) == rows_of_sql(duck, registry.ORACLE[name])
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in registry.ORACLE if not n.startswith("st_")))
+def test_same_types(spark, duck, name):
+    got = {c: KINDS.get(t, t) for c, t in registry.QUERIES[name](spark, MIDDLE).dtypes}
+    assert got == {r[0]: r[1] for r in duck.execute("DESCRIBE " + registry.ORACLE[name]).fetchall()}
+
+
 def test_every_sql_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
 
