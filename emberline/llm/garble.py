@@ -24,6 +24,8 @@ CLIP = 5.0
 FOUND, FOUND_BYTES = 10.0, 15.0
 #: The limit while garbled texts are looked for among the training texts, and how far above intact texts limits are set.
 FIRST_ROUND, MARGIN = 15.0, 1.25
+#: Classes below this share of the best class's log odds aren't looked at.
+RIVAL = 0.4
 #: Training texts that must share a passage for it to count as a usage rather than as garbled.
 USUAL = 3
 #: How much more likely, in the mean over bigrams, the restored passage must be as intact text.
@@ -340,7 +342,7 @@ class Classifier:
         return total
 
     def passages(self, text: str) -> list[tuple[float, int, int, int]]:
-        """(log odds, class, first byte, byte after the last) of the best passage of each class above its limit, best first."""
+        """(log odds, class, first byte, byte after the last) of the best passages of the likeliest classes above their limits, best first."""
         if not len(self.classes):
             return []
         likely = np.flatnonzero(self._bounds(text) >= self.limits - 0.01)
@@ -348,7 +350,8 @@ class Classifier:
             return []
         at, columns = self._columns(text)
         out = []
-        for k in likely[self._best(columns, likely) >= self.limits[likely] - 0.01]:
+        best = self._best(columns, likely)
+        for k in likely[best >= np.maximum(self.limits[likely] - 0.01, RIVAL * best.max())]:
             score, start, end = best_run(self.odds[columns, k])
             if score >= self.limits[k]:
                 out.append((score, int(k), int(at[start]), int(at[end - 1]) + 1))
@@ -365,7 +368,7 @@ class Classifier:
         tried = set()
         for score, k, start, end in found:
             chain = self.classes[k][0]
-            if (chain, start, end) in tried or score < 0.4 * found[0][0]:
+            if (chain, start, end) in tried or score < RIVAL * found[0][0]:
                 continue
             tried.add((chain, start, end))
             for first, last in _borders(raw, start, end):
