@@ -160,7 +160,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- problem 8 ---------------------------------------------------------------------------------------------------------
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tokens = staged(mixing.document_tokens(table(spark, sf_dir, "documents")), "tokens")
-    rates = mixing.mix_rates(tokens, table(spark, sf_dir, "mix_target"))
+    # kept as a table: its files' size shows Spark that it is small, so the hot source's documents aren't shuffled to meet it
+    rates = staged(mixing.mix_rates(tokens, table(spark, sf_dir, "mix_target")), "rates")
     return mixing.mix(tokens, rates), rates
 
 
