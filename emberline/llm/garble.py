@@ -34,8 +34,8 @@ GAIN = 1.0
 LEAST_BIGRAMS = 50
 #: Numbers held at once while all classes are scored on a text.
 BLOCK = 4_000_000
-#: Chunks whose scores a worker keeps; a chunk takes 4 bytes for each class.
-MEMO_CHUNKS = 15_000
+#: Chunks whose scores a worker keeps; a chunk takes 16 bytes for each class.
+MEMO_CHUNKS = 4096
 
 # Byte encodings that leave single bytes undefined; those bytes are shown as the code point of the same number.
 _LOOSE = {"cp1252", "cp1251", "cp1250"}
@@ -99,7 +99,7 @@ CLEAN = "intact"
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _DIGIT = re.compile(r"[0-9]")
 _NEAR = {i: "a" if chr(i).isalpha() else "0" if chr(i).isdigit() else " " for i in range(128) if chr(i).isalnum() or chr(i).isspace()} | {0xA0: "  "}
-_CHUNK = re.compile(r"(?=([\x00-\x7f][^\x00-\x7f]+[\x00-\x7f]))")
+_CHUNK = re.compile(r"(?=([\x00-\x7f][^\x00-\x7f]+(?:[\x00-\x7f]|$)))")
 _LOST = re.compile("\ufffd")
 #: Characters outside the blocks of Latin and Cyrillic letters, Han characters and their punctuation.
 _ODD = re.compile("[^\u0000-\u024f\u0300-\u036f\u0400-\u052f\u1e00-\u1eff\u2000-\u22ff\u2500-\u257f\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef\U0001f000-\U0001ffff]")
@@ -199,7 +199,7 @@ def _pieces(text: str) -> list[str]:
 
 def _chunks(text: str) -> list[str]:
     """The runs beyond ASCII with the character before and after, folded: bigrams beyond ASCII belong to one run each."""
-    t = " " + text.translate(_NEAR) + " "
+    t = " " + text.translate(_NEAR)
     return _CHUNK.findall(t)
 
 
@@ -249,6 +249,10 @@ class Classifier:
     intact: np.ndarray
     limits: np.ndarray
 
+    def __getstate__(self) -> dict:
+        """Without what is kept of chunks met: workers fill their own."""
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
     @classmethod
     def train(cls, texts: list[tuple[str, str]]) -> Classifier:
         """``texts``: (text, language) of intact texts.
@@ -266,9 +270,9 @@ class Classifier:
         model = cls._fit(kept)
         best = np.zeros(len(model.classes))
         for text, _ in kept:
-            more = np.flatnonzero(model._bounds(text) > best)
-            if len(more):
-                best[more] = np.maximum(best[more], model._best(model._columns(text)[1], more))
+            model.limits = best  # only classes that come beyond what others had so far
+            more, sums = model._likely(text)
+            best[more] = np.maximum(best[more], sums)
         least = np.array([FOUND if chain[0][0] == "utf-8" else FOUND_BYTES for chain, _ in model.classes])
         model.limits = np.maximum(least, MARGIN * best + 2)
         return model
@@ -318,40 +322,70 @@ class Classifier:
         n = len(self.classes) if classes is None else len(classes)
         step = max(1, min(n, BLOCK // max(1, len(columns))))
         out = np.zeros(n, np.float32)
-        for first in range(0, n, step):
+        for first in range(0, n if len(columns) else 0, step):
             odds = self.odds[columns, first : first + step] if classes is None else self.odds[np.ix_(columns, classes[first : first + step])]
             total = np.cumsum(odds, axis=0)
             low = np.minimum(np.minimum.accumulate(np.vstack([np.zeros((1, total.shape[1]), total.dtype), total[:-1]]), axis=0), 0)
             out[first : first + step] = (total - low).max(axis=0)
         return out
 
-    def _bounds(self, text: str) -> np.ndarray:
-        """At least each class's best run: what its best runs inside the single chunks add up to. Chunks met before are kept."""
+    def _rows(self, text: str) -> np.ndarray | None:
+        """The rows of ``_parts`` for the text's chunks in order; None where there are more distinct ones than are kept."""
+        chunks = _chunks(text)
         memo = self.__dict__.setdefault("_memo", {})
-        if len(memo) > MEMO_CHUNKS:
+        if not hasattr(self, "_parts"):
+            self._parts = np.zeros((4, MEMO_CHUNKS, len(self.classes)), np.float32)  # sum, best beginning, best end, best run
+        distinct = dict.fromkeys(chunks)
+        if len(distinct) > MEMO_CHUNKS:
+            return None
+        if len(memo) + sum(c not in memo for c in distinct) > MEMO_CHUNKS:
             memo.clear()
-        total = np.zeros(len(self.classes), np.float32)
-        for chunk, n in Counter(_chunks(text)).items():
-            best = memo.get(chunk)
-            if best is None:
+        for chunk in distinct:
+            if chunk not in memo:
+                row = memo[chunk] = len(memo)
                 bins = bigrams(chunk)
-                best = np.maximum(self._best(self.columns[bins[bins >= 0]]), 0)
-                if len(chunk) <= 40:
-                    memo[chunk] = best
-            total += n * best
-        return total
+                upto = np.cumsum(self.odds[self.columns[bins[bins >= 0]]], axis=0)
+                before = np.vstack([np.zeros((1, upto.shape[1]), np.float32), upto[:-1]])
+                self._parts[0, row] = upto[-1]
+                self._parts[1, row] = np.maximum(upto.max(axis=0), 0)
+                self._parts[2, row] = np.maximum(upto[-1] - before.min(axis=0), 0)
+                self._parts[3, row] = np.maximum((upto - np.minimum.accumulate(before, axis=0)).max(axis=0), 0)
+        return np.array([memo[c] for c in chunks], np.int64)
+
+    def _likely(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The classes whose best run reaches their limits, and those runs' sums.
+
+        First a bound, what the best runs inside single chunks add up to; then, for the classes it leaves, the best run over
+        all chunks from their sums, beginnings and ends. Chunks met before aren't scored again.
+        """
+        rows = self._rows(text)
+        if rows is None:
+            best = self._best(self._columns(text)[1])
+            likely = np.flatnonzero(best >= self.limits - 0.01)
+            return likely, best[likely]
+        if not len(rows):
+            return rows, np.zeros(0, np.float32)
+        distinct, n = np.unique(rows, return_counts=True)
+        likely = np.flatnonzero(n.astype(np.float32) @ self._parts[3, distinct] >= self.limits - 0.01)
+        total, begin, end, run = (self._parts[i][np.ix_(rows, likely)] for i in range(4))
+        upto = np.cumsum(total, axis=0)
+        best = run.max(axis=0)
+        if len(rows) > 1:
+            started = np.maximum.accumulate(end - upto, axis=0)
+            best = np.maximum(best, (begin[1:] + upto[:-1] + started[:-1]).max(axis=0))
+        kept = best >= self.limits[likely] - 0.01
+        return likely[kept], best[kept]
 
     def passages(self, text: str) -> list[tuple[float, int, int, int]]:
         """(log odds, class, first byte, byte after the last) of the best passages of the likeliest classes above their limits, best first."""
         if not len(self.classes):
             return []
-        likely = np.flatnonzero(self._bounds(text) >= self.limits - 0.01)
+        likely, best = self._likely(text)
         if not len(likely):
             return []
         at, columns = self._columns(text)
         out = []
-        best = self._best(columns, likely)
-        for k in likely[best >= np.maximum(self.limits[likely] - 0.01, RIVAL * best.max())]:
+        for k in likely[best >= RIVAL * best.max()]:
             score, start, end = best_run(self.odds[columns, k])
             if score >= self.limits[k]:
                 out.append((score, int(k), int(at[start]), int(at[end - 1]) + 1))

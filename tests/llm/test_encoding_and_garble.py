@@ -102,12 +102,21 @@ def test_intact_texts(model, text):
     assert model.find(text) is None
 
 
-def test_bounds_hold(model):
+def test_runs_over_chunks_equal_runs_over_bytes(spark, model):
+    """For every class that reaches its limit in a text of the table, and none other."""
     import numpy as np
 
-    for text in (FRENCH, RUSSIAN, CHINESE, garble.garble(FRENCH, (("utf-8", "cp1251"),)), "a b é"):
-        columns = model._columns(text)[1]
-        assert np.all(model._bounds(text) + 0.01 >= model._best(columns))
+    limits = model.limits
+    texts = [r.text for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").select("text").collect() if r.text and not r.text.isascii()]
+    try:
+        model.limits = np.full(len(model.classes), 4.0)
+        for text in [FRENCH, RUSSIAN, CHINESE, garble.garble(FRENCH, (("utf-8", "cp1251"),)), "a b é\u00a0è", *texts]:
+            best = model._best(model._columns(text)[1])
+            likely, sums = model._likely(text)
+            assert set(np.flatnonzero(best >= 4.05)) <= set(likely)
+            assert np.allclose(best[likely], sums, atol=0.05, rtol=1e-3)
+    finally:
+        model.limits = limits
 
 
 def test_no_training_text_and_empty_tables(spark):
