@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from emberline.functions import roles as role_fn
 from emberline.functions import text, verdicts
@@ -29,6 +29,32 @@ called AS (SELECT file_id, source, unnest(list_filter(regexp_extract_all(said, '
 acc AS (SELECT DISTINCT file_id, source, CAST(regexp_extract(c, '(\d+)', 1) AS INT) AS target FROM called)"""
 
 
+#: Calling a player a werewolf, in both languages of the reference, and the negations that take it back.
+CALLED = (r"Player[\s\p{Z}]*(\d+)[^\n]{0,80}?(?:werewolf|wolf|狼人)", r"(\d+)号[^\n]{0,40}?狼人")
+NOT_CALLED = r"not[\s\p{Z}]+(?:a[\s\p{Z}]+)?(?:werewolf|wolf)|不是[^\n]{0,6}狼人"
+
+
+def called_wolves(said: Column) -> Column:
+    """The numbers of the players whom a speech calls a werewolf, each once; 0 is nobody."""
+    found = F.concat(*[F.regexp_extract_all(said, F.lit("(?i)" + p), F.lit(0)) for p in CALLED])
+    kept = F.filter(found, lambda x: ~x.rlike("(?i)" + NOT_CALLED))
+    numbers = F.transform(kept, lambda x: F.regexp_extract(x, r"(\d+)", 1).try_cast("int"))
+    return F.array_distinct(F.filter(numbers, lambda n: n > 0))
+
+
+def x_wolf_accusations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players whom speeches of any wording in both languages call a werewolf, without negated ones; how many of them are."""
+    s = game_events(spark, sf_dir).filter("event IN ('speech', 'speech_pk')").select("file_id", "source", content_of("speech_content").alias("said"))
+    rows = s.select("file_id", "source", F.explode(called_wolves(F.col("said"))).alias("target")).distinct()
+    r = _roster(spark, sf_dir).select("file_id", F.col("player").alias("target"), "role")
+    return rows.join(r, ["file_id", "target"], "left").groupBy("file_id").agg(F.count(F.lit(1)).alias("accusations"), F.count_if(F.col("role") == "Werewolf").alias("right"))
+
+
+SQL_CALLED = rf"""said AS (SELECT file_id, source, content ->> '$.speech_content' AS said FROM game_events WHERE event IN ('speech', 'speech_pk')),
+called AS (SELECT file_id, source, unnest(list_filter(list_concat(regexp_extract_all(said, '{CALLED[0]}', 0, 'i'), regexp_extract_all(said, '{CALLED[1]}', 0, 'i')), lambda x: NOT regexp_matches(x, '{NOT_CALLED}', 'i'))) AS c FROM said),
+acc AS (SELECT DISTINCT file_id, source, TRY_CAST(regexp_extract(c, '(\d+)', 1) AS INT) AS target FROM called WHERE TRY_CAST(regexp_extract(c, '(\d+)', 1) AS INT) > 0)"""
+
+
 def x_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles that English speakers claim for themselves, against their true roles."""
     s = game_events(spark, sf_dir).filter("event = 'speech'").select("file_id", F.col("source").alias("player"), "seq", F.regexp_extract(content_of("speech_content"), r"I hold the (\w+) card", 1).alias("claim"))
@@ -190,12 +216,13 @@ def _tail(sql: str) -> tuple[str, str]:
 QUERIES = {
     f.__name__: f
     for f in (
-        x_accusations, x_claims, x_interval_pairs, x_half_majority, x_group_cycle, x_balanced_batches, x_weighted_assignment, x_verified_sample, x_replaced_part, x_label_words, x_prompt_filter, x_roles_of_seats,
+        x_accusations, x_wolf_accusations, x_claims, x_interval_pairs, x_half_majority, x_group_cycle, x_balanced_batches, x_weighted_assignment, x_verified_sample, x_replaced_part, x_label_words, x_prompt_filter, x_roles_of_seats,
         x_entry_kinds, x_cached_verdicts,
     )
 }
 ORACLE = {
     "x_accusations": with_sql(SQL_ROSTER, SQL_ACCUSE, "SELECT a.file_id, count(*) AS accusations, coalesce(count_if(r.role = 'Werewolf'), 0) AS right FROM acc a LEFT JOIN roster r ON r.file_id = a.file_id AND r.player = a.target GROUP BY ALL"),
+    "x_wolf_accusations": with_sql(SQL_ROSTER, SQL_CALLED, "SELECT a.file_id, count(*) AS accusations, CAST(coalesce(count_if(r.role = 'Werewolf'), 0) AS BIGINT) AS right FROM acc a LEFT JOIN roster r ON r.file_id = a.file_id AND r.player = a.target GROUP BY ALL"),
     "x_claims": with_sql(SQL_ROSTER, SQL_CLAIMS, "SELECT claim, role, count(*) AS players FROM fc JOIN roster USING (file_id, player) GROUP BY ALL"),
     "x_interval_pairs": with_sql(*_tail(SQL_INTERVAL)),
     "x_half_majority": with_sql("vv AS (SELECT file_id, day, event, TRY_CAST(content ->> '$.vote_target' AS INT) AS t, count(*) AS n FROM game_events WHERE event IN ('vote', 'vote_pk') GROUP BY ALL)",
