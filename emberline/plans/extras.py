@@ -8,7 +8,7 @@ from emberline.functions import roles as role_fn
 from emberline.functions import text, verdicts
 from emberline.operators import matching, ordered, sampling
 from emberline.operators.ranking import distributed_rank
-from emberline.plans.games import SQL_ROSTER, _roster
+from emberline.plans.games import _ROLE_SQL, SQL_ROSTER, _roster
 from emberline.plans.samples import SEED, SQL_QUOTA, _buckets
 from emberline.sources import logs
 from emberline.sources.logs import agent_entries, content_of, game_events, prompt_of, with_sql
@@ -66,6 +66,29 @@ SQL_CLAIMS = r"""cl AS (SELECT file_id, source AS player, seq, regexp_extract(co
 fc AS (SELECT file_id, player, arg_min(claim, seq) AS claim FROM cl WHERE claim <> '' GROUP BY ALL)"""
 
 
+#: Claiming a role for oneself, in both languages of the claims.
+CLAIMED = r"(?i)I hold the [a-z -]{0,20}?(" + "|".join(role_fn.ALIASES) + r")[a-z]* card|我拿的是(" + "|".join(role_fn.CHINESE) + ")"
+
+
+def claimed_role(said: Column) -> Column:
+    """The first role that a speech claims, by its English name; null where it claims none."""
+    either = [F.nullif(F.regexp_extract(said, CLAIMED, i), F.lit("")) for i in (1, 2)]
+    return role_fn.role(F.coalesce(*either))
+
+
+def x_role_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles that speakers of both languages claim for themselves in any speech, against their true roles."""
+    s = game_events(spark, sf_dir).filter("event IN ('speech', 'speech_pk')").select("file_id", F.col("source").alias("player"), "seq", claimed_role(content_of("speech_content")).alias("claim"))
+    first = ordered.first_wins(s.filter("claim IS NOT NULL"), ["file_id", "player"], F.col("seq"), "claim")
+    return first.join(_roster(spark, sf_dir), ["file_id", "player"]).groupBy("claim", "role").agg(F.count(F.lit(1)).alias("players"))
+
+
+SQL_ROLE_CLAIMS = f"""cl AS (SELECT file_id, source AS player, seq, content ->> '$.speech_content' AS said FROM game_events WHERE event IN ('speech', 'speech_pk')),
+cr AS (SELECT file_id, player, seq, coalesce(nullif(regexp_extract(said, '{CLAIMED}', 1), ''), nullif(regexp_extract(said, '{CLAIMED}', 2), '')) AS said FROM cl),
+cn AS (SELECT file_id, player, seq, {_ROLE_SQL.format("said")} AS claim FROM cr),
+fc AS (SELECT file_id, player, arg_min(claim, seq) AS claim FROM cn WHERE claim IS NOT NULL GROUP BY ALL)"""
+
+
 def x_interval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech events between the last vote round's end and the next night: events of the same day with nothing else in between."""
     e = game_events(spark, sf_dir)
@@ -216,7 +239,7 @@ def _tail(sql: str) -> tuple[str, str]:
 QUERIES = {
     f.__name__: f
     for f in (
-        x_accusations, x_wolf_accusations, x_claims, x_interval_pairs, x_half_majority, x_group_cycle, x_balanced_batches, x_weighted_assignment, x_verified_sample, x_replaced_part, x_label_words, x_prompt_filter, x_roles_of_seats,
+        x_accusations, x_wolf_accusations, x_claims, x_role_claims, x_interval_pairs, x_half_majority, x_group_cycle, x_balanced_batches, x_weighted_assignment, x_verified_sample, x_replaced_part, x_label_words, x_prompt_filter, x_roles_of_seats,
         x_entry_kinds, x_cached_verdicts,
     )
 }
@@ -224,6 +247,7 @@ ORACLE = {
     "x_accusations": with_sql(SQL_ROSTER, SQL_ACCUSE, "SELECT a.file_id, count(*) AS accusations, coalesce(count_if(r.role = 'Werewolf'), 0) AS right FROM acc a LEFT JOIN roster r ON r.file_id = a.file_id AND r.player = a.target GROUP BY ALL"),
     "x_wolf_accusations": with_sql(SQL_ROSTER, SQL_CALLED, "SELECT a.file_id, count(*) AS accusations, CAST(coalesce(count_if(r.role = 'Werewolf'), 0) AS BIGINT) AS right FROM acc a LEFT JOIN roster r ON r.file_id = a.file_id AND r.player = a.target GROUP BY ALL"),
     "x_claims": with_sql(SQL_ROSTER, SQL_CLAIMS, "SELECT claim, role, count(*) AS players FROM fc JOIN roster USING (file_id, player) GROUP BY ALL"),
+    "x_role_claims": with_sql(SQL_ROSTER, SQL_ROLE_CLAIMS, "SELECT claim, role, count(*) AS players FROM fc JOIN roster USING (file_id, player) GROUP BY ALL"),
     "x_interval_pairs": with_sql(*_tail(SQL_INTERVAL)),
     "x_half_majority": with_sql("vv AS (SELECT file_id, day, event, TRY_CAST(content ->> '$.vote_target' AS INT) AS t, count(*) AS n FROM game_events WHERE event IN ('vote', 'vote_pk') GROUP BY ALL)",
         "SELECT file_id, day, event, CAST(sum(n) AS BIGINT) AS votes, max(CASE WHEN t > 0 THEN n END) AS top, coalesce(max(CASE WHEN t > 0 THEN n END) * 2 > sum(n), false) AS decided FROM vv GROUP BY ALL"),

@@ -35,3 +35,17 @@ def test_accusations_of_the_table(spark):
         want[file_id] = want.get(file_id, 0) + 1
     assert {r.file_id: r.accusations for r in extras.x_wolf_accusations(spark, MIDDLE).collect()} == want
     assert sum(want.values()) > sum(r.accusations for r in extras.x_accusations(spark, MIDDLE).collect())
+
+
+@pytest.mark.parametrize(
+    "said,claim",
+    [("我拿的是预言家，昨晚看了3号玩家。", "Seer"), ("I hold the Witch card.", "Witch"), ("i hold the ordinary villager card", "Villager"), ("我拿的是狼人。I hold the Seer card.", "Werewolf"), ("I hold the winning card", None), ("3号玩家像女巫", None), (None, None)],
+)
+def test_claimed_role(spark, said, claim):
+    df = spark.createDataFrame([(said,)], "said string")
+    assert df.select(extras.claimed_role(df.said)).first()[0] == claim
+
+
+def test_claims_of_chinese_speakers_count(spark):
+    total = lambda q: q(spark, MIDDLE).agg({"players": "sum"}).first()[0]
+    assert total(extras.x_role_claims) > total(extras.x_claims)
