@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.functions import phases, text
+from emberline.functions import notes, phases, text
 from emberline.functions import roles as role_fn
 from emberline.operators import matching, ordered, votes
 from emberline.plans.functions import SQL_APPLIED, _raw_action
@@ -257,11 +257,30 @@ def _tail(sql: str) -> tuple[str, str]:
     return head, "SELECT" + end
 
 
+def e_accused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players of the same game whom a speech accuses, with their roles; null where entries name two."""
+    e = _ordered_entries(spark, sf_dir)
+    said = e.filter(F.col("action").startswith("SPEAK")).select("log_path", "game", "line_id", F.regexp_replace("action", r"^SPEAK[: ]*", "").alias("said"))
+    known = e.filter(F.col("identity").isin("Crewmate", "Impostor") & (F.trim("player") != "")).groupBy("log_path", "game", notes.player_name(F.col("player")).alias("accused"))
+    known = known.agg(F.when(F.min("identity") == F.max("identity"), F.min("identity")).alias("role"))
+    return said.join(known, ["log_path", "game"]).filter(notes.accuses(F.col("said"), F.col("accused"))).select("line_id", "accused", "role")
+
+
+def t_note_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What traces state in the wordings of the Chinese notes: summary, its topics, roles, the vote's reason, and what the prompt tells."""
+    t = logs.traces(spark, sf_dir, "prompt", "response", "note")
+    note, response = F.col("note"), F.col("response")
+    return t.select(
+        "trace_id", notes.summary(note).alias("summary"), notes.topics(note).alias("topics"), notes.noted_roles(note).alias("noted_roles"), notes.vote_reason(response).alias("vote_reason"),
+        notes.predicted_roles(response).alias("predicted_roles"), notes.prompt_digest(F.col("prompt")).alias("prompt_digest"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         e_latest_belief, e_prior_calls, e_pre_post_beliefs, e_belief_shift, e_consistent_roles, e_room_witnesses, e_repair_rows, e_rule_fold, t_entry_roles, t_first_per_phase, t_ranked_match,
-        t_changed_labels, t_missing_original, t_cache_lookup, t_phase_map, t_name_or_number,
+        t_changed_labels, t_missing_original, t_cache_lookup, t_phase_map, t_name_or_number, e_accused, t_note_parts,
     )
 }
 ORACLE = {
