@@ -260,23 +260,49 @@ class Classifier:
         Garbled ones among them are found by a first round and left out, unless the same passage stands in several texts:
         that is a usage of the corpus. The limit of each class is then set above the best run that it has in any intact text.
         """
+        first = cls.first_round(texts)
+        often = Counter(p for t, _ in texts if (p := first.suspect(t)) is not None)
+        model = first.second_round(texts, {p for p, n in often.items() if n >= USUAL})
+        model.set_limits(model.best_of_intact([t for t, _ in texts], np.zeros(len(model.classes))))
+        return model
+
+    @classmethod
+    def first_round(cls, texts: list[tuple[str, str]]) -> Classifier:
         model = cls._fit(texts)
         model.limits[:] = FIRST_ROUND
-        found = [model.find(t) for t, _ in texts]
-        passages = [_changed(t, f[1]) if f and f[1] is not None else None for (t, _), f in zip(texts, found)]
-        often = Counter(p for p in passages if p is not None)
-        sure = [f is not None and (often[p] < USUAL if p is not None else f[2] >= 4 * FIRST_ROUND) for f, p in zip(found, passages)]
-        kept = [x for x, bad in zip(texts, sure) if not bad]
-        model = cls._fit(kept)
-        best = np.zeros(len(model.classes))
-        for text, _ in kept:
-            model.limits = best  # only classes that come beyond what others had so far
-            more, sums = model._likely(text)
-            best[more] = np.maximum(best[more], sums)
-        least = np.array([FOUND if chain[0][0] == "utf-8" else FOUND_BYTES for chain, _ in model.classes])
-        model.limits = np.maximum(least, MARGIN * best + 2)
         return model
 
+    def suspect(self, text: str) -> str | None:
+        """The passage for which the first round takes a text as garbled; unrestored ones only with log odds far above the limit."""
+        found = self._find(text)
+        return found[3] if found and (found[1] is not None or found[2] >= 4 * FIRST_ROUND) else None
+
+    def second_round(self, texts: list[tuple[str, str]], usual: set[str]) -> Classifier:
+        """Fitted on the texts that this first round leaves; ``usual``: passages that are a usage of the corpus."""
+        self.usual = usual
+        model = self._fit([x for x in texts if not self.surely_garbled(x[0])])
+        model.first = self
+        return model
+
+    def surely_garbled(self, text: str) -> bool:
+        passage = self.suspect(text)
+        return passage is not None and passage not in self.usual
+
+    def best_of_intact(self, texts: list[str], best: np.ndarray) -> np.ndarray:
+        """The best run of each class in the texts that the first round leaves, or in those that gave ``best``."""
+        for text in texts:
+            self.limits = best  # only classes that come beyond what others had so far
+            more, sums = self._likely(text)
+            beyond = sums > best[more]
+            if beyond.any() and surely_intact(text) and not self.first.surely_garbled(text):
+                best[more] = np.maximum(best[more], sums)
+        return best
+
+    def set_limits(self, best: np.ndarray) -> None:
+        least = np.array([FOUND if chain[0][0] == "utf-8" else FOUND_BYTES for chain, _ in self.classes])
+        self.limits = np.maximum(least, MARGIN * best + 2)
+        self.first = None
+
     @classmethod
     def _fit(cls, texts: list[tuple[str, str]]) -> Classifier:
         intact: dict[str, _Counts] = {}
@@ -393,6 +419,11 @@ class Classifier:
 
     def find(self, text: str | None) -> tuple[str, str | None, float] | None:
         """(chain, restored text or None, log odds) of a garbled text, None for an intact one."""
+        found = self._find(text)
+        return found and found[:3]
+
+    def _find(self, text: str | None) -> tuple[str, str | None, float, str] | None:
+        """As ``find``, with the garbled passage."""
         if not text or text.isascii():
             return None
         found = self.passages(text)
@@ -409,11 +440,12 @@ class Classifier:
                 before, after = (x.decode("utf-8", "ignore") for x in (raw[max(0, first - 8) : first], raw[last : last + 8]))
                 restored = self._restore(raw[first:last].decode("utf-8"), chain, before, after)
                 if restored is not None:
-                    return chain_name(chain), raw[:first].decode("utf-8") + restored + raw[last:].decode("utf-8"), score
+                    whole = raw[:first].decode("utf-8") + restored + raw[last:].decode("utf-8")
+                    return chain_name(chain), whole, score, _changed(text, whole)
         score, k, start, end = max(found, key=lambda f: f[0] / self.limits[f[1]])
         lost = b"\xef\xbf\xbd" in raw[start:end]
         if lost or score >= 2 * self.limits[k]:
-            return chain_name(self.classes[k][0]), None, score
+            return chain_name(self.classes[k][0]), None, score, raw[start:end].decode("utf-8", "ignore")
         return None
 
     def _restore(self, passage: str, chain: tuple[tuple[str, str], ...], before: str, after: str) -> str | None:
