@@ -426,26 +426,27 @@ class Classifier:
         """As ``find``, with the garbled passage."""
         if not text or text.isascii():
             return None
-        found = self.passages(text)
-        if not found:
-            return None
-        raw = text.encode("utf-8", "replace")
+        raw = rest = text.encode("utf-8", "replace")
         tried = set()
-        for score, k, start, end in found:
-            chain = self.classes[k][0]
-            if (chain, start, end) in tried or score < RIVAL * found[0][0]:
-                continue
-            tried.add((chain, start, end))
-            for first, last in _borders(raw, start, end):
-                before, after = (x.decode("utf-8", "ignore") for x in (raw[max(0, first - 8) : first], raw[last : last + 8]))
-                restored = self._restore(raw[first:last].decode("utf-8"), chain, before, after)
-                if restored is not None:
-                    whole = raw[:first].decode("utf-8") + restored + raw[last:].decode("utf-8")
-                    return chain_name(chain), whole, score, _changed(text, whole)
-        score, k, start, end = max(found, key=lambda f: f[0] / self.limits[f[1]])
-        lost = b"\xef\xbf\xbd" in raw[start:end]
-        if lost or score >= 2 * self.limits[k]:
-            return chain_name(self.classes[k][0]), None, score, raw[start:end].decode("utf-8", "ignore")
+        while found := self.passages(rest.decode("utf-8", "ignore")):
+            for score, k, start, end in found:
+                chain = self.classes[k][0]
+                if (chain, start, end) in tried or score < RIVAL * found[0][0]:
+                    continue
+                tried.add((chain, start, end))
+                for first, last in _borders(raw, start, end):
+                    before, after = (x.decode("utf-8", "ignore") for x in (raw[max(0, first - 8) : first], raw[last : last + 8]))
+                    restored = self._restore(raw[first:last].decode("utf-8"), chain, before, after)
+                    if restored is not None:
+                        whole = raw[:first].decode("utf-8") + restored + raw[last:].decode("utf-8")
+                        return chain_name(chain), whole, score, _changed(text, whole)
+            score, k, start, end = max(found, key=lambda f: f[0] / self.limits[f[1]])
+            lost = b"\xef\xbf\xbd" in raw[start:end]
+            if lost or score >= 2 * self.limits[k]:
+                return chain_name(self.classes[k][0]), None, score, raw[start:end].decode("utf-8", "ignore")
+            # the strongest passage is correct text: the rest may hold a weaker one that isn't
+            start, end = _whole_characters(rest, *found[0][2:])
+            rest = rest[:start] + b" " * (end - start) + rest[end:]
         return None
 
     def _restore(self, passage: str, chain: tuple[tuple[str, str], ...], before: str, after: str) -> str | None:
@@ -471,6 +472,14 @@ class Classifier:
         return mean(restored) > mean(passage) + GAIN
 
 
+def _whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    while start > 0 and raw[start] & 0xC0 == 0x80:
+        start -= 1
+    while end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end += 1
+    return start, end
+
+
 def _borders(raw: bytes, start: int, end: int):
     """Slices of whole characters around a passage: its whole words, then as found, then grown and shrunk a little."""
     first, last = start, end

@@ -18,3 +18,17 @@ def test_copies_of_a_garbled_text_are_no_usage(spark):
 def test_sample_holds_distinct_texts(spark):
     docs = spark.createDataFrame([(i, f"é{i % 3}", ["fr", "de"][i % 2]) for i in range(30)], "doc_id bigint, text string, lang string")
     assert sorted(t for t, _ in mojibake.sample_texts(docs)) == ["é0", "é1", "é2"]
+
+
+def test_weaker_passage_behind_one_that_is_correct(spark, monkeypatch):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    model = garble.Classifier.train([x for x in mojibake.sample_texts(docs) if garble.surely_intact(x[0])])
+    bad = garble.garble(RUSSIAN[:40], (("utf-8", "cp1252"),))
+    text = "ÐÑÐÑ ÐÑÐÑ" + " Player 3 waited and said nothing for a long time." * 3 + " " + bad
+    passages, restore, first = model.passages, model._restore, "ÐÑÐÑ ÐÑÐÑ".encode()
+    end = len(first)
+    strong = lambda t: [(model.limits[0] * 1.5, 0, 0, end)] if t.startswith("ÐÑ") else passages(t)
+    monkeypatch.setattr(model, "passages", strong)
+    monkeypatch.setattr(model, "_restore", lambda p, *more: None if "ÐÑÐÑ ÐÑÐÑ" in p else restore(p, *more))
+    found = model.find(text)
+    assert found is not None and found[1].endswith(RUSSIAN[:40])
