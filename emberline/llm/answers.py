@@ -23,6 +23,8 @@ _TAIL = 200
 # Contents that stand for no content.
 PLACEHOLDERS = {"", "-", "--", "...", "…", "n/a", "na", "none", "null", "nil", "empty", "tbd", "todo", "undefined", "空", "无", "\"\"", "''", "[]", "{}", "()", "<>"}
 
+_LONGEST = max(map(len, PLACEHOLDERS))
+
 
 def strip_blank(text: str) -> str:
     """Without blanks of any kind at either end."""
@@ -88,9 +90,8 @@ def read_answer(text: str | None) -> Answer:
 
 
 def is_placeholder(text: str) -> bool:
-    if len(text) > 400 and not text.isspace():  # no placeholder is that long unless it is blank
-        return not strip_blank(text)
-    return strip_blank(_TAG.sub("", text)).lower() in PLACEHOLDERS
+    text = strip_blank(_TAG.sub("", text) if "<" in text else text)
+    return len(text) <= _LONGEST and text.lower() in PLACEHOLDERS
 
 
 def has_content(answer: Answer) -> bool:
