@@ -11,6 +11,7 @@ from __future__ import annotations
 import codecs
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,18 +23,20 @@ SMOOTHING = 0.02
 CLIP = 5.0
 #: Log odds from which a passage can count as garbled; more where both encodings take any byte, so that decoding proves nothing.
 FOUND, FOUND_BYTES = 10.0, 15.0
-#: The limit while garbled texts are looked for among the training texts, and how far above intact texts limits are set.
-FIRST_ROUND, MARGIN = 15.0, 1.25
+#: Log odds from which a passage that can't be inverted counts as garbled; where lost bytes show it suffices that the class counts.
+UNRESTORED = 60.0
+#: Log odds from which a training text is left out unverified.
+SUSPECT = 30.0
 #: Classes below this share of the best class's log odds aren't looked at.
 RIVAL = 0.4
-#: Training texts that must share a passage for it to count as a usage rather than as garbled.
-USUAL = 3
 #: How much more likely, in the mean over bigrams, the restored passage must be as intact text.
 GAIN = 1.0
 #: Bigrams of training text that a class must have.
-LEAST_BIGRAMS = 50
+LEAST_BIGRAMS = 10
 #: Numbers held at once while all classes are scored on a text.
 BLOCK = 4_000_000
+#: Numbers held at once while bounds are computed: few enough to stay in a core's cache.
+CACHED = 100_000
 #: Chunks whose scores a worker keeps; a chunk takes 16 bytes for each class.
 MEMO_CHUNKS = 4096
 
@@ -101,6 +104,8 @@ _DIGIT = re.compile(r"[0-9]")
 _NEAR = {i: "a" if chr(i).isalpha() else "0" if chr(i).isdigit() else " " for i in range(128) if chr(i).isalnum() or chr(i).isspace()} | {0xA0: "  "}
 _CHUNK = re.compile(r"(?=([\x00-\x7f][^\x00-\x7f]+(?:[\x00-\x7f]|$)))")
 _LOST = re.compile("\ufffd")
+#: Letters beyond ASCII, and controls that no text has.
+_LETTER = re.compile("[^\\W\\d_\x00-\x7f]|[\x80-\x9f]")
 #: Characters outside the blocks of Latin and Cyrillic letters, Han characters and their punctuation.
 _ODD = re.compile("[^\u0000-\u024f\u0300-\u036f\u0400-\u052f\u1e00-\u1eff\u2000-\u22ff\u2500-\u257f\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef\U0001f000-\U0001ffff]")
 #: Letters of two alphabets side by side, or a small accented letter among capitals.
@@ -111,14 +116,15 @@ def chain_name(chain: tuple[tuple[str, str], ...]) -> str:
     return "; ".join(f"{true} as {shown}" for true, shown in chain)
 
 
-def _tables(name: str) -> tuple[dict[str, int], list[str]]:
+def _tables(name: str) -> tuple[dict[int, int], list[str]]:
+    """What each character is encoded to, a character that no byte stands for where there is none, and what each byte shows."""
     shown = []
     for byte in range(256):
         try:
             shown.append(bytes([byte]).decode(name))
         except UnicodeDecodeError:
             shown.append(chr(byte))
-    return {c: i for i, c in enumerate(shown)}, shown
+    return {**dict.fromkeys(range(256), 0xFFFF), **{ord(c): i for i, c in enumerate(shown)}}, shown
 
 
 _LOOSE_TABLES = {name: _tables(name) for name in _LOOSE}
@@ -127,11 +133,7 @@ _LOOSE_TABLES = {name: _tables(name) for name in _LOOSE}
 def encode(text: str, name: str) -> bytes:
     """Strict: raises UnicodeEncodeError."""
     if name in _LOOSE:
-        table = _LOOSE_TABLES[name][0]
-        try:
-            return bytes(table[c] for c in text)
-        except KeyError as e:
-            raise UnicodeEncodeError(name, text, 0, 1, f"no byte for {e}") from None
+        return text.translate(_LOOSE_TABLES[name][0]).encode("latin-1")
     return codecs.encode(text, name)
 
 
@@ -172,7 +174,11 @@ _FOLD[[9, 10, 11, 12, 13]] = ord(" ")
 
 def bigrams(text: str) -> np.ndarray:
     """The bin of the bigram that ends at each byte; -1 where neither byte is beyond ASCII."""
-    raw = np.frombuffer(b" " + text.encode("utf-8", "replace").replace(b"\xc2\xa0", b"  "), np.uint8)  # a wide blank is a blank
+    return _bigrams(text.encode("utf-8", "replace").replace(b"\xc2\xa0", b"  "))  # a wide blank is a blank
+
+
+def _bigrams(encoded: bytes) -> np.ndarray:
+    raw = np.frombuffer(b" " + encoded, np.uint8)
     a, b = _FOLD[raw[:-1]], _FOLD[raw[1:]]
     bins = (((a << 8) | b) * 40503) & (BINS - 1)
     bins[(raw[:-1] < 128) & (raw[1:] < 128)] = -1
@@ -203,30 +209,16 @@ def _chunks(text: str) -> list[str]:
     return _CHUNK.findall(t)
 
 
-def _changed(before: str, after: str) -> str:
-    """The part of a text that another version of it has differently."""
-    start = next((i for i, (a, b) in enumerate(zip(before, after)) if a != b), min(len(before), len(after)))
-    end = next((i for i, (a, b) in enumerate(zip(reversed(before[start:]), reversed(after[start:]))) if a != b), 0)
-    return before[start : len(before) - end]
-
-
 class _Counts:
-    """Bins and their weights, summed up now and then."""
-
-    def __init__(self) -> None:
-        self.bins, self.weights, self.parts, self.size = np.zeros(0, np.int64), np.zeros(0), [], 0
+    """Bins and their weights."""
 
-    def add(self, bins: np.ndarray, weight: float) -> None:
-        self.parts.append((bins, weight))
-        self.size += len(bins)
-        if self.size > 1 << 16:
-            self.settle()
+    def __init__(self, bins: np.ndarray, weights: np.ndarray) -> None:
+        sums = np.bincount(bins, weights, BINS)
+        self.bins = np.flatnonzero(sums > 1e-6)
+        self.weights = sums[self.bins]
 
-    def settle(self) -> None:
-        bins = np.concatenate([self.bins, *[b for b, _ in self.parts]])
-        weights = np.concatenate([self.weights, *[np.full(len(b), w, float) for b, w in self.parts]])
-        self.bins, at = np.unique(bins, return_inverse=True)
-        self.weights, self.parts, self.size = np.bincount(at, weights, len(self.bins)), [], 0
+    def minus(self, other: _Counts) -> _Counts:
+        return _Counts(np.concatenate([self.bins, other.bins]), np.concatenate([self.weights, -other.weights]))
 
     def log_shares(self, columns: np.ndarray, n: int) -> np.ndarray:
         """By column; ``columns`` gives a bin's column, column 0 is for bins that nobody has seen."""
@@ -235,6 +227,48 @@ class _Counts:
         return np.log((1 - SMOOTHING) * out / max(self.weights.sum(), 1) + SMOOTHING / BINS)
 
 
+def _garbled_counts(weighed: dict[str, tuple[list[str], np.ndarray]]) -> dict[tuple[int, str], _Counts]:
+    """By (chain, language): the bigrams of the pieces, with their weights, as the chain shows those that it changes."""
+    out = {}
+    for lang, (pieces, weights) in weighed.items():
+        for k, chain in enumerate(CHAINS):
+            bad = garble_all(pieces, chain)
+            some = [i for i, (p, q) in enumerate(zip(pieces, bad)) if q is not None and p != q]
+            if some:
+                out[k, lang] = _weighed([bad[i] for i in some], weights[some])
+    return out
+
+
+def _weighed(pieces: list[str], weights: np.ndarray) -> _Counts:
+    """The bigrams beyond ASCII of all pieces, each with the weight of its piece."""
+    encoded = [p.encode("utf-8", "replace").replace(b"\xc2\xa0", b"  ") for p in pieces]
+    bins = _bigrams(b"\n".join(encoded))
+    of = np.repeat(weights, [len(x) + 1 for x in encoded])[: len(bins)]
+    return _Counts(bins[bins >= 0], of[bins >= 0])
+
+
+def _blocks(rows: np.ndarray, raw: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The rows in blocks of about ``size`` bytes."""
+    if len(rows):
+        ends = np.cumsum([len(raw[i]) + 1 for i in rows])
+        yield from np.split(rows, np.flatnonzero(np.diff(ends // max(1, size))) + 1)
+
+
+def garble_all(pieces: list[str], chain: tuple[tuple[str, str], ...]) -> list[str | None]:
+    """``garble`` of each piece, of all that can be encoded at once."""
+    bad: list[str | None] = [None] * len(pieces)
+    alphabet = {c for p in pieces for c in p}
+    missing = {c for c in alphabet if not c.isascii() and garble(c, chain[:1]) is None}
+    some = [i for i, p in enumerate(pieces) if not missing or missing.isdisjoint(p)]
+    together = garble("\n".join(pieces[i] for i in some), chain) if some else None
+    parts = together.split("\n") if together is not None else []
+    if len(parts) != len(some):  # a later step lacks a character of a piece, or a decoder has taken a line end
+        parts = [garble(pieces[i], chain) for i in some]
+    for i, part in zip(some, parts):
+        bad[i] = part
+    return bad
+
+
 @dataclass
 class Classifier:
     """``odds[c, k]``: log odds of class k against intact text in column c; a class is a chain over texts of one language.
@@ -251,78 +285,40 @@ class Classifier:
 
     def __getstate__(self) -> dict:
         """Without what is kept of chunks met: workers fill their own."""
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_") and k not in ("weighed", "garbled")}
 
     @classmethod
     def train(cls, texts: list[tuple[str, str]]) -> Classifier:
-        """``texts``: (text, language) of intact texts.
+        """``texts``: (text, language) of texts taken for intact.
 
-        Garbled ones among them are found by a first round and left out, unless the same passage stands in several texts:
-        that is a usage of the corpus. The limit of each class is then set above the best run that it has in any intact text.
+        Garbled ones among them are found by a first round and left out of the second. Limits are fixed: the same for every
+        corpus, and at every size of it.
         """
-        first = cls.first_round(texts)
-        often = Counter(p for t, _ in texts if (p := first.suspect(t)) is not None)
-        model = first.second_round(texts, {p for p, n in often.items() if n >= USUAL})
-        model.set_limits(model.best_of_intact([t for t, _ in texts], np.zeros(len(model.classes))))
-        return model
-
-    @classmethod
-    def first_round(cls, texts: list[tuple[str, str]]) -> Classifier:
-        model = cls._fit(texts)
-        model.limits[:] = FIRST_ROUND
-        return model
-
-    def suspect(self, text: str) -> str | None:
-        """The passage for which the first round takes a text as garbled; unrestored ones only with log odds far above the limit."""
-        found = self._find(text)
-        return found[3] if found and (found[1] is not None or found[2] >= 4 * FIRST_ROUND) else None
+        first = cls._fit(texts)
+        mask = first.may_hold([t for t, _ in texts])
+        kept = [x for x, maybe in zip(texts, mask) if not (maybe and first.suspects(x[0]))]
+        return cls._fit(kept, first) if len(kept) < len(texts) else first
 
-    def second_round(self, texts: list[tuple[str, str]], usual: set[str]) -> Classifier:
-        """Fitted on the texts that this first round leaves; ``usual``: passages that are a usage of the corpus."""
-        self.usual = usual
-        model = self._fit([x for x in texts if not self.surely_garbled(x[0])])
-        model.first = self
-        return model
-
-    def surely_garbled(self, text: str) -> bool:
-        passage = self.suspect(text)
-        return passage is not None and passage not in self.usual
-
-    def best_of_intact(self, texts: list[str], best: np.ndarray) -> np.ndarray:
-        """The best run of each class in the texts that the first round leaves, or in those that gave ``best``."""
-        for text in texts:
-            self.limits = best  # only classes that come beyond what others had so far
-            more, sums = self._likely(text)
-            beyond = sums > best[more]
-            if beyond.any() and surely_intact(text) and not self.first.surely_garbled(text):
-                best[more] = np.maximum(best[more], sums)
-        return best
-
-    def set_limits(self, best: np.ndarray) -> None:
-        least = np.array([FOUND if chain[0][0] == "utf-8" else FOUND_BYTES for chain, _ in self.classes])
-        self.limits = np.maximum(least, MARGIN * best + 2)
-        self.first = None
+    def suspects(self, text: str) -> bool:
+        """Whether a training text is left out: verified, or so likely garbled that intact texts may only look alike for being garbled too."""
+        best = self._likely(text)[1]
+        return bool(len(best)) and (best.max() >= SUSPECT or self.find(text) is not None)
 
     @classmethod
-    def _fit(cls, texts: list[tuple[str, str]]) -> Classifier:
-        intact: dict[str, _Counts] = {}
-        garbled: dict[tuple[int, str], _Counts] = {}
-        met: dict[str, dict[str, int]] = {}
+    def _fit(cls, texts: list[tuple[str, str]], first: Classifier | None = None) -> Classifier:
+        """``first``: a model of these texts and others; what it counted in words that only the others have is taken back."""
+        met: dict[str, Counter] = {}
         for text, lang in texts:
-            bins = bigrams(text)
-            intact.setdefault(lang, _Counts()).add(bins[bins >= 0], 1)
-            words = met.setdefault(lang, {})
-            for piece in _pieces(text):
-                words[piece] = words.get(piece, 0) + 1
-        for lang, words in met.items():
-            for piece, n in words.items():
-                for k, chain in enumerate(CHAINS):
-                    bad = garble(piece, chain)
-                    if bad is not None and bad != piece:
-                        bins = bigrams(bad)
-                        garbled.setdefault((k, lang), _Counts()).add(bins[bins >= 0], n)
-        for counts in (*intact.values(), *garbled.values()):
-            counts.settle()
+            met.setdefault(lang, Counter()).update(_pieces(text))
+        # a word that is met n times counts 1 + ln n times, so that no sentence speaks louder for being repeated
+        weighed = {lang: (list(words), 1 + np.log(np.fromiter(words.values(), float, len(words)))) for lang, words in met.items()}
+        intact = {lang: _weighed(*x) for lang, x in weighed.items()}
+        if first is None:
+            garbled = _garbled_counts(weighed)
+        else:
+            others = {lang: [i for i, p in enumerate(pieces) if p not in met.get(lang, ())] for lang, (pieces, _) in first.weighed.items()}
+            less = _garbled_counts({lang: ([first.weighed[lang][0][i] for i in at], first.weighed[lang][1][at]) for lang, at in others.items() if at})
+            garbled = {x: c.minus(less[x]) if x in less else c for x, c in first.garbled.items()}
         kept = [x for x in sorted(garbled) if garbled[x].weights.sum() >= LEAST_BIGRAMS]
         seen = np.unique(np.concatenate([np.zeros(0, np.int64), *[c.bins for c in intact.values()], *[garbled[x].bins for x in kept]]))
         columns = np.zeros(BINS, np.int32)
@@ -335,7 +331,54 @@ class Classifier:
         for j, x in enumerate(kept):
             odds[:, j] = np.clip(garbled[x].log_shares(columns, n) - base, -CLIP, CLIP)
         odds[0] = 0
-        return cls(columns, odds, [(CHAINS[k], lang) for k, lang in kept], logs.astype(np.float32), np.full(len(kept), FOUND))
+        limits = np.array([FOUND if CHAINS[k][0][0] == "utf-8" else FOUND_BYTES for k, _ in kept])
+        model = cls(columns, odds, [(CHAINS[k], lang) for k, lang in kept], logs.astype(np.float32), limits)
+        model.weighed, model.garbled = weighed, garbled
+        return model
+
+    def may_hold(self, texts: list[str]) -> np.ndarray:
+        """Which of the texts can hold a passage that reaches a limit: upper bounds for all classes, over all texts at once.
+
+        No run of a class can sum up to more than the same run does if at each byte the class that says most speaks. First the
+        classes with the same limit are bounded together; a run that reaches the limit lies in a stretch in which that bound
+        is positive throughout and somewhere reaches it. In these stretches the classes of each chain are bounded together.
+        """
+        out = np.zeros(len(texts), bool)
+        if not len(self.classes) or not texts:
+            return out
+        if not hasattr(self, "_bounds"):
+            self._bounds = []
+            for limit in np.unique(self.limits):
+                here = np.flatnonzero(self.limits == limit)
+                chains = list(dict.fromkeys(self.classes[k][0] for k in here))
+                of = np.array([chains.index(self.classes[k][0]) for k in here])
+                by_chain = np.stack([self.odds[:, here[of == i]].max(axis=1) for i in range(len(chains))], axis=1)
+                self._bounds.append((limit - 0.01, by_chain.max(axis=1).astype(np.float64), by_chain))
+        raw = [t.encode("utf-8", "replace").replace(b"\xc2\xa0", b"  ") for t in texts]
+        for block in _blocks(np.arange(len(raw)), raw, CACHED):
+            bins = _bigrams(b"\n".join([raw[i] for i in block]))
+            at = np.flatnonzero(bins >= 0)
+            starts = np.concatenate([[0], np.cumsum([len(raw[i]) + 1 for i in block])[:-1]])
+            begins = np.searchsorted(at, starts)
+            columns = self.columns[bins[at]]
+            for limit, bound, by_chain in self._bounds:
+                # a step down that nothing makes up for stands before each text, so that no run goes across two
+                total = np.cumsum(np.insert(bound[columns], begins, -1e6))
+                gain = np.delete(total - np.minimum.accumulate(total), begins + np.arange(len(begins)))
+                up = gain > 0
+                first = np.flatnonzero(up & ~np.concatenate([[False], up[:-1]]) | up & np.isin(np.arange(len(up)), begins))
+                if not len(first):
+                    continue
+                last = np.append(first[1:], len(up))
+                high = np.maximum.reduceat(gain, first) >= limit
+                for a, b in zip(first[high], last[high]):
+                    text = block[np.searchsorted(begins, a, "right") - 1]
+                    if out[text]:
+                        continue
+                    total = np.cumsum(by_chain[columns[a:b][up[a:b]]], axis=0)
+                    low = np.minimum(np.minimum.accumulate(np.vstack([np.zeros((1, total.shape[1]), total.dtype), total[:-1]]), axis=0), 0)
+                    out[text] = (total - low).max() >= limit
+        return out
 
     def _columns(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The bytes at which bigrams beyond ASCII end, and their columns."""
@@ -418,14 +461,36 @@ class Classifier:
         return sorted(out, reverse=True)
 
     def find(self, text: str | None) -> tuple[str, str | None, float] | None:
-        """(chain, restored text or None, log odds) of a garbled text, None for an intact one."""
-        found = self._find(text)
-        return found and found[:3]
+        """(chains, restored text or None, log odds of the strongest passage) of a garbled text, None for an intact one.
 
-    def _find(self, text: str | None) -> tuple[str, str | None, float, str] | None:
-        """As ``find``, with the garbled passage."""
+        A passage that is found divides the text; what stands before and behind it is searched on its own, and what it was
+        restored to as well where that is shorter, so that every passage is restored. Lost bytes in one leave no original.
+        """
         if not text or text.isascii():
             return None
+        chains, scores, whole, lost = {}, [], [], False
+        todo = [(text, True)]
+        while todo:
+            part, open_ = todo.pop()
+            hit = self._passage(part) if open_ and not part.isascii() and self.may_hold([part])[0] else None
+            if hit is None:
+                whole.append(part)
+                continue
+            first, last, chain, restored, score = hit
+            chains[chain] = None
+            scores.append(score)
+            lost = lost or restored is None
+            raw = part.encode("utf-8", "replace")
+            middle = raw[first:last].decode("utf-8", "ignore")
+            todo.append((raw[last:].decode("utf-8", "ignore"), True))
+            todo.append((middle, False) if restored is None else (restored, len(restored) < len(middle)))
+            todo.append((raw[:first].decode("utf-8", "ignore"), True))
+        if not chains:
+            return None
+        return " | ".join(chains), None if lost else "".join(whole), max(scores)
+
+    def _passage(self, text: str) -> tuple[int, int, str, str | None, float] | None:
+        """(first byte, byte after the last, chain, restored or None, log odds) of one garbled passage."""
         raw = rest = text.encode("utf-8", "replace")
         tried = set()
         while found := self.passages(rest.decode("utf-8", "ignore")):
@@ -438,12 +503,11 @@ class Classifier:
                     before, after = (x.decode("utf-8", "ignore") for x in (raw[max(0, first - 8) : first], raw[last : last + 8]))
                     restored = self._restore(raw[first:last].decode("utf-8"), chain, before, after)
                     if restored is not None:
-                        whole = raw[:first].decode("utf-8") + restored + raw[last:].decode("utf-8")
-                        return chain_name(chain), whole, score, _changed(text, whole)
+                        return first, last, chain_name(chain), restored, score
             score, k, start, end = max(found, key=lambda f: f[0] / self.limits[f[1]])
-            lost = b"\xef\xbf\xbd" in raw[start:end]
-            if lost or score >= 2 * self.limits[k]:
-                return chain_name(self.classes[k][0]), None, score, raw[start:end].decode("utf-8", "ignore")
+            start, end = _whole_characters(rest, start, end)
+            if score >= UNRESTORED or b"\xef\xbf\xbd" in raw[start:end]:
+                return start, end, chain_name(self.classes[k][0]), None, score
             # the strongest passage is correct text: the rest may hold a weaker one that isn't
             start, end = _whole_characters(rest, *found[0][2:])
             rest = rest[:start] + b" " * (end - start) + rest[end:]
@@ -451,6 +515,8 @@ class Classifier:
 
     def _restore(self, passage: str, chain: tuple[tuple[str, str], ...], before: str, after: str) -> str | None:
         """The original of a passage, verified: strict decoding, the way back, and that it reads better; else run by run."""
+        if chain[-1][1] == "utf-8" and _LOST.search(passage):
+            return None
         restored = invert(passage, chain)
         if restored is None and not _LOST.search(passage):
             restored = _RUN.sub(lambda m: invert(m.group(), chain) or m.group(), passage)
@@ -467,6 +533,8 @@ class Classifier:
             columns = self._columns(" " + text + " ")[1]
             return float(self.intact[columns].mean(axis=0).max()) if len(columns) else 0.0
 
+        if not (_LETTER.search(passage) or _LETTER.search(restored)):  # signs between words are correct unless they hide letters
+            return False
         if restored.count("\ufffd") > passage.count("\ufffd") or len(_MIXED.findall(restored)) > len(_MIXED.findall(passage)):
             return False
         return mean(restored) > mean(passage) + GAIN

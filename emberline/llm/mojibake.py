@@ -1,9 +1,10 @@
 """Texts that were decoded with the wrong encoding, and their originals (problem 9).
 
 ``garble.Classifier`` is trained on a bounded sample of the corpus, garbled by every chain it knows. Each text is scored
-whole; the best passage of the likeliest chains is inverted, and counts as restored if every byte decodes strictly, the
-way back gives the passage again, and the result reads as intact text. A passage that can't be inverted because bytes
-were lost is still found, by its score alone, with a null restoration.
+whole, first by a bound for all chains over a whole batch, then class by class where the bound allows a passage. The best
+passage of the likeliest chains is inverted, and counts as restored if every byte decodes strictly, the way back gives the
+passage again, and the result reads as intact text; then the rest of the text is searched. A passage that can't be inverted
+because bytes were lost is still found, by its score alone, with a null restoration of the text.
 
 Defined cases: null, empty and plain ASCII texts are intact; correct rare characters (other scripts, box lines, signs,
 emoji) are intact as far as the sample or the verification shows them so; very long texts are scored whole, class by
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.llm.budget import base_language
-from emberline.llm.garble import USUAL, Classifier, surely_intact
+from emberline.llm.garble import Classifier, surely_intact
 
 #: Texts the classifier is fitted on, and the length up to which texts are taken for it.
 SAMPLE_TEXTS, SAMPLE_CHARS = 3000, 20_000
@@ -32,50 +33,25 @@ def sample_texts(documents: DataFrame, text: str = "text", lang: str = "lang", n
     Copies of a text count once, whatever their ids. Only texts whose hash is small enough that about 2n remain are sorted.
     """
     rows = documents.filter(F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS) & F.col(text).rlike(r"[^\x00-\x7F]"))
-    rows = rows.select(F.col(text).alias("t"), F.coalesce(base_language(F.col(lang)), F.lit("xx")).alias("l"), F.xxhash64(text).alias("h"))
-    share = min(1.0, 2 * n / max(1, rows.select("h").distinct().count()))
-    rows = rows.filter(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("t", "h").agg(F.min("l").alias("l")).orderBy(F.pmod("h", F.lit(1_000_000)), "h").limit(n)
+    place = F.shiftrightunsigned(F.xxhash64(text), 1)  # 63 bits: fine enough for a sample of any number of rows
+    rows = rows.select(F.col(text).alias("t"), F.coalesce(base_language(F.col(lang)), F.lit("xx")).alias("l"), place.alias("h"))
+    distinct = rows.select(F.approx_count_distinct("h", 0.02)).first()[0]
+    if 2 * n < distinct:
+        rows = rows.filter(F.col("h") < int(2 * n / distinct * 2**63))
+    rows = rows.groupBy("t", "h").agg(F.min("l").alias("l")).orderBy("h", "t").limit(n)
     return [(r.t, r.l) for r in rows.select("t", "l", "h").collect()]
 
 
-def fit(documents: DataFrame, sample: list[tuple[str, str]], text: str = "text") -> Classifier:
-    """A classifier of the sample; its usages are counted over all distinct texts, its limits set above the best runs of them all."""
-    rows = documents.filter(F.col(text).rlike(r"[^\x00-\x7F]")).select(text)
-    context = documents.sparkSession.sparkContext
-    shared = context.broadcast(Classifier.first_round(sample))
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(t, p) for t in batch.column(0).to_pylist() if (p := shared.value.suspect(t)) is not None and surely_intact(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], ["t", "passage"])
-
-    often = rows.mapInArrow(passages, "t string, passage string").groupBy("passage").agg(F.count_distinct(F.xxhash64("t")).alias("n"))
-    usual = {r.passage for r in often.filter(F.col("n") >= USUAL).select("passage").collect()}
-    model = shared.value.second_round(sample, usual)
-    best = model.best_of_intact([t for t, _ in sample], np.zeros(len(model.classes)))
-    second = context.broadcast((model, best))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, best = second.value[0], second.value[1].copy()
-        for batch in batches:
-            best = model.best_of_intact(batch.column(0).to_pylist(), best)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(best)), pa.int32()), pa.array(best, pa.float64())], ["k", "best"])
-
-    for r in rows.mapInArrow(runs, "k int, best double").groupBy("k").agg(F.max("best").alias("best")).collect():  # a row per class
-        best[r.k] = max(best[r.k], r.best)
-    model.set_limits(best)
-    return model
-
-
 def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", n: int = SAMPLE_TEXTS) -> DataFrame:
     """(key, chain, restored, log_odds) of the garbled texts; no shuffle besides the sample's."""
-    model = fit(documents, [x for x in sample_texts(documents, text, lang, n) if surely_intact(x[0])], text)
+    model = Classifier.train([x for x in sample_texts(documents, text, lang, n) if surely_intact(x[0])])
     shared = documents.sparkSession.sparkContext.broadcast(model)  # some MB: bins seen in the sample x chains x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            rows = [(i, *found) for i, t in enumerate(batch.column(1).to_pylist()) if (found := model.find(t))]
+            texts = batch.column(1).to_pylist()
+            rows = [(i, *found) for i in np.flatnonzero(model.may_hold(texts)) if (found := model.find(texts[i]))]
             cols = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))]
             cols += [pa.array([r[j] for r in rows], kind) for j, kind in ((1, pa.string()), (2, pa.string()), (3, pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, [key, "chain", "restored", "log_odds"])

@@ -32,3 +32,34 @@ def test_weaker_passage_behind_one_that_is_correct(spark, monkeypatch):
     monkeypatch.setattr(model, "_restore", lambda p, *more: None if "ÐÑÐÑ ÐÑÐÑ" in p else restore(p, *more))
     found = model.find(text)
     assert found is not None and found[1].endswith(RUSSIAN[:40])
+
+
+FRENCH = "Après avoir écouté la tablée, le joueur 5 a changé de côté en un seul tour, et la nuit paisible désigne le rôle de sorcière."
+
+
+def test_garbled_sentences_that_recur_are_found(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    sample = [x for x in mojibake.sample_texts(docs) if garble.surely_intact(x[0])]
+    for chain in ((("cp1251", "cp1252"),), (("koi8-r", "cp1251"),)):
+        bad = garble.garble(RUSSIAN, chain)
+        for copies in (3, 50):
+            model = garble.Classifier.train([(f"{t} {bad}" if i < copies else t, lang) for i, (t, lang) in enumerate(sample)])
+            assert model.find(f"Player 3 waited. {bad} Then all.")[1] == f"Player 3 waited. {RUSSIAN} Then all."
+
+
+def test_every_passage_is_restored_and_bounds_lose_nothing(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    model = garble.Classifier.train([x for x in mojibake.sample_texts(docs) if garble.surely_intact(x[0])])
+    bad = [garble.garble(FRENCH, (("utf-8", "cp1252"),)), garble.garble(RUSSIAN, (("cp1251", "cp1252"),))]
+    chains, restored, _ = model.find(f"{bad[0]} Then all was quiet. {bad[1]}")
+    assert restored == f"{FRENCH} Then all was quiet. {RUSSIAN}" and " | " in chains
+    texts = [r.text for r in docs.select("text").collect() if r.text] + bad + ["", "plain", "é"]
+    mask = model.may_hold(texts)
+    for text, maybe in zip(texts, mask):
+        assert maybe or text.isascii() or not len(model._likely(text)[0])
+    assert list(mask) == [bool(model.may_hold([t])[0]) for t in texts]
+
+
+def test_sample_of_very_many_texts_is_not_empty(spark):
+    docs = spark.createDataFrame([(i, f"é{i}", "fr") for i in range(5000)], "doc_id bigint, text string, lang string")
+    assert len(mojibake.sample_texts(docs, n=5)) == 5
