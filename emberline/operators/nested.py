@@ -8,18 +8,25 @@
    singleton and is inlined: its members become columns of the nearest table above it.
 3. ``shred`` walks the records again and emits the rows of all tables with their keys.
 
-A row's key is (record id, table, path): ``path`` holds the places of the list items on the way from the record down to
-the row. Its parent is the row (record id, parent_table, path without the last place); ``place`` is its own place from
-1, or the number in the member's name for a map. Rows are emitted where the record is read: no shuffle.
+A row's key is (record id, row_key). ``row_key`` is a digest of the parent's key and the step from it: the names of the
+inlined members on the way, the member's own name, and the place in a list. So no two rows of a record share a key, and a
+key has the same size at any depth. A row's parent is the row (record id, parent_key) of ``parent_table``; ``place`` is its
+own place from 1, or the number in the member's name for a map, ``name`` that name. ``path`` holds the places from the
+record down, for rows of at most ``PATH_DEPTH`` levels; deeper rows have their keys only. Rows are emitted where the record
+is read: no shuffle.
 
 Defined cases: texts that don't parse (``parse`` gives None) have no rows; null items and null members have none, but
 keep their place; a member missing or null leaves its column null; a member that is a scalar here and an object there
-fills a column in the first case and inlined columns in the second; nested lists get a table per level; empty tables
-give empty results; members may be called like the operator's own columns (they live in a map).
+fills a column in the first case and inlined columns in the second; items of lists within lists share a table that refers
+to itself, maps within maps too; dots and backslashes inside member names are escaped by a backslash in column names;
+records may be nested to any depth; an element with so many different members that the schema graph would outgrow the
+driver is taken for a map, whatever its members are called; empty tables give empty results; members may be called like the
+operator's own columns (they live in a map).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import defaultdict
@@ -29,12 +36,18 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Members of the schema graph that may be brought to the driver. It grows with the variety of member names, not with rows.
+#: Members of the schema graph that are brought to the driver; beyond it the elements with most members are taken for maps.
 MOST_EDGES = 20_000
+#: Levels down to which rows carry their path.
+PATH_DEPTH = 64
 ROOT = "$"
 _DATA_KEY = re.compile(r"^(?:.*\D)?(\d{1,9})$", re.S)
 _GRAPH = "parent string, member string, kind string, n bigint"
-_ROWS = "table string, parent_table string, path array<int>, place int, member string, item_text string, columns map<string,string>"
+_ROWS = (
+    "table string, parent_table string, row_key string, parent_key string, path array<int>, parent_place int, place int, member string, name string, item_text string, "
+    "columns map<string,string>"
+)
+_SUFFIXES = re.compile(r"(?:\[\]|\.#)+$")
 
 
 def data_number(key: str) -> int | None:
@@ -58,45 +71,51 @@ class Reader:
     variant: dict[str, str] = field(default_factory=dict)
 
 
-def _members(reader: Reader, obj: dict) -> Iterator[tuple[str, int | None, object]]:
-    """(element name, number if the name is data, value) of each member that isn't null."""
+def items_of(element: str, mark: str) -> str:
+    """The element of the items (``[]``) or of the members of a map (``.#``); containers within containers stay at one name."""
+    return _SUFFIXES.sub("", element) + mark
+
+
+def _members(reader: Reader, obj: dict, is_map: bool = False) -> Iterator[tuple[str, int | None, object, str]]:
+    """(element name, number if the name is data, value, name) of each member that isn't null."""
     for key, value in obj.items():
         if value is None:
             continue
         number = data_number(key)
-        if number is not None:
-            yield "#", number, value
+        if number is not None or is_map:
+            yield "#", number, value, key
             continue
         by = reader.variant.get(key)
         if by is not None and isinstance(value, dict) and isinstance(obj.get(by), str):
-            yield f"{key}:{obj[by]}", None, value
+            yield f"{key}:{obj[by]}", None, value, key
         else:
-            yield key, None, value
+            yield key, None, value, key
 
 
 def _kind(value: object) -> str:
     return "object" if isinstance(value, dict) else "list" if isinstance(value, list) else "scalar"
 
 
-def _count_edges(reader: Reader, name: str, value: object, edges: dict) -> None:
+def _count_edges(reader: Reader, name: str, value: object, edges: dict, maps: frozenset[str]) -> None:
     todo = [(name, value)]
     while todo:
         at, v = todo.pop()
         if isinstance(v, dict):
-            for member, _, child in _members(reader, v):
-                label = f"{at}.#" if member == "#" else member
+            for member, _, child, _ in _members(reader, v, at in maps):
+                label = items_of(at, ".#") if member == "#" else member
                 edges[at, label, "map " + _kind(child) if member == "#" else _kind(child)] += 1
                 if not isinstance(child, (str, int, float, bool)):
                     todo.append((label, child))
         elif isinstance(v, list):
+            label = items_of(at, "[]")
             for child in v:
                 if child is not None:
-                    label = f"{at}[]"
                     edges[at, label, "item " + _kind(child)] += 1
-                    todo.append((label, child))
+                    if not isinstance(child, (str, int, float, bool)):
+                        todo.append((label, child))
 
 
-def schema_graph(texts: DataFrame, text: str, reader: Reader) -> DataFrame:
+def schema_graph(texts: DataFrame, text: str, reader: Reader, maps: frozenset[str] = frozenset()) -> DataFrame:
     """(parent, member, kind, n) over all records; each task hands on its sums only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +124,7 @@ def schema_graph(texts: DataFrame, text: str, reader: Reader) -> DataFrame:
             for t in batch.column(0).to_pylist():
                 root = reader.parse(t) if t is not None else None
                 if root is not None:
-                    _count_edges(reader, ROOT, root, edges)
+                    _count_edges(reader, ROOT, root, edges, maps)
         keys = list(edges)
         cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(list(edges.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, ["parent", "member", "kind", "n"])
@@ -115,9 +134,10 @@ def schema_graph(texts: DataFrame, text: str, reader: Reader) -> DataFrame:
 
 @dataclass
 class Plan:
-    """``tables``: elements with a table of their own, and why; every other element is inlined."""
+    """``tables``: elements with a table of their own, and why; every other element is inlined. ``maps``: elements all of whose members are data."""
 
     tables: dict[str, str]
+    maps: frozenset[str] = frozenset()
 
 
 def plan_tables(edges: list[tuple[str, str, str]]) -> Plan:
@@ -148,56 +168,75 @@ def plan_tables(edges: list[tuple[str, str, str]]) -> Plan:
     return Plan(why)
 
 
-def learn_plan(texts: DataFrame, text: str, reader: Reader) -> Plan:
-    graph = schema_graph(texts, text, reader).select("parent", "member", "kind").limit(MOST_EDGES + 1).collect()
-    if len(graph) > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} different members: member names seem to be data; give them to the reader as lists")
-    return plan_tables([tuple(r) for r in graph])
+def learn_plan(texts: DataFrame, text: str, reader: Reader, most: int = MOST_EDGES) -> Plan:
+    """Scalar members can't get a table, so only what holds others, or is repeated, is brought to the driver."""
+    maps: frozenset[str] = frozenset()
+    while True:
+        graph = schema_graph(texts, text, reader, maps).filter(F.col("kind") != "scalar").select("parent", "member", "kind")
+        edges = graph.limit(most + 1).collect()
+        if len(edges) <= most:
+            return Plan(plan_tables([tuple(r) for r in edges]).tables, maps)
+        # names are data: the elements with most different members become maps, as many as it takes at least
+        wide = graph.filter(~F.col("kind").startswith("map ")).groupBy("parent").agg(F.count_distinct("member").alias("n"))
+        maps |= {r.parent for r in wide.orderBy(F.desc("n"), "parent").limit(max(1, most // 200)).collect()}
+
+
+def _key(parent: str, step: str) -> str:
+    return hashlib.blake2b(f"{parent}\0{step}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _escaped(name: str) -> str:
+    return name.replace("\\", "\\\\").replace(".", "\\.") if "." in name or "\\" in name else name
 
 
 def _emit(reader: Reader, plan: Plan, root: object, only: Callable[[str], bool]) -> Iterator[tuple]:
-    """Rows (table, parent table, path, place, member, item text, columns) of a record, parents before children."""
-    todo: list[tuple] = [(ROOT, None, (), None, ROOT, root)]
+    """Rows (table, parent table, key, parent's key, path, parent's place, place, member, name, item text, columns) of a record, parents before children."""
+    todo: list[tuple] = [(ROOT, None, None, "$", (), None, None, ROOT, None, root)]
     while todo:
-        table, parent_table, path, place, member, value = todo.pop()
+        table, parent_table, parent_key, step, path, parent_place, place, member, own, value = todo.pop()
         wanted = only(table)
         if not wanted and not isinstance(value, (dict, list)):
             continue
+        key = _key(parent_key, step) if parent_key is not None else ROOT
+        short = path is not None and len(path) < PATH_DEPTH
         columns: dict[str, str | None] = {}
         below: list[tuple] = []
         inline: list[tuple[str, str, object]] = [("", table, value)]
         while inline:
             prefix, element, v = inline.pop()
             if isinstance(v, dict):
-                for name, number, child in _members(reader, v):
-                    label = f"{element}.#" if name == "#" else name
-                    if number is not None or (isinstance(child, dict) and label in plan.tables):
-                        at = number if number is not None else 1
-                        below.append((label, table, (*path, at), at, element if number is not None else name, child))
+                for name, number, child, own_name in _members(reader, v, element in plan.maps):
+                    label = items_of(element, ".#") if name == "#" else name
+                    if name == "#" or (isinstance(child, dict) and label in plan.tables):
+                        at = number if name == "#" else 1
+                        deeper = (*path, 0 if at is None else at) if short else None
+                        below.append((label, table, key, f"{prefix}{_escaped(own_name)}", deeper, place, at, element if name == "#" else name, own_name, child))
                     elif isinstance(child, (dict, list)):
-                        inline.append((f"{prefix}{name.partition(':')[0]}.", label, child))
+                        inline.append((f"{prefix}{_escaped(own_name)}.", label, child))
                     elif wanted:
-                        columns[prefix + name] = scalar_text(child)
+                        columns[prefix + _escaped(own_name)] = scalar_text(child)
             elif isinstance(v, list):
+                label = items_of(element, "[]")
                 for i, child in enumerate(v, 1):
                     if child is not None:
-                        below.append((f"{element}[]", table, (*path, i), i, element, child))
+                        below.append((label, table, key, f"{prefix}[{i}]", (*path, i) if short else None, place, i, element, None, child))
         if wanted:
             text = None if isinstance(value, (dict, list)) else scalar_text(value)
-            yield table, parent_table, list(path), place, member, text, columns
+            yield table, parent_table, key, parent_key, None if path is None else list(path), parent_place, place, member, own, text, columns
         todo.extend(reversed(below))
 
 
 def shred(texts: DataFrame, key: str, text: str, reader: Reader, plan: Plan | None = None, only: set[str] | None = None) -> DataFrame:
-    """(rec_id, table, parent_table, path, place, member, item_text, columns): the rows of all tables.
+    """(rec_id, table, parent_table, row_key, parent_key, path, parent_place, place, member, name, item_text, columns): the rows of all tables.
 
     ``columns`` holds the inlined members by dotted name; ``flat_table`` makes a table of named columns of it. ``only``
     names the tables that are asked for; the rows of others aren't made.
     """
     plan = plan or learn_plan(texts, text, reader)
     kind = texts.schema[key].dataType.simpleString()
-    types = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
-    names = ["table", "parent_table", "path", "place", "member", "item_text", "columns"]
+    text_type, number = pa.string(), pa.int32()
+    types = [text_type, text_type, text_type, text_type, pa.list_(number), number, number, text_type, text_type, text_type, pa.map_(text_type, text_type)]
+    names = ["table", "parent_table", "row_key", "parent_key", "path", "parent_place", "place", "member", "name", "item_text", "columns"]
     wanted = only.__contains__ if only is not None else lambda _: True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +250,7 @@ def shred(texts: DataFrame, key: str, text: str, reader: Reader, plan: Plan | No
                         rows.append(row)
             cols = [batch.column(0).take(pa.array(ids, pa.int64()))]
             for j, type_ in enumerate(types):
-                values = [list(r[j].items()) if j == 6 else r[j] for r in rows]
+                values = [list(r[j].items()) if j == 10 else r[j] for r in rows]
                 cols.append(pa.array(values, type_))
             yield pa.RecordBatch.from_arrays(cols, ["rec_id", *names])
 
@@ -221,12 +260,13 @@ def shred(texts: DataFrame, key: str, text: str, reader: Reader, plan: Plan | No
 def flat_table(rows: DataFrame, table: str | Column, columns: dict[str, str]) -> DataFrame:
     """One table: its keys and ``columns`` (output name -> dotted member name)."""
     where = F.col("table") == table if isinstance(table, str) else table
-    return rows.filter(where).select("rec_id", "table", "parent_table", "path", "place", *[F.col("columns")[src].alias(out) for out, src in columns.items()], "item_text")
+    keys = ["rec_id", "table", "parent_table", "row_key", "parent_key", "path", "place"]
+    return rows.filter(where).select(*keys, *[F.col("columns")[src].alias(out) for out, src in columns.items()], "item_text")
 
 
 def child_items(rows: DataFrame) -> DataFrame:
-    """(rec_id, parent_no, member, item_no, item): the items of lists and maps with their parent's place (0: the record)."""
-    parent_no = F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(F.lit(0))
-    return rows.filter("place IS NOT NULL").select(
-        "rec_id", parent_no.cast("int").alias("parent_no"), "table", "parent_table", "member", F.col("place").alias("item_no"), F.col("item_text"), "columns"
+    """(rec_id, row_key, parent_key, parent_no, member, name, item_no, item): every child with its parent's place (0: the record)."""
+    return rows.filter("parent_table IS NOT NULL").select(
+        "rec_id", "row_key", "parent_key", F.coalesce("parent_place", F.lit(0)).alias("parent_no"), "table", "parent_table", "member", "name",
+        F.col("place").alias("item_no"), F.col("item_text"), "columns",
     )

@@ -53,7 +53,7 @@ def p3_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "poison": "content.poison", "pass": "content.pass", "shoot": "content.shoot", "outcome": "content.outcome",
     }
     flat = flat_table(rows_of(spark, sf_dir, "game_log", "events[]"), "events[]", columns)
-    return flat.withColumnsRenamed({"rec_id": "file_id", "place": "event_no"}).drop("table", "parent_table", "path", "item_text").distinct()
+    return flat.withColumnsRenamed({"rec_id": "file_id", "place": "event_no"}).drop("table", "parent_table", "row_key", "parent_key", "path", "item_text").distinct()
 
 
 def p3_agent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def p3_agent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "response_thought": i + "response.Thinking Process.thought", "response_thinking": i + "response.Thinking Process", "response_action": i + "response.Action",
     }
     flat = flat_table(rows_of(spark, sf_dir, "agent_log", ROOT), ROOT, columns)
-    return flat.withColumnRenamed("rec_id", "line_id").drop("table", "parent_table", "path", "place", "item_text").distinct()
+    return flat.withColumnRenamed("rec_id", "line_id").drop("table", "parent_table", "row_key", "parent_key", "path", "place", "item_text").distinct()
 
 
 def p3_table_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import re
 from emberline.operators.nested import Reader
 
 _FENCE = re.compile(r"```(?:json)?(.*?)```", re.S | re.I)
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = json.JSONDecoder()
 _PLAYER = re.compile(r"^Player (\d{1,9})$")
 
 
@@ -17,10 +19,73 @@ def loads(text: object) -> object:
         return None
     try:
         return json.loads(text)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return loads_deep(text)
+    except ValueError:
         return None
 
 
+def loads_deep(text: str) -> object:
+    """The same without recursion, for texts nested deeper than the standard parser goes."""
+    end, at, stack, key = len(text), 0, [], None
+    done, value = False, None
+    while True:
+        at = _SPACE.match(text, at).end()
+        if not done:
+            # a value begins here
+            c = text[at : at + 1]
+            if c in ("{", "["):
+                stack.append((c, {} if c == "{" else [], key))
+                at, key = _SPACE.match(text, at + 1).end(), None
+                if text[at : at + 1] == ("}" if c == "{" else "]"):
+                    at, done = at + 1, True
+                    _, value, key = stack.pop()
+                elif c == "{":
+                    key, at = _key_at(text, at)
+                    if key is None:
+                        return None
+                continue
+            try:
+                value, at = _SCALAR.raw_decode(text, at)
+            except ValueError:
+                return None
+            done = True
+            continue
+        # a value is complete: it goes into what holds it
+        if not stack:
+            return value if at == end else None
+        kind, holder, outer = stack[-1]
+        if kind == "{":
+            holder[key] = value
+        else:
+            holder.append(value)
+        c = text[at : at + 1]
+        at += 1
+        if c == ",":
+            done = False
+            if kind == "{":
+                key, at = _key_at(text, _SPACE.match(text, at).end())
+                if key is None:
+                    return None
+        elif c == ("}" if kind == "{" else "]"):
+            stack.pop()
+            value, key = holder, outer
+        else:
+            return None
+
+
+def _key_at(text: str, at: int) -> tuple[str | None, int]:
+    """The member name at a place and the place behind its colon; None where there is none."""
+    if text[at : at + 1] != '"':
+        return None, at
+    try:
+        key, at = _SCALAR.raw_decode(text, at)
+    except ValueError:
+        return None, at
+    at = _SPACE.match(text, at).end()
+    return (key, at + 1) if text[at : at + 1] == ":" else (None, at)
+
+
 def fenced_object(text: object) -> dict | None:
     """The JSON object that a text is, or holds in its first fence."""
     value = loads(text)

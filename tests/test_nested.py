@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from conftest import SMALL
 from emberline.operators.nested import ROOT, Reader, child_items, flat_table, plan_tables, schema_graph, shred
 from emberline.plans.nested import p3_found
@@ -104,3 +106,58 @@ def test_found_against_brute_force(spark):
     got = p3_found(spark, SMALL)
     assert got.columns == ["tab", "rec_id", "parent_no", "list_name", "item_no", "item_text"]
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_keys_of_like_named_lists_and_objects(spark):
+    out = rows(spark, ['{"p": {"items": [1, 2], "addr": {"x": 1}}, "q": {"items": [1, 3], "addr": {"x": 1}}}']).collect()
+    keys = [(r.table, r.row_key) for r in out]
+    assert len(set(keys)) == len(keys)
+    root = next(r for r in out if r.table == ROOT)
+    assert all(r.parent_key == root.row_key for r in out if r.table != ROOT)
+    assert sorted(r.item_text for r in out if r.table == "items[]") == ["1", "1", "2", "3"]
+    assert len([r for r in out if r.table == "addr"]) == 2
+
+
+def test_member_names_stay_apart(spark):
+    out = rows(spark, ['{"a.b": 1, "a": {"b": 2}, "m": {"Player 7": "x", "Slot 7": "y", "7": "z"}}']).collect()
+    assert next(r.columns for r in out if r.table == ROOT) == {"a\\.b": "1", "a.b": "2"}
+    members = [r for r in out if r.table == "m.#"]
+    assert {(r.name, r.place, r.item_text) for r in members} == {("Player 7", 7, "x"), ("Slot 7", 7, "y"), ("7", 7, "z")}
+    assert len({r.row_key for r in members}) == 3
+
+
+def test_any_depth(spark):
+    from emberline.sources.game_text import loads
+
+    reader = Reader(loads)
+    n = 100_000
+    texts = ['{"c": ' * n + '{"v": 1}' + "}" * n, "[" * n + "5" + "]" * n, '{"1": ' * n + '"x"' + "}" * n]
+    out = rows(spark, texts, reader).persist()
+    counts = {(r.rec_id, r.table): r["count"] for r in out.groupBy("rec_id", "table").count().collect()}
+    assert counts == {(1, ROOT): 1, (1, "c"): n, (2, ROOT): 1, (2, "$[]"): n, (3, ROOT): 1, (3, "$.#"): n}
+    assert out.select("rec_id", "row_key").distinct().count() == out.count()
+    parents = out.select("rec_id", F.col("row_key").alias("parent_key"))
+    assert out.filter("parent_key IS NOT NULL").join(parents, ["rec_id", "parent_key"]).count() == 3 * n
+    assert out.filter("item_text IS NOT NULL OR size(columns) > 0").count() == 3
+    out.unpersist()
+
+
+def test_deep_parser_agrees():
+    from emberline.sources.game_text import loads_deep
+
+    for text in ('{"a": [1, {"b": null}, []], "c": {}, "d": "x\\n", "e": -1.5e3, "f": [true, false]}', " [ ] ", "7", '"s"', "[[1],[2,[3]]]", '{"a":{"b":{"c":[{}]}},"d":1}'):
+        assert loads_deep(text) == json.loads(text)
+    for text in ("", "[1", "[1,]", '{"a"}', '{"a":1,}', "{1:2}", "[1]]", '{"a":1 "b":2}', "nonsense", "[,]"):
+        assert loads_deep(text) is None
+
+
+def test_names_that_are_data_become_maps(spark):
+    from emberline.operators.nested import learn_plan
+
+    texts = [json.dumps({"by": {f"user{i}x{j}": {"v": j} for j in range(50)}, "rest": {"k": [1]}}) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    plan = learn_plan(df, "t", JSON, most=200)
+    assert plan.maps == {"by"}
+    out = shred(df, "id", "t", JSON, plan).collect()
+    assert len([r for r in out if r.table == "by.#"]) == 1000 and len({(r.rec_id, r.row_key) for r in out}) == len(out)
+    assert {r.name for r in out if r.table == "by.#"} == {f"user{i}x{j}" for i in range(20) for j in range(50)}
