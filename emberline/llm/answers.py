@@ -6,6 +6,8 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from emberline.sources.game_text import loads
+
 #: Marks that end a sentence.
 END_MARKS = ".!?。！？"
 _BLANK = re.compile(r"[\s ​-‏ - ⁠　﻿]+")
@@ -73,13 +75,11 @@ def read_answer(text: str | None) -> Answer:
         open_fence = close < 0
         body = strip_blank(body if open_fence else body[:close])
     if body[:1] in "{[\"" and body and not _SECTION.match(body):
-        try:
-            value = json.loads(body)
-        except (ValueError, RecursionError):
-            if body[0] != '"':
-                return Answer("open", [("", body)], open_fence)
-        else:
+        value = loads(body)
+        if value is not None:
             return Answer("json", _leaves("", value), open_fence, value)
+        if body[0] != '"':
+            return Answer("open", [("", body)], open_fence)
     if _SECTION.search(body):
         heads = list(_SECTION.finditer(body))
         texts = [("", body[: heads[0].start()])] if strip_blank(body[: heads[0].start()]) else []
@@ -114,7 +114,7 @@ def read_end(text: str) -> End:
     text = strip_blank(text)
     head, tail = text[:-_TAIL], text[-_TAIL:]
     core, marker = _cut_trail(tail)
-    if head and len(core) < 20:  # what follows is longer than the tail
+    if head and len(core) < 20:  # what is cut off may reach beyond the window; where it doesn't, the window changes nothing
         core, marker = _cut_trail(text)
         head = ""
     core = head + core
