@@ -182,7 +182,7 @@ def t_ranked_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State reconstructions matched to traces: the same labels first, else the same game, player and day; the strategy that matched."""
     from emberline.sources.logs import content_of, game_events
 
-    e = game_events(spark, sf_dir).filter("event = 'state_reconstruction'").select(
+    e = game_events(spark, sf_dir, "state_reconstruction").select(
         F.concat_ws("/", "file_id", "seq").alias("event_key"), "game_path", F.col("source").alias("player_id"), "day", F.md5(text.strip_fence(content_of("identity_labels"))).alias("canon")
     )
     t = logs.traces(spark, sf_dir, "game_path", "player_id", "phase", "response").filter(F.col("phase").contains("state_reconstruction"))

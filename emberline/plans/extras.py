@@ -11,16 +11,17 @@ from emberline.operators.ranking import distributed_rank
 from emberline.plans.games import _ROLE_SQL, SQL_ROSTER, _roster
 from emberline.plans.samples import SEED, SQL_QUOTA, _buckets
 from emberline.sources import logs
-from emberline.sources.logs import agent_entries, content_of, game_events, prompt_of, with_sql
+from emberline.sources.logs import agent_entries, content_of, game_events, prompt_of, staged_events, with_sql
 from emberline.sources.tables import table
 
 
 def x_accusations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players whom English speeches call a werewolf, without negated ones; how many of them are."""
-    s = game_events(spark, sf_dir).filter("event IN ('speech', 'speech_pk')").select("file_id", "seq", "source", content_of("speech_content").alias("said"))
+    e = staged_events(spark, sf_dir, "god_view", "speech", "speech_pk")
+    s = e.filter("event IN ('speech', 'speech_pk')").select("file_id", "seq", "source", content_of("speech_content").alias("said"))
     called = F.filter(F.regexp_extract_all("said", F.lit(r"((?:not |cannot say )?(?:that )?Player \d+ sounds like a Werewolf)"), F.lit(1)), lambda x: ~x.startswith("not ") & ~x.startswith("cannot "))
     rows = s.select("file_id", "source", F.explode(F.array_distinct(F.transform(called, lambda x: F.regexp_extract(x, r"(\d+)", 1).cast("int")))).alias("target")).distinct()
-    r = _roster(spark, sf_dir).select("file_id", F.col("player").alias("target"), "role")
+    r = _roster(e).select("file_id", F.col("player").alias("target"), "role")
     return rows.join(r, ["file_id", "target"], "left").groupBy("file_id").agg(F.count(F.lit(1)).alias("accusations"), F.count_if(F.col("role") == "Werewolf").alias("right"))
 
 
@@ -44,9 +45,10 @@ def called_wolves(said: Column) -> Column:
 
 def x_wolf_accusations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players whom speeches of any wording in both languages call a werewolf, without negated ones; how many of them are."""
-    s = game_events(spark, sf_dir).filter("event IN ('speech', 'speech_pk')").select("file_id", "source", content_of("speech_content").alias("said"))
+    e = staged_events(spark, sf_dir, "god_view", "speech", "speech_pk")
+    s = e.filter("event IN ('speech', 'speech_pk')").select("file_id", "source", content_of("speech_content").alias("said"))
     rows = s.select("file_id", "source", F.explode(called_wolves(F.col("said"))).alias("target")).distinct()
-    r = _roster(spark, sf_dir).select("file_id", F.col("player").alias("target"), "role")
+    r = _roster(e).select("file_id", F.col("player").alias("target"), "role")
     return rows.join(r, ["file_id", "target"], "left").groupBy("file_id").agg(F.count(F.lit(1)).alias("accusations"), F.count_if(F.col("role") == "Werewolf").alias("right"))
 
 
@@ -57,9 +59,10 @@ acc AS (SELECT DISTINCT file_id, source, TRY_CAST(regexp_extract(c, '(\d+)', 1)
 
 def x_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles that English speakers claim for themselves, against their true roles."""
-    s = game_events(spark, sf_dir).filter("event = 'speech'").select("file_id", F.col("source").alias("player"), "seq", F.regexp_extract(content_of("speech_content"), r"I hold the (\w+) card", 1).alias("claim"))
+    e = staged_events(spark, sf_dir, "god_view", "speech")
+    s = e.filter("event = 'speech'").select("file_id", F.col("source").alias("player"), "seq", F.regexp_extract(content_of("speech_content"), r"I hold the (\w+) card", 1).alias("claim"))
     first = ordered.first_wins(s.filter("claim <> ''"), ["file_id", "player"], F.col("seq"), "claim")
-    return first.join(_roster(spark, sf_dir), ["file_id", "player"]).groupBy("claim", "role").agg(F.count(F.lit(1)).alias("players"))
+    return first.join(_roster(e), ["file_id", "player"]).groupBy("claim", "role").agg(F.count(F.lit(1)).alias("players"))
 
 
 SQL_CLAIMS = r"""cl AS (SELECT file_id, source AS player, seq, regexp_extract(content ->> '$.speech_content', 'I hold the (\w+) card', 1) AS claim FROM game_events WHERE event = 'speech'),
@@ -78,9 +81,10 @@ def claimed_role(said: Column) -> Column:
 
 def x_role_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles that speakers of both languages claim for themselves in any speech, against their true roles."""
-    s = game_events(spark, sf_dir).filter("event IN ('speech', 'speech_pk')").select("file_id", F.col("source").alias("player"), "seq", claimed_role(content_of("speech_content")).alias("claim"))
+    e = staged_events(spark, sf_dir, "god_view", "speech", "speech_pk")
+    s = e.filter("event IN ('speech', 'speech_pk')").select("file_id", F.col("source").alias("player"), "seq", claimed_role(content_of("speech_content")).alias("claim"))
     first = ordered.first_wins(s.filter("claim IS NOT NULL"), ["file_id", "player"], F.col("seq"), "claim")
-    return first.join(_roster(spark, sf_dir), ["file_id", "player"]).groupBy("claim", "role").agg(F.count(F.lit(1)).alias("players"))
+    return first.join(_roster(e), ["file_id", "player"]).groupBy("claim", "role").agg(F.count(F.lit(1)).alias("players"))
 
 
 SQL_ROLE_CLAIMS = f"""cl AS (SELECT file_id, source AS player, seq, content ->> '$.speech_content' AS said FROM game_events WHERE event IN ('speech', 'speech_pk')),
@@ -91,7 +95,7 @@ fc AS (SELECT file_id, player, arg_min(claim, seq) AS claim FROM cn WHERE claim
 
 def x_interval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech events between the last vote round's end and the next night: events of the same day with nothing else in between."""
-    e = game_events(spark, sf_dir)
+    e = game_events(spark, sf_dir).drop("content")
     mark = F.when(F.col("event").isin("end_vote", "end_night"), F.col("seq"))
     e = ordered.first_after(ordered.latest_before(e, ["file_id"], ["seq"], mark, "before"), ["file_id"], ["seq"], mark, "after")
     kinds = e.groupBy("file_id", "before", "after").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event").contains("speech")).alias("speeches"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
@@ -105,7 +109,7 @@ SELECT file_id, before, after, count(*) AS events, count_if(contains(event, 'spe
 
 def x_half_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vote rounds whose leading target has more than half of all votes, abstentions counted among all."""
-    v = game_events(spark, sf_dir).filter("event IN ('vote', 'vote_pk')").select("file_id", "day", "event", content_of("vote_target", "int").alias("t"))
+    v = game_events(spark, sf_dir, "vote", "vote_pk").select("file_id", "day", "event", content_of("vote_target", "int").alias("t"))
     n = v.groupBy("file_id", "day", "event", "t").agg(F.count(F.lit(1)).alias("n"))
     tot = n.groupBy("file_id", "day", "event").agg(F.sum("n").alias("votes"), F.max(F.when(F.col("t") > 0, F.col("n"))).alias("top"))
     return tot.withColumn("decided", F.coalesce(F.col("top") * 2 > F.col("votes"), F.lit(False)))

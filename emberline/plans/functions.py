@@ -218,7 +218,7 @@ def fn_matchup_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.split(F.lit("tern-13b|orchid-lite"), r"\|")
     return g.select(
         "file_id", wolf.alias("wolf_model"), good.alias("good_model"), (wolf == good).alias("self_play"), F.array_contains(wanted, wolf).alias("wolf_wanted"),
-        F.array_contains(wanted, good).alias("good_wanted"), F.exists(F.array(F.lit("MOE"), F.lit("lite")), lambda f: F.lower(F.col("game_path")).contains(F.lower(f))).alias("name_matches"), F.size("events").alias("n_events"),
+        F.array_contains(wanted, good).alias("good_wanted"), F.exists(F.array(F.lit("MOE"), F.lit("lite")), lambda f: F.lower(F.col("game_path")).contains(F.lower(f))).alias("name_matches"), "n_events",
     )
 
 

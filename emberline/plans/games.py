@@ -8,14 +8,15 @@ from emberline.functions import roles as role_fn
 from emberline.functions import text
 from emberline.operators import matching, ordered, votes
 from emberline.sources import logs
-from emberline.sources.logs import content_of, game_events, with_sql
+from emberline.sources.logs import content_of, game_events, staged_events, with_sql
 
 _GAME = ["file_id"]
+_VOTE_KINDS = ("vote", "vote_pk", "end_vote")
 
 
-def _roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _roster(events: DataFrame) -> DataFrame:
     """(file_id, player, role) from the first god_view of each file."""
-    g = game_events(spark, sf_dir).filter("event = 'god_view'").withColumn("m", content_of_map())
+    g = events.filter("event = 'god_view'").withColumn("m", content_of_map())
     first = ordered.first_wins(g, _GAME, F.col("seq"), "m")
     return first.select("file_id", F.explode("m").alias("k", "r")).select("file_id", F.col("k").cast("int").alias("player"), role_fn.role(F.col("r")).alias("role"))
 
@@ -24,9 +25,9 @@ def content_of_map():
     return F.try_variant_get("content", "$", "map<string,string>")
 
 
-def _beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _beliefs(events: DataFrame) -> DataFrame:
     """(file_id, viewer, day, seq, target, role) of every state_reconstruction; labels that don't parse are left out."""
-    e = game_events(spark, sf_dir).filter("event = 'state_reconstruction'")
+    e = events.filter("event = 'state_reconstruction'")
     labels = F.try_variant_get(text.json_or_fence(content_of("identity_labels")), "$", "map<string,string>")
     rows = e.select("file_id", F.col("source").alias("viewer"), "day", F.col("time").contains("Night").alias("night"), "seq", F.explode(labels).alias("k", "r"))
     return rows.filter(F.col("k").rlike(r"^Player \d+$")).select(
@@ -51,8 +52,9 @@ beliefs AS (SELECT file_id, viewer, day, night, seq, CAST(regexp_extract(k, '(\\
 
 def g_votes_with_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes per game and day by the voter's and the target's role: an inner join with each file's roster."""
-    v = game_events(spark, sf_dir).filter("event IN ('vote', 'vote_pk')").select("file_id", "event", "source", F.nullif(content_of("vote_target", "int"), F.lit(0)).alias("t"))
-    r = _roster(spark, sf_dir)
+    e = staged_events(spark, sf_dir, "god_view", "vote", "vote_pk")
+    v = e.filter("event IN ('vote', 'vote_pk')").select("file_id", "event", "source", F.nullif(content_of("vote_target", "int"), F.lit(0)).alias("t"))
+    r = _roster(e)
     rows = v.join(r.select("file_id", F.col("player").alias("source"), F.col("role").alias("voter_role")), ["file_id", "source"])
     rows = rows.join(r.select("file_id", F.col("player").alias("t"), F.col("role").alias("target_role")), ["file_id", "t"], "left")
     return rows.groupBy("event", "voter_role", "target_role").agg(F.count(F.lit(1)).alias("votes"))
@@ -62,16 +64,20 @@ SQL_VOTES = """SELECT v.event, a.role AS voter_role, b.role AS target_role, coun
   FROM game_events WHERE event IN ('vote', 'vote_pk')) v JOIN roster a ON a.file_id = v.file_id AND a.player = v.source LEFT JOIN roster b ON b.file_id = v.file_id AND b.player = v.t GROUP BY ALL"""
 
 
-def _vote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vote_rows(events: DataFrame) -> DataFrame:
     """(file_id, day, event, source, target) with 0 for abstaining, and the place of the day's outcome that follows."""
-    e = game_events(spark, sf_dir).filter("event IN ('vote', 'vote_pk', 'end_vote')")
+    e = events.filter("event IN ('vote', 'vote_pk', 'end_vote')")
     e = ordered.first_after(e, _GAME, ["seq"], F.when(F.col("event") == "end_vote", F.col("seq")), "outcome_seq")
     return e.filter("event <> 'end_vote'").select("file_id", "day", "event", "outcome_seq", "source", content_of("vote_target", "int").alias("target"))
 
 
 def g_vote_plurality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per vote round: who has most votes, null on a tie; abstentions don't count."""
-    v = _vote_rows(spark, sf_dir).withColumn("choice", F.nullif(F.col("target"), F.lit(0)))
+    return _plurality(game_events(spark, sf_dir, *_VOTE_KINDS))
+
+
+def _plurality(events: DataFrame) -> DataFrame:
+    v = _vote_rows(events).withColumn("choice", F.nullif(F.col("target"), F.lit(0)))
     counts = votes.tally(v, ["file_id", "day", "outcome_seq"], "choice")
     return votes.plurality(counts, ["file_id", "day", "outcome_seq"], "choice")
 
@@ -87,8 +93,9 @@ plural AS (SELECT t.file_id, t.day, t.outcome_seq, t.top_votes, CAST(count(*) AS
 
 def g_vote_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recomputed winners of vote rounds against the logged outcomes."""
-    ends = game_events(spark, sf_dir).filter("event = 'end_vote'").select("file_id", F.col("seq").alias("outcome_seq"), content_of("expelled", "int").alias("expelled"), content_of("vote_outcome").alias("vote_outcome"))
-    w = g_vote_plurality(spark, sf_dir).select("file_id", "outcome_seq", "winner", "tied")
+    e = staged_events(spark, sf_dir, *_VOTE_KINDS)
+    ends = e.filter("event = 'end_vote'").select("file_id", F.col("seq").alias("outcome_seq"), content_of("expelled", "int").alias("expelled"), content_of("vote_outcome").alias("vote_outcome"))
+    w = _plurality(e).select("file_id", "outcome_seq", "winner", "tied")
     rows = ends.join(w, ["file_id", "outcome_seq"], "left")
     kind = F.when(F.col("expelled").isNull() & F.col("winner").isNull(), "no one, agreed").when(F.col("expelled") == F.col("winner"), "same").when(F.col("expelled").isNull(), "not expelled").when(F.col("winner").isNull(), "not unique").otherwise("other")
     return rows.groupBy(kind.alias("audit")).agg(F.count(F.lit(1)).alias("rounds"), F.count_if(F.col("vote_outcome").rlike(r"^-?\d+$")).alias("numeric_outcomes"))
@@ -101,8 +108,9 @@ SQL_AUDIT = r"""SELECT CASE WHEN expelled IS NULL AND winner IS NULL THEN 'no on
 
 def g_majority_belief(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the other players believe about each speaker on a day: the majority role, Tie, or null; last belief of a viewer counts."""
-    b = ordered.last_wins(_beliefs(spark, sf_dir).filter("NOT night"), ["file_id", "viewer", "day", "target"], F.col("seq"), "role")
-    s = game_events(spark, sf_dir).filter("event IN ('speech', 'speech_pk')").select("file_id", "day", F.col("source").alias("speaker")).distinct()
+    e = staged_events(spark, sf_dir, "state_reconstruction", "speech", "speech_pk", bare=("speech", "speech_pk"))
+    b = ordered.last_wins(_beliefs(e).filter("NOT night"), ["file_id", "viewer", "day", "target"], F.col("seq"), "role")
+    s = e.filter("event IN ('speech', 'speech_pk')").select("file_id", "day", F.col("source").alias("speaker")).distinct()
     seen = matching.other_rows(s, b.withColumnRenamed("target", "speaker"), ["file_id", "day", "speaker"], F.col("viewer") != F.col("speaker"))
     keys = ["file_id", "day", "speaker"]
     p = votes.plurality(votes.tally(seen, keys, "role"), keys, "role")
@@ -122,7 +130,7 @@ SQL_MAJORITY_END = """SELECT s.file_id, s.day, s.speaker, b.majority, coalesce(w
 
 def g_best_belief(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One belief per (file, viewer, day, target): day before night, then the later one."""
-    rows = _beliefs(spark, sf_dir).withColumn("rank", F.struct((~F.col("night")).cast("int").alias("p"), "seq"))
+    rows = _beliefs(game_events(spark, sf_dir, "state_reconstruction")).withColumn("rank", F.struct((~F.col("night")).cast("int").alias("p"), "seq"))
     return ordered.last_wins(rows, ["file_id", "viewer", "day", "target"], F.col("rank"), "role", "night")
 
 
@@ -132,7 +140,8 @@ SELECT file_id, viewer, day, target, role, night FROM ranked_b WHERE rn = 1"""
 
 def g_belief_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per viewer and belief: share of known players whose role is right, whether all special roles are, and the wolf F1."""
-    b = _beliefs(spark, sf_dir).join(_roster(spark, sf_dir).select("file_id", F.col("player").alias("target"), F.col("role").alias("truth")), ["file_id", "target"])
+    e = staged_events(spark, sf_dir, "state_reconstruction", "god_view")
+    b = _beliefs(e).join(_roster(e).select("file_id", F.col("player").alias("target"), F.col("role").alias("truth")), ["file_id", "target"])
     wolf, said = F.col("truth") == "Werewolf", F.coalesce(F.col("role") == "Werewolf", F.lit(False))
     known = F.coalesce(F.col("role") != "Unknown", F.lit(False))
     agg = b.groupBy("file_id", "viewer", "day", "seq").agg(
@@ -152,7 +161,7 @@ SQL_ACCURACY = """SELECT b.file_id, viewer, day, seq, avg(CASE WHEN b.role <> 'U
 
 def g_speech_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes that each speaker gets in the vote round of the same kind and day; 0 where nobody votes for them."""
-    e = game_events(spark, sf_dir)
+    e = staged_events(spark, sf_dir, "vote", "vote_pk", "speech", "speech_pk", bare=("speech", "speech_pk"))
     s = e.filter("event IN ('speech', 'speech_pk')").select("file_id", "day", F.replace("event", F.lit("speech"), F.lit("vote")).alias("round"), F.col("source").alias("player")).distinct()
     v = e.filter("event IN ('vote', 'vote_pk')").select("file_id", "day", F.col("event").alias("round"), content_of("vote_target", "int").alias("player"))
     n = v.groupBy("file_id", "day", "round", "player").agg(F.count(F.lit(1)).alias("n"))
@@ -163,8 +172,7 @@ SQL_SPEECH_VOTES = """SELECT s.file_id, s.day, s.round, s.player, count(v.file_i
   LEFT JOIN (SELECT file_id, day, event AS round, TRY_CAST(content ->> '$.vote_target' AS INT) AS player FROM game_events WHERE event IN ('vote', 'vote_pk')) v USING (file_id, day, round, player) GROUP BY ALL"""
 
 
-def _deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = game_events(spark, sf_dir)
+def _deaths(e: DataFrame) -> DataFrame:
     night = e.filter("event = 'end_night'").select("file_id", "seq", F.explode(content_of("dead_list", "array<int>")).alias("player"))
     day = e.filter("event = 'end_vote'").select("file_id", "seq", content_of("expelled", "int").alias("player")).filter("player IS NOT NULL")
     return night.unionAll(day).groupBy("file_id", "player").agg(F.min("seq").alias("death_seq"))
@@ -172,10 +180,11 @@ def _deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g_alive_at_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players alive at the first vote of each round, and votes for players who aren't."""
-    e = game_events(spark, sf_dir).filter("event IN ('vote', 'vote_pk')")
+    every = staged_events(spark, sf_dir, "god_view", "end_night", *_VOTE_KINDS)
+    e = every.filter("event IN ('vote', 'vote_pk')")
     first = e.groupBy("file_id", "day", "event").agg(F.min("seq").alias("at"))
-    d = _deaths(spark, sf_dir)
-    alive = first.join(_roster(spark, sf_dir), "file_id").join(d, ["file_id", "player"], "left")
+    d = _deaths(every)
+    alive = first.join(_roster(every), "file_id").join(d, ["file_id", "player"], "left")
     living = F.col("death_seq").isNull() | (F.col("death_seq") >= F.col("at"))
     alive = alive.groupBy("file_id", "day", "event").agg(F.count_if(living).alias("alive"), F.count_if(living & (F.col("role") == "Werewolf")).alias("wolves_alive"))
     cast = e.select("file_id", "day", "event", content_of("vote_target", "int").alias("player")).join(first, ["file_id", "day", "event"]).join(d, ["file_id", "player"])
@@ -193,7 +202,7 @@ SQL_ALIVE = """SELECT f.file_id, f.day, f.event, count_if(d.death_seq IS NULL OR
 
 def g_night_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per night: the kill decision, guard, heal and poison, and who should be dead; compared with the logged list."""
-    e = game_events(spark, sf_dir)
+    e = game_events(spark, sf_dir, "kill_decision", "skill_guard", "skill_witch", "end_night")
     night = e.groupBy("file_id", "day").agg(
         F.max(F.when(F.col("event") == "kill_decision", F.nullif(content_of("kill_decision", "int"), F.lit(0)))).alias("killed"),
         F.max(F.when(F.col("event") == "skill_guard", F.nullif(content_of("protected", "int"), F.lit(0)))).alias("guarded"),
@@ -216,7 +225,7 @@ SELECT file_id, day, killed, guarded, healed, poisoned, array_to_string(list_sor
 
 def g_kill_plurality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wolves' choice per night: plurality, on a tie the last wolf that chose anybody."""
-    k = game_events(spark, sf_dir).filter("event = 'skill_wolf'").select("file_id", "day", "seq", F.nullif(content_of("kill_target", "int"), F.lit(0)).alias("choice"))
+    k = staged_events(spark, sf_dir, "skill_wolf").select("file_id", "day", "seq", F.nullif(content_of("kill_target", "int"), F.lit(0)).alias("choice"))
     p = votes.plurality(votes.tally(k, ["file_id", "day"], "choice"), ["file_id", "day"], "choice")
     last = ordered.last_wins(k.filter("choice IS NOT NULL"), ["file_id", "day"], F.col("seq"), "choice")
     return p.join(last, ["file_id", "day"]).select("file_id", "day", "top_votes", F.coalesce("winner", "choice").alias("decision"))
@@ -231,13 +240,13 @@ SELECT t.file_id, t.day, t.top_votes, CASE WHEN (SELECT count(*) FROM kill_n c W
 
 def g_seer_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks of players who were checked before by the same seer."""
-    c = game_events(spark, sf_dir).filter("event = 'skill_seer' AND target IS NOT NULL").select("file_id", "source", "target", "day", "seq")
+    c = game_events(spark, sf_dir, "skill_seer").filter("target IS NOT NULL").select("file_id", "source", "target", "day", "seq")
     return ordered.seen_before(c, ["file_id", "source", "target"], ["seq"], "again")
 
 
 def g_potion_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each speech whether it follows the first day on which the witch used a potion."""
-    e = game_events(spark, sf_dir)
+    e = staged_events(spark, sf_dir, "skill_witch", "speech", bare=("speech",))
     used = e.filter((F.col("event") == "skill_witch") & (F.coalesce(content_of("heal", "int"), content_of("poison", "int"), F.lit(0)) > 0)).groupBy("file_id").agg(F.min("day").alias("first_day"))
     s = e.filter("event = 'speech'").join(used, "file_id", "left")
     return s.groupBy("file_id", "day").agg(F.count(F.lit(1)).alias("speeches"), F.max(F.coalesce(F.col("day") > F.col("first_day"), F.lit(False))).alias("after_potion"))
@@ -245,7 +254,8 @@ def g_potion_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g_win_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Games and wins per matchup from the outcome of each file's last event."""
-    last = ordered.last_wins(game_events(spark, sf_dir).withColumn("outcome", F.when(F.col("event") == "end_game", content_of("outcome", "int"))), ["file_id", "matchup"], F.col("seq"), "outcome")
+    every = game_events(spark, sf_dir).withColumn("content", F.when(F.col("event") == "end_game", F.col("content")))
+    last = ordered.last_wins(every.withColumn("outcome", F.when(F.col("event") == "end_game", content_of("outcome", "int"))), ["file_id", "matchup"], F.col("seq"), "outcome")
     return last.groupBy("matchup").agg(
         F.count(F.lit(1)).alias("games"), F.count_if(F.col("outcome") == 1).alias("wolf_wins"), F.count_if(F.col("outcome") == -1).alias("good_wins"), F.avg((F.col("outcome") == 1).cast("double")).alias("wolf_rate")
     )
@@ -257,7 +267,7 @@ SELECT matchup, count(*) AS games, count_if(outcome = 1) AS wolf_wins, count_if(
 
 def g_vote_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voters per target and round as text, in order, abstentions under 0."""
-    v = _vote_rows(spark, sf_dir)
+    v = _vote_rows(game_events(spark, sf_dir, *_VOTE_KINDS))
     voters = F.array_sort(F.collect_list("source"))
     return v.groupBy("file_id", "outcome_seq", "event", "target").agg(voters.alias("__v"), F.count(F.lit(1)).alias("votes")).select(
         "file_id", "outcome_seq", "event", "target", F.array_join(F.transform("__v", lambda x: x.cast("string")), ",").alias("voters"), "votes"
@@ -269,10 +279,11 @@ SQL_REPORT = """SELECT file_id, outcome_seq, event, target, array_to_string(list
 
 def g_vote_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes of the good side: a low-level label from the voter's own belief and one from the round's outcome, combined with three values."""
-    roster = _roster(spark, sf_dir)
-    v = _vote_rows(spark, sf_dir).join(roster.select("file_id", F.col("player").alias("source"), F.col("role").alias("voter_role")), ["file_id", "source"]).filter("voter_role <> 'Werewolf'")
-    b = ordered.last_wins(_beliefs(spark, sf_dir).filter("NOT night"), ["file_id", "viewer", "day", "target"], F.col("seq"), "role").withColumnsRenamed({"viewer": "source", "role": "believed"})
-    w = g_vote_plurality(spark, sf_dir).join(roster.select("file_id", F.col("player").alias("winner"), F.col("role").alias("winner_role")), ["file_id", "winner"], "left")
+    e = staged_events(spark, sf_dir, "god_view", "state_reconstruction", *_VOTE_KINDS)
+    roster = _roster(e)
+    v = _vote_rows(e).join(roster.select("file_id", F.col("player").alias("source"), F.col("role").alias("voter_role")), ["file_id", "source"]).filter("voter_role <> 'Werewolf'")
+    b = ordered.last_wins(_beliefs(e).filter("NOT night"), ["file_id", "viewer", "day", "target"], F.col("seq"), "role").withColumnsRenamed({"viewer": "source", "role": "believed"})
+    w = _plurality(e).join(roster.select("file_id", F.col("player").alias("winner"), F.col("role").alias("winner_role")), ["file_id", "winner"], "left")
     w = w.select("file_id", "outcome_seq", F.coalesce(F.col("winner_role") == "Werewolf", F.lit(False)).alias("outcome"))
     rows = v.join(b, ["file_id", "source", "day", "target"], "left").join(w, ["file_id", "outcome_seq"], "left")
     low = F.when(F.col("target") == F.col("source"), False).when(F.col("believed") == "Werewolf", True).when(F.col("believed").isin("Seer", "Witch", "Guard", "Hunter", "Villager"), False)

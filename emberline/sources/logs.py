@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from emberline.session import staged
 from emberline.sources.tables import table
 
 
@@ -32,9 +33,9 @@ def _is(kind: str, variant: Column) -> Column:
     return F.schema_of_variant(variant).startswith(kind)
 
 
-def game_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, game_path, matchup, events): the events of each readable file as an array of VARIANT, whatever its layout."""
-    files = once(table(spark, sf_dir, "game_log").select("file_id", "game_path", "matchup", "payload"), "file_id")
+def _event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, game_path, matchup, events) of every delivery: the events of a readable file as an array of VARIANT, whatever its layout."""
+    files = table(spark, sf_dir, "game_log").select("file_id", "game_path", "matchup", "payload")
     whole = F.try_parse_json(F.col("payload"))
     lines = F.transform(F.filter(F.split("payload", "\n"), lambda x: F.trim(x) != ""), F.try_parse_json)
     files = files.withColumn("__v", whole)
@@ -46,22 +47,39 @@ def game_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file_id", "game_path", "matchup", events.alias("events")).filter("events IS NOT NULL")
 
 
-def game_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, game_path, matchup, seq, event, day, source, target, content): one row per event.
+def game_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, game_path, matchup, n_events) of each readable file; payloads are read in place, not shuffled."""
+    return once(_event_lists(spark, sf_dir).select("file_id", "game_path", "matchup", F.size("events").alias("n_events")), "file_id")
+
+
+def game_events(spark: SparkSession, sf_dir: str, *kinds: str, bare: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, game_path, matchup, seq, event, day, source, target, time, content): one row per event, of the ``kinds`` where any are named.
 
-    ``target`` is the single target (null for a list or none); ``content`` is VARIANT, also where the file holds its text.
+    Files are taken apart where they are read; what is shuffled, to count redelivered files once, are these narrow rows.
+    ``target`` is the single target (null for a list or none); ``content`` is VARIANT, also where the file holds its text, and
+    null for the kinds in ``bare``, whose content isn't asked for.
     """
-    rows = game_files(spark, sf_dir).select("file_id", "game_path", "matchup", F.posexplode("events").alias("pos", "e"))
+    rows = _event_lists(spark, sf_dir).select("file_id", "game_path", "matchup", F.posexplode("events").alias("pos", "e"))
+    rows = rows.withColumn("event", F.try_variant_get(F.col("e"), "$.event", "string"))
+    if kinds:
+        rows = rows.filter(F.col("event").isin(*kinds))
     text = F.try_variant_get(F.col("e"), "$.content", "string")
     content = F.try_variant_get(F.col("e"), "$.content", "variant")
     content = F.when(_is("STRING", content), F.try_parse_json(text)).otherwise(content)
+    if bare:
+        content = F.when(~F.col("event").isin(*bare), content)
     target = F.try_variant_get(F.col("e"), "$.target", "variant")
-    return rows.select(
-        "file_id", "game_path", "matchup", (F.col("pos") + 1).alias("seq"),
-        F.try_variant_get(F.col("e"), "$.event", "string").alias("event"), F.try_variant_get(F.col("e"), "$.day", "int").alias("day"),
+    rows = rows.select(
+        "file_id", "game_path", "matchup", (F.col("pos") + 1).alias("seq"), "event", F.try_variant_get(F.col("e"), "$.day", "int").alias("day"),
         F.try_variant_get(F.col("e"), "$.source", "int").alias("source"), F.when(_is("BIGINT", target), F.try_variant_get(F.col("e"), "$.target", "int")).alias("target"),
         F.try_variant_get(F.col("e"), "$.time", "string").alias("time"), content.alias("content"),
     )
+    return rows.dropDuplicates(["file_id", "seq"])
+
+
+def staged_events(spark: SparkSession, sf_dir: str, *kinds: str, bare: tuple[str, ...] = ()) -> DataFrame:
+    """The same, written once to the shared folder, for queries that look at the events several times."""
+    return staged(game_events(spark, sf_dir, *kinds, bare=bare).drop("game_path"), "events")
 
 
 def content_of(path: str, kind: str = "string") -> Column:

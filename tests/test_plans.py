@@ -44,3 +44,20 @@ def test_windows_over_one_group_share_their_sort(spark):
 def test_tallies_aggregate_before_the_shuffle(spark):
     plan = plan_of(registry.QUERIES["s_line_tally"](spark, SMALL)).split("== Physical Plan ==")[-1]
     assert "partial_count" in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n.startswith("g_") or n in ("x_wolf_accusations", "x_role_claims", "x_half_majority", "t_ranked_match")))
+def test_logs_are_read_once_and_payloads_stay_where_they_are(spark, name):
+    plan = plan_of(registry.QUERIES[name](spark, SMALL)).split("== Physical Plan ==")[-1]
+    assert plan.count("game_log.parquet") <= 1
+    assert "first(payload" not in plan and "first(events" not in plan
+
+
+def test_staged_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from emberline.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=None), sparkContext=SimpleNamespace(master="spark://driver:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)
