@@ -21,11 +21,16 @@ def cached_or_new(requests: DataFrame, cache: DataFrame, key: str) -> tuple[Data
     return requests.join(cache, key), requests.join(cache, key, "left_anti")
 
 
-def exact_or_unique(left: DataFrame, name: str, number: str, right: DataFrame, r_name: str, r_number: str, value: str) -> DataFrame:
-    """Match by exact name, else by number where exactly one row has it."""
-    exact = right.groupBy(F.col(r_name).alias(name)).agg(F.max(value).alias("__exact"))
-    unique = right.groupBy(F.col(r_number).alias(number)).agg(F.count(F.lit(1)).alias("__n"), F.max(value).alias("__unique")).filter("__n = 1").drop("__n")
-    return left.join(exact, name, "left").join(unique, number, "left").withColumn("match", F.coalesce("__exact", "__unique")).drop("__exact", "__unique")
+def exact_or_unique(left: DataFrame, keys: list[str], name: str, number: str, right: DataFrame, r_name: str, r_number: str, value: str) -> DataFrame:
+    """Within a group: match by exact name, else by number where exactly one row of the group has it."""
+    exact = right.groupBy(*keys, F.col(r_name).alias(name)).agg(F.max(value).alias("__exact"))
+    unique = right.groupBy(*keys, F.col(r_number).alias(number)).agg(F.count(F.lit(1)).alias("__n"), F.max(value).alias("__unique")).filter("__n = 1").drop("__n")
+    return left.join(exact, [*keys, name], "left").join(unique, [*keys, number], "left").withColumn("match", F.coalesce("__exact", "__unique")).drop("__exact", "__unique")
+
+
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A control table marked for broadcast after its rows were counted; beyond ``most`` it is joined as any other table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def other_rows(left: DataFrame, right: DataFrame, on: list[str], differs: Column) -> DataFrame:

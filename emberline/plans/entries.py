@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from emberline.functions import notes, phases, text
 from emberline.functions import roles as role_fn
@@ -11,6 +10,7 @@ from emberline.operators import matching, ordered, votes
 from emberline.plans.functions import SQL_APPLIED, _raw_action
 from emberline.sources import logs
 from emberline.sources.logs import agent_entries, prompt_of, response_of, with_sql
+from emberline.session import staged
 from emberline.sources.tables import table
 
 _PLAYER = ["log_path", "game", "player_no"]
@@ -64,17 +64,20 @@ pp AS (SELECT log_path, game, speech_id, arg_max(line_id, struct_pack(step, ts,
 
 
 def e_belief_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How beliefs of a player about others change from one statement to the next: mean change per player, then per game."""
+    """How beliefs of a player about others change from one statement to the next: mean change per player, then per game.
+
+    A player whose statements change nothing counts with 0.
+    """
     e = _ordered_entries(spark, sf_dir).filter("belief IS NOT NULL").withColumn("now", text.belief_map(F.col("belief")))
     e = ordered.latest_before(e, _PLAYER, _ORDER, F.col("now"), "before").filter("before IS NOT NULL")
     truth = agent_entries(spark, sf_dir).select("log_path", "game", F.col("player_no").alias("target"), "identity")
     truth = votes.consistent(truth, ["log_path", "game", "target"], "identity", "truth").select("log_path", "game", "target", "truth")
     rows = e.select("log_path", "game", "player_no", "line_id", "before", F.explode("now").alias("target", "role"))
-    rows = rows.withColumn("was", F.try_element_at("before", "target")).filter("was IS NOT NULL AND was <> role").join(truth, ["log_path", "game", "target"])
+    rows = rows.withColumn("was", F.try_element_at("before", "target")).filter("was IS NOT NULL").join(truth, ["log_path", "game", "target"])
     right = lambda c: F.col(c) == F.col("truth")
     score = F.when(right("role") & ~right("was"), 1).when(~right("role") & right("was"), -1).otherwise(0)
     scored = rows.withColumn("score", score).filter("truth IS NOT NULL")
-    per = scored.groupBy("log_path", "game", "player_no").agg(F.avg("score").alias("mean_shift"), F.count_if(F.col("score") > 0).alias("better"), F.count_if(F.col("score") < 0).alias("worse"))
+    per = scored.groupBy("log_path", "game", "player_no").agg(F.coalesce(F.avg(F.when(F.col("was") != F.col("role"), F.col("score"))), F.lit(0.0)).alias("mean_shift"), F.count_if(F.col("score") > 0).alias("better"), F.count_if(F.col("score") < 0).alias("worse"))
     return per.groupBy("log_path", "game").agg(F.avg("mean_shift").alias("mean_shift"), F.sum("better").alias("better"), F.sum("worse").alias("worse"), F.count(F.lit(1)).alias("players"))
 
 
@@ -86,9 +89,9 @@ was_l AS (SELECT line_id, unnest(regexp_extract_all(before_, 'Player (\d+): Role
   generate_subscripts(regexp_extract_all(before_, 'Player (\d+): Role=(?:Crewmate|Impostor|unknown)', 1), 1) AS i FROM bel WHERE belief IS NOT NULL AND before_ IS NOT NULL),
 was_m AS (SELECT line_id, CAST(p AS INT) AS target, arg_max(role, i) AS was FROM was_l GROUP BY ALL),
 truths AS (SELECT log_path, game, player_no AS target, CASE WHEN min(identity) = max(identity) THEN max(identity) END AS truth FROM entries GROUP BY ALL),
-scored AS (SELECT n.*, CASE WHEN n.role = t.truth AND w.was <> t.truth THEN 1 WHEN n.role <> t.truth AND w.was = t.truth THEN -1 ELSE 0 END AS score FROM now_m n JOIN was_m w USING (line_id, target)
-  JOIN truths t ON t.log_path = n.log_path AND t.game = n.game AND t.target = n.target WHERE w.was <> n.role AND t.truth IS NOT NULL),
-per AS (SELECT log_path, game, player_no, avg(score) AS mean_shift, count_if(score > 0) AS better, count_if(score < 0) AS worse FROM scored GROUP BY ALL)"""
+scored AS (SELECT n.*, CASE WHEN n.role = t.truth AND w.was <> t.truth THEN 1 WHEN n.role <> t.truth AND w.was = t.truth THEN -1 ELSE 0 END AS score, w.was <> n.role AS changed FROM now_m n JOIN was_m w USING (line_id, target)
+  JOIN truths t ON t.log_path = n.log_path AND t.game = n.game AND t.target = n.target WHERE t.truth IS NOT NULL),
+per AS (SELECT log_path, game, player_no, coalesce(avg(score) FILTER (WHERE changed), 0.0::DOUBLE) AS mean_shift, count_if(score > 0) AS better, count_if(score < 0) AS worse FROM scored GROUP BY ALL)"""
 
 
 def e_consistent_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,29 +135,44 @@ SELECT line_id, CAST(n AS INT) AS attempt_no, a ->> '$.invalid_action' AS invali
   coalesce(trim(a ->> '$.invalid_action', ' ') = '', true) AS blank FROM att"""
 
 
-def _fold_game(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What each player knows after each of their entries: impostors they saw or are, sticky once known; forgotten when the roster shrinks."""
-    pdf = pdf.sort_values(["step", "ts", "line_id"], kind="mergesort")
-    known: set[int] = set()
-    size, out = 0, []
-    for row in pdf.itertuples():
-        if row.roster_size < size:
-            known = set()
-        size = row.roster_size
-        if row.identity == "Impostor":
-            known.add(int(row.player_no))
-        known.update(int(x) for x in row.suspects)
-        out.append((row.line_id, len(known)))
-    return pd.DataFrame(out, columns=["line_id", "known"])
-
-
 def e_rule_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State folded over a player's entries in order; a group is one player of one game, so it stays small."""
+    """What each player may know of each member of the roster after each entry: roles seen so far, own role, teammates.
+
+    Evidence is the actor of a KILL or VENT in the history; own and teammates' roles come with every entry. A member's role
+    is kept from entry to entry, forgotten once an entry's roster lacks the member, and unknown before. As a window: the last
+    role stated since the member's last absence.
+    """
     e = agent_entries(spark, sf_dir).filter("game IS NOT NULL AND player_no IS NOT NULL")
-    suspects = F.transform(F.regexp_extract_all(prompt_of("All Info"), F.lit(r"Player (\d+)[^\n]{0,40}VENT"), F.lit(1)), lambda x: x.cast("int"))
-    roster = F.coalesce(F.size(F.try_variant_get("prompt", "$['Player Roster']", "array<string>")), F.lit(0))
-    e = e.select("log_path", "game", "player_no", "line_id", "step", "ts", "identity", roster.alias("roster_size"), suspects.alias("suspects"))
-    return e.groupBy("log_path", "game", "player_no").applyInPandas(_fold_game, "line_id bigint, known int")
+    roster = F.transform(F.coalesce(F.try_variant_get("prompt", "$['Player Roster']", "array<string>"), F.array()), text.first_number)
+    to_int = lambda found: F.transform(found, lambda x: x.cast("int"))
+    mates = to_int(F.regexp_extract_all(F.regexp_extract("system_prompt", KNOWN_IMPOSTORS, 1), F.lit(r"Player\s+(\d+)"), F.lit(1)))
+    seen = to_int(F.regexp_extract_all(F.coalesce(prompt_of("All Info"), F.lit("")), F.lit(SEEN_IMPOSTORS), F.lit(1)))
+    rows = e.select("log_path", "game", "player_no", "line_id", "step", "ts", role_fn.binary_role(F.col("identity")).alias("own"), F.array_distinct(F.array_compact(roster)).alias("roster"), mates.alias("mates"), seen.alias("seen"))
+    rows = staged(rows, "fold")
+    group = ["log_path", "game", "player_no"]
+    members = rows.select(*group, F.explode("roster").alias("member")).distinct()  # those of one game
+    j = rows.join(members, group)
+    here = F.array_contains("roster", F.col("member"))
+    impostor = F.array_contains("seen", F.col("member")) | ((F.col("own") == "Impostor") & F.array_contains("mates", F.col("member")))
+    stated = F.when(here & impostor, "Impostor").when(here & (F.col("member") == F.col("player_no")), F.col("own"))
+    upto = Window.partitionBy(*group, "member").orderBy("step", "ts", "line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = j.withColumn("here", here).withColumn("stated", stated).withColumn("absences", F.sum(F.when(here, 0).otherwise(1)).over(upto))
+    since = Window.partitionBy(*group, "member", "absences").orderBy("step", "ts", "line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return j.withColumn("role", F.coalesce(F.last("stated", ignorenulls=True).over(since), F.lit("unknown"))).filter("here").select("line_id", "member", "role")
+
+
+#: The list of teammates in a system prompt, and the actor of a KILL or VENT in the action history.
+KNOWN_IMPOSTORS = r"Known Impostors:\s*\[([^\]]*)\]"
+SEEN_IMPOSTORS = r"(?i)Timestep\s+\d+:\s*\[[^\]]+\]\s*Player\s+(\d+)(?:\s*:\s*[A-Za-z]+)?\s+(?:KILL|VENT)\b"
+SQL_FOLD = rf"""fe AS (SELECT log_path, game, player_no, line_id, step, ts, CASE lower(trim(identity)) WHEN 'crewmate' THEN 'Crewmate' WHEN 'impostor' THEN 'Impostor' ELSE 'unknown' END AS own,
+  list_distinct(list_filter(list_transform(coalesce(prompt ->> '$."Player Roster"[*]', []), lambda x: TRY_CAST(nullif(regexp_extract(x, '(\d+)', 1), '') AS INT)), lambda x: x IS NOT NULL)) AS roster,
+  list_transform(regexp_extract_all(regexp_extract(coalesce(system_prompt, ''), '{KNOWN_IMPOSTORS}', 1), 'Player\s+(\d+)', 1), lambda x: CAST(x AS INT)) AS mates,
+  list_transform(regexp_extract_all(coalesce(prompt ->> '$."All Info"', ''), '{SEEN_IMPOSTORS}', 1), lambda x: CAST(x AS INT)) AS seen FROM entries WHERE game IS NOT NULL AND player_no IS NOT NULL),
+fm AS (SELECT DISTINCT log_path, game, player_no, unnest(roster) AS member FROM fe),
+fj AS (SELECT *, list_contains(roster, member) AS here, CASE WHEN list_contains(roster, member) AND (list_contains(seen, member) OR own = 'Impostor' AND list_contains(mates, member)) THEN 'Impostor'
+  WHEN list_contains(roster, member) AND member = player_no THEN own END AS stated FROM fe JOIN fm USING (log_path, game, player_no)),
+fa AS (SELECT *, sum(CASE WHEN here THEN 0 ELSE 1 END) OVER (PARTITION BY log_path, game, player_no, member ORDER BY step, ts, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS absences FROM fj),
+fr AS (SELECT line_id, member, here, coalesce(last_value(stated IGNORE NULLS) OVER (PARTITION BY log_path, game, player_no, member, absences ORDER BY step, ts, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unknown') AS role FROM fa)"""
 
 
 def t_entry_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,22 +196,33 @@ def t_first_per_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.first_wins(t, ["game_path", "player_id", "phase"], F.struct("logged_at", "trace_id"), "trace_id")
 
 
+def _canonical_labels(col: Column) -> Column:
+    """The digest of a label text's JSON object whatever the order of its members; of the text itself where it holds none."""
+    labels = F.try_variant_get(text.json_or_fence(col), "$", "map<string,string>")
+    return F.md5(F.coalesce(text.canonical_map(labels), text.strip_fence(col)))
+
+
 def t_ranked_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State reconstructions matched to traces: the same labels first, else the same game, player and day; the strategy that matched."""
     from emberline.sources.logs import content_of, game_events
 
     e = game_events(spark, sf_dir, "state_reconstruction").select(
-        F.concat_ws("/", "file_id", "seq").alias("event_key"), "game_path", F.col("source").alias("player_id"), "day", F.md5(text.strip_fence(content_of("identity_labels"))).alias("canon")
+        F.concat_ws("/", "file_id", "seq").alias("event_key"), "game_path", F.col("source").alias("player_id"), "day", _canonical_labels(content_of("identity_labels")).alias("canon")
     )
+    e = staged(e, "recon")
     t = logs.traces(spark, sf_dir, "game_path", "player_id", "phase", "response").filter(F.col("phase").contains("state_reconstruction"))
-    t = t.select("game_path", "player_id", phases.phase_day(F.col("phase")).alias("day"), F.md5(text.strip_fence(F.col("response"))).alias("canon"), "trace_id")
+    t = t.select("game_path", "player_id", phases.phase_day(F.col("phase")).alias("day"), _canonical_labels(F.col("response")).alias("canon"), "trace_id")
+    t = staged(t, "recon-traces")
     out = matching.best_match(e, "event_key", [(t, ["game_path", "player_id", "canon"], 1), (t, ["game_path", "player_id", "day"], 2)], "trace_id", "trace_id")
     return out.select("event_key", "match", "strategy")
 
 
 _STRIP = "trim(CASE WHEN regexp_extract({0}, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) <> '' THEN regexp_extract({0}, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) ELSE {0} END, ' ')"
-SQL_RANKED = f"""ev AS (SELECT file_id || '/' || seq AS event_key, game_path, source AS player_id, day, md5({_STRIP.format("(content ->> '$.identity_labels')")}) AS canon FROM game_events WHERE event = 'state_reconstruction'),
-tr AS (SELECT game_path, player_id, TRY_CAST(split_part(phase, '_', 1) AS INT) AS day, md5({_STRIP.format('response')}) AS canon, trace_id FROM traces WHERE contains(phase, 'state_reconstruction')),
+_FENCED = "regexp_extract({0}, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1)"
+_LABELS = "CASE WHEN json_valid({0}) THEN CASE WHEN json_type({0}::JSON) = 'OBJECT' THEN {0}::JSON END WHEN json_valid(nullif(" + _FENCED + ", '')) THEN CASE WHEN json_type(" + _FENCED + "::JSON) = 'OBJECT' THEN " + _FENCED + "::JSON END END"
+_CANON = "md5(coalesce((SELECT string_agg(k || '=' || coalesce(j ->> ('$.\"' || k || '\"'), ''), chr(1) ORDER BY k) FROM (SELECT j, unnest(json_keys(j)) AS k FROM (SELECT " + _LABELS + " AS j) WHERE j IS NOT NULL)), " + _STRIP + "))"
+SQL_RANKED = f"""ev AS (SELECT file_id || '/' || seq AS event_key, game_path, source AS player_id, day, {_CANON.format("(content ->> '$.identity_labels')")} AS canon FROM game_events WHERE event = 'state_reconstruction'),
+tr AS (SELECT game_path, player_id, TRY_CAST(split_part(phase, '_', 1) AS INT) AS day, {_CANON.format('response')} AS canon, trace_id FROM traces WHERE contains(phase, 'state_reconstruction')),
 hits AS (SELECT event_key, 1 AS strategy, min(trace_id) AS m FROM ev JOIN tr USING (game_path, player_id, canon) GROUP BY ALL UNION ALL SELECT event_key, 2, min(trace_id) FROM ev JOIN tr USING (game_path, player_id, day) GROUP BY ALL)
 SELECT ev.event_key, h.m AS match, h.strategy FROM ev LEFT JOIN (SELECT event_key, min(strategy) AS strategy, arg_min(m, strategy) AS m FROM hits GROUP BY event_key) h USING (event_key)"""
 
@@ -239,17 +268,18 @@ def t_phase_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t_name_or_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries matched to roster names: the exact name, else the number where one row has it."""
+    """Entries matched to the names of their own game's rosters: the exact name, else the number where one name of the game has it."""
     e = agent_entries(spark, sf_dir)
-    roster = e.select(F.explode(F.try_variant_get("prompt", "$['Player Roster']", "array<string>")).alias("name")).distinct().withColumn("number", text.first_number(F.col("name")))
-    left = e.select("line_id", F.split_part("player", F.lit(":"), F.lit(1)).alias("short"), "player_no")
-    out = matching.exact_or_unique(left, "short", "player_no", roster, "name", "number", "name")
+    names = F.explode(F.try_variant_get("prompt", "$['Player Roster']", "array<string>")).alias("name")
+    roster = e.select("log_path", "game", names).filter("name IS NOT NULL").distinct().withColumn("number", text.first_number(F.col("name")))
+    out = matching.exact_or_unique(e.select("line_id", "log_path", "game", "player", "player_no"), ["log_path", "game"], "player", "player_no", roster, "name", "number", "name")
     return out.groupBy("match").agg(F.count(F.lit(1)).alias("entries"))
 
 
-SQL_NAME = r"""rr AS (SELECT DISTINCT unnest(prompt ->> '$."Player Roster"[*]') AS name FROM entries), rn AS (SELECT name, CAST(regexp_extract(name, '(\d+)', 1) AS INT) AS number FROM rr WHERE name IS NOT NULL),
-un AS (SELECT number, max(name) AS name FROM rn GROUP BY number HAVING count(*) = 1)
-SELECT coalesce(x.name, u.name) AS match, count(*) AS entries FROM entries e LEFT JOIN rn x ON x.name = split_part(e.player, ':', 1) LEFT JOIN un u ON u.number = e.player_no GROUP BY ALL"""
+SQL_NAME = r"""rr AS (SELECT DISTINCT log_path, game, unnest(prompt ->> '$."Player Roster"[*]') AS name FROM entries), rn AS (SELECT *, TRY_CAST(nullif(regexp_extract(name, '(\d+)', 1), '') AS INT) AS number FROM rr WHERE name IS NOT NULL),
+un AS (SELECT log_path, game, number, max(name) AS name FROM rn GROUP BY ALL HAVING count(*) = 1)
+SELECT coalesce(x.name, u.name) AS match, count(*) AS entries FROM entries e LEFT JOIN rn x ON x.log_path = e.log_path AND x.game = e.game AND x.name = e.player
+  LEFT JOIN un u ON u.log_path = e.log_path AND u.game = e.game AND u.number = e.player_no GROUP BY ALL"""
 
 
 def _tail(sql: str) -> tuple[str, str]:
@@ -291,6 +321,7 @@ ORACLE = {
     "e_consistent_roles": with_sql(SQL_CONSISTENT, "SELECT c.log_path, c.game, c.player_no, CASE WHEN c.role IS NULL AND impostors = 2 THEN 'Crewmate' ELSE c.role END AS role, c.observations FROM cons c JOIN imp USING (log_path, game)"),
     "e_room_witnesses": with_sql(SQL_CONSISTENT, SQL_WITNESS, "SELECT o.line_id, count(*) AS others, coalesce(count_if(r.role = 'Crewmate'), 0) AS crew_witnesses FROM others o LEFT JOIN final_roles r ON r.log_path = o.log_path AND r.game = o.game AND r.player_no = o.other WHERE o.other <> o.player_no GROUP BY ALL"),
     "e_repair_rows": with_sql(*_tail(SQL_REPAIR)),
+    "e_rule_fold": with_sql(SQL_FOLD, "SELECT line_id, member, role FROM fr WHERE here"),
     "t_entry_roles": with_sql(f"""SELECT r.model, {_role_case('r.role')} AS true_role, count(*) AS traces, count_if({_role_case('t.role')} = {_role_case('r.role')}) AS agree, count_if({_role_case('t.role')} IS NULL) AS unsaid
       FROM traces t JOIN roles r ON r.game_path = t.game_path AND r.id = t.player_id WHERE coalesce(gen_times <= 3, true) GROUP BY ALL"""),
     "t_first_per_phase": with_sql("SELECT game_path, player_id, phase, arg_min(trace_id, struct_pack(logged_at, trace_id)) AS trace_id FROM traces t WHERE EXISTS (SELECT 1 FROM samples s WHERE s.label AND s.game_path = t.game_path AND s.phase = t.phase) GROUP BY ALL"),

@@ -38,7 +38,8 @@ def _beliefs(events: DataFrame) -> DataFrame:
 _ROLE_SQL = (
     "coalesce(CASE trim({0}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in role_fn.CHINESE.items()) + " END, CASE lower(trim({0})) "
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in role_fn.ALIASES.items()) + " END, CASE WHEN starts_with(lower(trim({0})), 'unknown') THEN 'Unknown' END, CASE "
-    + " ".join(f"WHEN contains(lower(trim({{0}})), '{a}') THEN '{b}'" for a, b in role_fn.PARTS) + " END)"
+    + " ".join(f"WHEN contains(lower(trim({{0}})), '{a}') THEN '{b}'" for a, b in role_fn.PARTS)
+    + " END, CASE regexp_replace(lower(trim({0})), '[^a-z]', '', 'g') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in role_fn.LETTERS.items()) + " END)"
 )
 SQL_ROSTER = f"""god AS (SELECT file_id, arg_min(content, seq) AS m FROM game_events WHERE event = 'god_view' AND json_type(content) = 'OBJECT' GROUP BY file_id),
 god_keys AS (SELECT file_id, m, unnest(json_keys(m)) AS k FROM god),
