@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer (problem 7).
 
 Words (the pieces into which the tokenizer's pattern cuts a text) are counted over all documents; the frequent ones are
-compiled with their ids into a minimal acyclic transducer that workers memory-map from the shared folder. A word the
+compiled with their ids into a minimal acyclic transducer that workers memory-map from the shared folder, or from their
+executor's own copy where that folder can't be mapped. A word the
 transducer doesn't hold is merged exactly. How many words are compiled changes the speed only, never the result.
 
 Defined cases: null and empty texts have an empty list; strings that look like special tokens are ordinary text; lone
@@ -11,18 +12,23 @@ are ignored; repeated keys give repeated rows; an empty table gives an empty res
 
 from __future__ import annotations
 
+import atexit
 import functools
+import os
+import shutil
+import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.llm import tokenizers
 from emberline.llm.transducer import Transducer
-from emberline.session import shared_dir
+from emberline.session import remove_at_exit, shared_dir
 
 #: Words compiled into the transducer: a bound of its size (some MB), not of what is encoded.
 LEXICON_WORDS = 60_000
@@ -61,23 +67,34 @@ def word_counts(documents: DataFrame, text: str = "text", folder: str = tokenize
     return documents.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(documents: DataFrame, text: str, tokenizer: str, folder: str, words: int = LEXICON_WORDS) -> str | dict:
-    """Compile the most frequent words; returns the folder of the arrays, or the arrays where workers can't map the shared folder."""
+def build_lexicon(documents: DataFrame, text: str, tokenizer: str, folder: str, words: int = LEXICON_WORDS) -> tuple[str, str]:
+    """Compile the most frequent words; returns the folder of the arrays and the beginning of their files' names.
+
+    Where the shared folder isn't a file system that workers can map, the files are handed to every executor, also to those
+    that come later, and mapped from the executor's own copy: the folder is then the empty text.
+    """
     top = word_counts(documents, text, folder).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
     merge = tokenizers.byte_bpe(tokenizer, folder)._encode_single_piece
     lexicon = {r.word.encode("utf-8"): merge(r.word.encode("utf-8")) for r in top}
     transducer = Transducer.compile(lexicon)
-    url = urlparse(shared_dir(documents.sparkSession))
+    spark = documents.sparkSession
+    url, name = urlparse(shared_dir(spark)), f"lexicon-{uuid.uuid4().hex}"
     if url.scheme in ("", "file"):
-        place = f"{url.path}/lexicon-{uuid.uuid4().hex}"
+        place = f"{url.path}/{name}"
         transducer.save(place)
-        return place
-    return {k: v for k, v in vars(transducer).items() if not k.startswith("_")}
+        remove_at_exit(spark, "file://" + place)
+        return place, ""
+    served = tempfile.mkdtemp(prefix="emberline-lexicon-")  # on the driver only, which serves the files until it ends
+    atexit.register(shutil.rmtree, served, True)
+    transducer.save(served, name + "-")
+    for file in sorted(os.listdir(served)):
+        spark.sparkContext.addFile(os.path.join(served, file))
+    return "", name + "-"
 
 
 @functools.lru_cache(maxsize=2)
-def _mapped(place: str) -> Transducer:
-    return Transducer.load(place)
+def _mapped(place: str, prefix: str) -> Transducer:
+    return Transducer.load(place or SparkFiles.getRootDirectory(), prefix)
 
 
 class Encoder:
@@ -111,11 +128,10 @@ def encode_texts(
     words: int = LEXICON_WORDS,
 ) -> DataFrame:
     """(key, ids): one row per row of ``documents``, without a shuffle of texts."""
-    lexicon = build_lexicon(documents, text, tokenizer, folder, words)
-    shared = None if isinstance(lexicon, str) else documents.sparkSession.sparkContext.broadcast(lexicon)
+    place, prefix = build_lexicon(documents, text, tokenizer, folder, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_mapped(lexicon) if shared is None else Transducer(**shared.value), tokenizer, folder)
+        encoder = Encoder(_mapped(place, prefix), tokenizer, folder)
         for batch in batches:
             ids = encoder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])

@@ -15,13 +15,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.llm import tokenizers
 from emberline.llm.budget import count_tokens, digest
+from emberline.operators.matching import small_side
+
+
+#: Parts into which the documents of one text are spread for the join with its token count.
+SALTS = 32
 
 
 def document_tokens(documents: DataFrame, tokenizer: str = tokenizers.DEFAULT, folder: str = tokenizers.TOKENIZER_DIR) -> DataFrame:
-    """(doc_id, source, tokens) of every distinct document with a text; each distinct text is tokenized once."""
-    rows = documents.filter("text IS NOT NULL AND text <> ''").select("doc_id", "source", "text", digest(F.col("text")).alias("__d"))
-    tokens = count_tokens(rows.select("__d", "text").dropDuplicates(["__d"]), "text", tokenizer, folder)
-    return rows.select("doc_id", "source", "__d").distinct().join(tokens, "__d").select("doc_id", "source", "tokens")
+    """(doc_id, source, tokens) of every distinct document with a text; each distinct text is tokenized once.
+
+    One text may stand in any share of the documents: its documents are spread over ``SALTS`` parts, and each part that
+    occurs meets one copy of the count. A text that stands once occurs in one part, so the counts are hardly multiplied.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("__salt")
+    rows = documents.filter("text IS NOT NULL AND text <> ''").select("doc_id", "source", "text", digest(F.col("text")).alias("__d"), salt)
+    per_text = rows.groupBy("__d").agg(F.any_value("text").alias("text"), F.expr("bit_or(shiftleft(1L, __salt))").alias("__salts"))
+    counted = count_tokens(per_text, "text", tokenizer, folder)
+    parts = F.expr(f"filter(sequence(0, {SALTS - 1}), x -> (__salts & shiftleft(1L, x)) <> 0)")
+    counted = counted.withColumn("__salt", F.explode(parts)).drop("__salts")
+    return rows.select("doc_id", "source", "__d", "__salt").distinct().join(counted, ["__d", "__salt"]).select("doc_id", "source", "tokens")
 
 
 def hash_unit(key: Column, seed: str) -> Column:
@@ -47,9 +60,10 @@ def mix_rates(tokens: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(tokens: DataFrame, rates: DataFrame, seed: str = "mix-1") -> DataFrame:
     """(mix_id, source, doc_id, tokens, copies): how often each document is used, documents not used left out.
 
-    The rates are one row per mix and source of the target table, so the join needs no shuffle of the documents.
+    The rates are one row per mix and source of the target table; they are counted, and while they are few the join needs no
+    shuffle of the documents.
     """
-    rows = tokens.join(rates.filter("rate > 0").select("mix_id", "source", "rate", "max_repeats"), "source")
+    rows = tokens.join(small_side(rates.filter("rate > 0").select("mix_id", "source", "rate", "max_repeats")), "source")
     extra = (hash_unit(F.concat_ws("|", F.col("mix_id"), F.col("doc_id")), seed) < F.col("rate") - F.floor("rate")).cast("bigint")
     copies = F.least(F.floor("rate") + extra, F.col("max_repeats").cast("bigint"))
     return rows.select("mix_id", "source", "doc_id", "tokens", copies.alias("copies")).filter("copies > 0")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from emberline.operators.matching import small_side
 from emberline.operators.ranking import distributed_rank
 
 
@@ -35,17 +36,22 @@ def draw_sizes(samples: DataFrame, targets: DataFrame) -> DataFrame:
     return draws.withColumn("total", total).select("draw_id", F.expr("(draw_permille * total) DIV 1000").alias("size"))
 
 
-def draw(samples: DataFrame, targets: DataFrame, seed: str = "draw-1") -> DataFrame:
+def rank_samples(samples: DataFrame, seed: str = "draw-1") -> DataFrame:
+    """The samples with ``place``: their random rank in their category. The ranking is distributed: one category may hold most of the rows."""
+    order = F.md5(F.concat(F.lit(seed + "|"), F.col("sample_id").cast("string")))
+    return distributed_rank(samples.withColumn("__h", order), ["category", "label"], [F.col("__h"), F.col("sample_id")], "place").drop("__h")
+
+
+def draw(samples: DataFrame, targets: DataFrame, seed: str = "draw-1", ranked: DataFrame | None = None) -> DataFrame:
     """(draw_id, sample_id, category, label, place): the rows of every draw.
 
-    Both rankings are distributed, so one category may hold most of the rows. ``targets`` is a control table of one row
-    per draw and category.
+    ``ranked``: the samples by ``rank_samples``, where they were ranked before. ``targets`` is a control table of one row per
+    draw and category.
     """
-    order = F.md5(F.concat(F.lit(seed + "|"), F.col("sample_id").cast("string")))
-    ranked = distributed_rank(samples.withColumn("__h", order), ["category", "label"], [F.col("__h"), F.col("sample_id")], "place")
+    ranked = rank_samples(samples, seed) if ranked is None else ranked
     wanted = targets.select("draw_id", folded(F.col("phase")).alias("category"), "label", "target_permille", "min_rows")
     wanted = wanted.distinct().join(draw_sizes(samples, targets), "draw_id")
-    candidates = ranked.drop("__h").join(wanted, ["category", "label"]).filter((F.col("target_permille") > 0) | (F.col("place") <= F.col("min_rows")))
+    candidates = ranked.join(small_side(wanted), ["category", "label"]).filter((F.col("target_permille") > 0) | (F.col("place") <= F.col("min_rows")))
     priority = F.when(F.col("target_permille") > 0, (F.col("place") - 0.5) / F.col("target_permille")).otherwise(F.lit(float("inf")))
     candidates = candidates.select(
         "draw_id", "size", "sample_id", "category", "label", "place", F.when(F.col("place") <= F.col("min_rows"), 0).otherwise(1).alias("__late"), priority.alias("__priority")
@@ -55,14 +61,20 @@ def draw(samples: DataFrame, targets: DataFrame, seed: str = "draw-1") -> DataFr
     return seated.filter("__seat <= size").select("draw_id", "sample_id", "category", "label", "place")
 
 
-def draw_report(samples: DataFrame, targets: DataFrame, drawn: DataFrame) -> DataFrame:
-    """One row per target row: what was asked, what exists, what was drawn, and whether the target can't be met."""
-    have = samples.groupBy("category", "label").agg(F.count(F.lit(1)).alias("available"))
+def draw_report(samples: DataFrame, targets: DataFrame, drawn: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
+    """One row per target row: what was asked, what exists, what was drawn, and whether the target can't be met.
+
+    A target can't be met if the draw gave fewer rows than it asks for and the ranking of the category ends before the rank
+    that would meet it: no further priority stood against those that were drawn.
+    """
+    ranked = rank_samples(samples) if ranked is None else ranked
+    have = ranked.groupBy("category", "label").agg(F.max("place").alias("available"))
     took = drawn.groupBy("draw_id", "category", "label").agg(F.count(F.lit(1)).alias("drawn"))
     asked = targets.distinct().withColumn("category", folded(F.col("phase"))).join(draw_sizes(samples, targets), "draw_id")
     out = asked.join(have, ["category", "label"], "left").join(took, ["draw_id", "category", "label"], "left")
     out = out.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    unmet = (F.col("available") * 1000 < F.col("target_permille") * F.col("size")) | (F.col("available") < F.col("min_rows"))
+    lacks = lambda c: (F.col(c) * 1000 < F.col("target_permille") * F.col("size")) | (F.col(c) < F.col("min_rows"))
+    unmet = lacks("drawn") & lacks("available")
     return out.select(
         "draw_id", "phase", F.col("label").cast("int").alias("label"), "target_permille", "min_rows", "size", "available", "drawn",
         F.coalesce(F.expr("try_divide(drawn * 1000.0D, CAST(size AS DOUBLE))"), F.lit(0.0)).alias("actual_permille"), unmet.alias("unmet"),

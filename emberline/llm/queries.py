@@ -69,16 +69,16 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- problem 2 ---------------------------------------------------------------------------------------------------------
-def _draw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _draw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     samples = staged(proportions.usable_samples(table(spark, sf_dir, "kto_dataset")), "samples")
     targets = table(spark, sf_dir, "sample_target")
-    return samples, targets, proportions.draw(samples, targets)
+    ranked = proportions.rank_samples(samples)
+    return samples, targets, proportions.draw(samples, targets, ranked=ranked), ranked
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target rows that can't be met."""
-    samples, targets, drawn = _draw(spark, sf_dir)
-    return proportions.draw_report(samples, targets, drawn).filter("unmet").select("draw_id", "phase", "label").distinct()
+    """The target rows that the draw leaves short and that no further sample can fill."""
+    return proportions.draw_report(*_draw(spark, sf_dir)).filter("unmet").select("draw_id", "phase", "label").distinct()
 
 
 def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,12 +126,12 @@ class Transducer:
     def ids_of(self, place: int) -> list[int]:
         return self.ids[self.ids_from[place] : self.ids_from[place + 1]].tolist()
 
-    def save(self, folder: str) -> None:
+    def save(self, folder: str, prefix: str = "") -> None:
         os.makedirs(folder, exist_ok=True)
         for name in _ARRAYS:
-            np.save(os.path.join(folder, f"{name}.npy"), getattr(self, name))
+            np.save(os.path.join(folder, f"{prefix}{name}.npy"), getattr(self, name))
 
     @classmethod
-    def load(cls, folder: str) -> Transducer:
+    def load(cls, folder: str, prefix: str = "") -> Transducer:
         """Memory-mapped: workers of a machine share the pages."""
-        return cls(*(np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r") for name in _ARRAYS))
+        return cls(*(np.load(os.path.join(folder, f"{prefix}{name}.npy"), mmap_mode="r") for name in _ARRAYS))
