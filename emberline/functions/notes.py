@@ -91,3 +91,38 @@ PROMPT_PARTS = (
 def prompt_digest(prompt: Column) -> Column:
     """What a prompt tells of earlier days, the night, the vote and earlier speeches; empty where it tells nothing."""
     return F.concat(*[F.coalesce(F.concat(F.lit(name), _inside(prompt, p), F.lit("\n")), F.lit("")) for name, p in PROMPT_PARTS])
+
+
+#: Speeches in a prompt: bold names, "N said at ...", and lines of a list; the first wording that is found counts.
+SPEECHES = (
+    r"(?is)\*\*Player\s*(\d+)\*\*[:：]\s*(.*?)(?=\n\*\*Player\s*\d+\*\*[:：]|\n\nYou are currently|$)",
+    r"(?is)(\d+)\s+said\s+at\s+.*?:\s*(.*?)(?=\d+\s+said\s+at|Please analyze|$)",
+    r"(?m)^[-*•]\s+[^\d\n:：]{0,20}(\d{1,4})[^\d\n:：]{0,6}[:：]\s*(\S.*)$",
+)
+
+
+def speeches(prompt: Column) -> Column:
+    """Player number -> the last speech of theirs that the prompt tells."""
+    found = None
+    for pattern in SPEECHES:
+        pairs = F.arrays_zip(F.regexp_extract_all(prompt, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(prompt, F.lit(pattern), F.lit(2)).alias("v"))
+        pairs = F.transform(pairs, lambda x: F.struct(x["k"].try_cast("int").alias("k"), F.regexp_replace(x["v"], r"^\s+|\s+$", "").alias("v")))
+        pairs = F.filter(pairs, lambda x: x["k"].isNotNull() & (x["v"] != ""))
+        found = pairs if found is None else F.when(F.size(found) > 0, found).otherwise(pairs)
+    return F.map_from_entries(found)
+
+
+def fact_conflicts(said: Column, info: Column, memory: Column, tasks: Column) -> Column:
+    """Which rules a speech breaks: where one is, tasks claimed as done, deaths denied, and witness claims without evidence."""
+    quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+    low, facts = F.lower(said), F.lower(F.concat_ws("\n", info, memory))
+    here = F.nullif(F.regexp_extract(info, r"Current Location: ([^\n]+)", 1), F.lit(""))
+    claimed = F.nullif(F.regexp_extract(said, r"\b(?i:I am|I'm) (?:currently )?(?:in|at) (?:the )?([A-Z][A-Za-z]*(?: [A-Z][A-Za-z]*)*) right now\b", 1), F.lit(""))
+    claimed = F.coalesce(claimed, F.nullif(F.regexp_extract(said, r"\b(?i:currently) (?:in|at) (?:the )?([A-Z][A-Za-z]*(?: [A-Z][A-Za-z]*)*)", 1), F.lit("")))
+    elsewhere = claimed.isNotNull() & here.isNotNull() & (claimed != F.trim(here))
+    undone = F.exists(tasks, lambda t: ~t["done"] & F.regexp_like(low, F.concat(F.lit(r"\b(?:completed|finished|did)\b[^.?!\n]*"), quoted(F.lower(t["name"])))))
+    nobody = low.rlike("no one died|nobody died|no deaths|no dead bodies") & facts.rlike(r"\(dead\)|dead body|was voted out")
+    history = F.lower(F.concat_ws("\n", F.regexp_extract(info, r"(?s)Observation history:\n(.*?)(?:\n\n|$)", 1), F.regexp_extract(info, r"(?s)Action history:\n(.*?)(?:\n\n|$)", 1), memory))
+    unseen = low.rlike(r"\b(?:i saw|i witnessed)\b[^.?!\n]*(?:kill|vent)") & ~history.rlike("kill|vent")
+    rules = [(elsewhere, "location"), (undone, "task"), (nobody, "death"), (unseen, "witness")]
+    return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), name) for broken, name in rules]))

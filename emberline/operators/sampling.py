@@ -58,3 +58,32 @@ def split_by_digest(df: DataFrame, key: str, seed: str, ratio: float) -> DataFra
     ranked = distributed_rank(df.withColumn("__h", digest_order(seed, F.col(key))), [], [F.col("__h"), F.col(key)], "__place")
     n = df.agg(F.floor(F.count(F.lit(1)) * F.lit(ratio))).scalar()
     return ranked.withColumn("part", F.when(F.col("__place") <= n, "train").otherwise("test")).drop("__h", "__place")
+
+
+def flatten_weights(labels: DataFrame, details: DataFrame, roles: DataFrame) -> DataFrame:
+    """(label, detail, role, weight): the label's weight times the detail's share times the role's share, both within the label.
+
+    Control tables (label, w), (label, detail, w), (label, role, w); a label without roles keeps one bucket per detail.
+    """
+    share = lambda df: df.filter("w > 0").withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("label")))
+    out = labels.filter("w > 0").withColumnRenamed("w", "__l").join(share(details).withColumnRenamed("w", "__d"), "label")
+    out = out.join(share(roles).withColumnRenamed("w", "__r"), "label", "left")
+    return out.select("label", "detail", "role", (F.col("__l") * F.col("__d") * F.coalesce("__r", F.lit(1.0))).alias("weight"))
+
+
+def with_replacement(df: DataFrame, quotas: DataFrame, keys: list[str], key: str, seed: str) -> DataFrame:
+    """``quota`` rows of each bucket in digest order; a bucket with fewer rows gives them again in turns: ``copy_no`` tells the copies apart.
+
+    ``quotas``: (keys..., available, quota). How often a row comes follows from its rank, so no task holds a bucket.
+    """
+    ranked = distributed_rank(df.withColumn("__h", digest_order(seed, F.col(key))), keys, [F.col("__h"), F.col(key)], "place").drop("__h")
+    rows = ranked.join(quotas, keys).filter("place <= quota")
+    times = F.expr("(quota - place + available) DIV available")
+    return rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
+
+
+def sample_report(selected: DataFrame, quotas: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., requested, available, selected, missing) of each bucket."""
+    got = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("selected"))
+    out = quotas.join(got, keys, "left").withColumn("selected", F.coalesce("selected", F.lit(0)))
+    return out.select(*keys, F.col("quota").alias("requested"), "available", "selected", (F.col("quota") - F.col("selected")).alias("missing"))

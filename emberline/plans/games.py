@@ -31,7 +31,7 @@ def _beliefs(events: DataFrame) -> DataFrame:
     labels = F.try_variant_get(text.json_or_fence(content_of("identity_labels")), "$", "map<string,string>")
     rows = e.select("file_id", F.col("source").alias("viewer"), "day", F.col("time").contains("Night").alias("night"), "seq", F.explode(labels).alias("k", "r"))
     return rows.filter(F.col("k").rlike(r"^Player \d+$")).select(
-        "file_id", "viewer", "day", "night", "seq", text.first_number(F.col("k")).alias("target"), role_fn.role(F.col("r")).alias("role")
+        "file_id", "viewer", "day", "night", "seq", text.first_number(F.col("k")).alias("target"), role_fn.role(F.col("r")).alias("role"), F.col("r").alias("raw")
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberline.plans import entries, extras, functions, games, nested, samples, streams
+from emberline.plans import entries, extras, functions, games, labels, nested, samples, streams
 
-_PARTS = (nested, functions, games, entries, samples, streams, extras)
+_PARTS = (nested, functions, games, entries, samples, streams, extras, labels)
 #: Columns whose type DuckDB makes wider than Spark does: sums of counts, lengths of lists.
 _TYPES = {
     "INTEGER": {
@@ -15,6 +15,7 @@ _TYPES = {
         "g_vote_audit": ["numeric_outcomes"], "g_majority_belief": ["wolf_beliefs"], "g_alive_at_vote": ["alive", "wolves_alive"], "g_win_rates": ["wolf_wins", "good_wins"], "e_belief_shift": ["better", "worse"],
         "e_room_witnesses": ["crew_witnesses"], "t_entry_roles": ["agree", "unsaid"], "s_auto_weights": ["good", "bad"], "s_unions": ["no_lang", "no_role"], "x_accusations": ["right"],
         "x_interval_pairs": ["speeches"], "x_balanced_batches": ["good", "bad"],
+        "t_skip_counts": ["no_phase", "no_prompt", "no_response", "many_tries", "no_json"],
     },
 }
 
