@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberline.plans import entries, extras, functions, games, labels, nested, samples, streams
+from emberline.plans import entries, extras, files, functions, games, labels, nested, samples, streams
 
-_PARTS = (nested, functions, games, entries, samples, streams, extras, labels)
+_PARTS = (nested, functions, games, entries, samples, streams, extras, labels, files)
 #: Columns whose type DuckDB makes wider than Spark does: sums of counts, lengths of lists.
 _TYPES = {
     "INTEGER": {

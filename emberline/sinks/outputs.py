@@ -24,6 +24,14 @@ def write_phase_maps(df: DataFrame, path: str) -> None:
     phase_map(df).write.mode("overwrite").partitionBy("category", "label").json(path)
 
 
+def write_companion_maps(df: DataFrame, path: str, value: str, order: str) -> None:
+    """A JSON record per game: player -> phase -> value; of several values of a phase the last by ``order`` wins. A game's players are few."""
+    last = df.groupBy("game_path", "player_id", "phase").agg(F.max_by(F.col(value).cast("string"), order).alias("v"))
+    per = last.groupBy("game_path", "player_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("phase", "v")))).alias("m"))
+    games = per.groupBy("game_path").agg(F.collect_list(F.struct(F.col("player_id").cast("string").alias("k"), F.col("m").alias("v"))).alias("e"))
+    games.select("game_path", F.map_from_entries("e").alias("players")).write.mode("overwrite").json(path)
+
+
 def write_rows(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Parquet; refuses a target that exists unless told to overwrite."""
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)

@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Where game folders can lie below a root: random lay-out, matchup lay-out, or one level further down.
-GAME_GLOBS = ("game_*", "w-*/game_*", "*/game_*", "*/w-*/game_*")
-
-
 def whole_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, text) of each file."""
     df = spark.read.text(paths, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def line_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def line_texts(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
     """(path, text) of each line that isn't blank; large files are split among tasks."""
-    df = spark.read.text(paths)
+    df = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(F.trim("text") != "")
 
 
@@ -25,23 +21,23 @@ def game_of(path: Column) -> Column:
     return F.regexp_extract(path, r"^(?:file:)?/*(.*)/[^/]+$", 1)
 
 
-def read_game_logs(spark: SparkSession, root: str, layout: str = "*/game_*") -> DataFrame:
-    """(game_path, matchup, seq, event) for ``game_log.json`` files, arrays of events; files that aren't are left out."""
-    files = whole_texts(spark, f"{root}/{layout}/game_log.json")
+def read_game_logs(spark: SparkSession, root: str, layout: str = "*/game_*", name: str = "game_log.json") -> DataFrame:
+    """(game_path, matchup, seq, event) of log files, arrays of events; files that aren't are left out."""
+    files = whole_texts(spark, f"{root}/{layout}/{name}")
     rows = files.select(game_of(F.col("path")).alias("game_path"), F.try_variant_get(F.try_parse_json("text"), "$", "array<variant>").alias("events"))
     rows = rows.select("game_path", F.posexplode("events").alias("pos", "event"))
     return rows.select("game_path", F.regexp_extract("game_path", r"(w-[^/]+_vs_v-[^/]+)", 1).alias("matchup"), (F.col("pos") + 1).alias("seq"), "event")
 
 
-def read_player_traces(spark: SparkSession, root: str, layout: str = "*/game_*") -> DataFrame:
-    """(game_path, player_id, entry) of ``Player_N.jsonl``; blank and malformed lines are skipped, the id comes from the name."""
-    rows = line_texts(spark, f"{root}/{layout}/Player_*.jsonl").withColumn("entry", F.try_parse_json("text")).filter("entry IS NOT NULL")
-    return rows.select(game_of(F.col("path")).alias("game_path"), F.regexp_extract("path", r"Player_(\d+)\.jsonl$", 1).try_cast("int").alias("player_id"), "entry")
+def read_player_traces(spark: SparkSession, root: str, layout: str = "*/game_*", name: str = "Player_*.jsonl", number: str = r"Player_(\d+)\.jsonl$") -> DataFrame:
+    """(game_path, player_id, entry) of players' files; blank and malformed lines are skipped, the id comes from the path."""
+    rows = line_texts(spark, f"{root}/{layout}/{name}").withColumn("entry", F.try_parse_json("text")).filter("entry IS NOT NULL")
+    return rows.select(game_of(F.col("path")).alias("game_path"), F.regexp_extract("path", number, 1).try_cast("int").alias("player_id"), "entry")
 
 
-def read_entries(spark: SparkSession, paths: list[str] | str, strict: bool = True, without: str | None = None) -> DataFrame:
+def read_entries(spark: SparkSession, paths: list[str] | str, strict: bool = True, without: str | None = None, recursive: bool = False) -> DataFrame:
     """(log_path, entry) of JSON lines. Strict: a malformed line fails the job. ``without``: a folder name that excludes a path."""
-    rows = line_texts(spark, paths)
+    rows = line_texts(spark, paths, recursive)
     if without:
         rows = rows.filter(~F.array_contains(F.split("path", "/"), without))
     parse = F.parse_json if strict else F.try_parse_json
@@ -112,3 +108,17 @@ def or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+
+
+def read_phase_maps(spark: SparkSession, path: str) -> DataFrame:
+    """(category, label, game_path, player_id, phase) of the maps that ``sinks.outputs.write_phase_maps`` writes."""
+    maps = spark.read.schema("game_path string, players map<string,array<string>>, category string, label string").json(path)
+    rows = maps.select("category", "label", "game_path", F.explode("players").alias("player", "phases"))
+    return rows.select("category", "label", "game_path", F.col("player").cast("int").alias("player_id"), F.explode("phases").alias("phase"))
+
+
+def read_companion_maps(spark: SparkSession, path: str) -> DataFrame:
+    """(game_path, player_id, phase, value) of the maps that ``sinks.outputs.write_companion_maps`` writes."""
+    maps = spark.read.schema("game_path string, players map<string,map<string,string>>").json(path)
+    rows = maps.select("game_path", F.explode("players").alias("player", "values"))
+    return rows.select("game_path", F.col("player").cast("int").alias("player_id"), F.explode("values").alias("phase", "value"))
