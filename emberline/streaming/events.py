@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from emberline.session import shared_dir, tune
+from emberline.session import remove_at_exit, shared_dir, tune
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 8) -> DataFrame:
@@ -40,33 +40,44 @@ def delivered_once(rows: DataFrame, key: str, delivered: str, within: str = "30
     return ts.dropDuplicatesWithinWatermark([key])
 
 
-def running_games(traces: DataFrame) -> DataFrame:
-    """(game_path, traces, players, last_phase) after each batch in which a game got rows: state kept per game."""
+def running_games(traces: DataFrame, at: str = "logged_at", late: str = "30 days", idle_days: int = 90) -> DataFrame:
+    """(game_path, traces, players, last_phase) after each batch in which a game got rows: state kept per game.
+
+    A game's state is dropped once the watermark is ``idle_days`` past its last row.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, players, last, at = state.get if state.exists else (0, 0, "", 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, seen, last, latest, newest = state.get if state.exists else (0, "", "", 0, 0)
+        players = set(filter(None, seen.split(",")))
         for f in frames:
             n += len(f)
-            for p in f["player_id"]:
-                players |= 1 << int(p)
+            players.update(str(int(p)) for p in f["player_id"].dropna())
+            newest = max(newest, int(f[at].max().timestamp() * 1000) if f[at].notna().any() else 0)
             f = f.sort_values("trace_id")
-            if len(f) and int(f["trace_id"].iloc[-1]) >= at:
-                at, last = int(f["trace_id"].iloc[-1]), f["phase"].iloc[-1] or ""
-        state.update((n, players, last, at))
-        yield pd.DataFrame({"game_path": [key[0]], "traces": [n], "players": [players.bit_count()], "last_phase": [last]})
-
-    return traces.select("game_path", "player_id", "phase", "trace_id").groupBy("game_path").applyInPandasWithState(
-        update, "game_path string, traces bigint, players int, last_phase string", "n bigint, players bigint, last string, at bigint", "update", GroupStateTimeout.NoTimeout
+            if len(f) and int(f["trace_id"].iloc[-1]) >= latest:
+                latest, last = int(f["trace_id"].iloc[-1]), f["phase"].iloc[-1] or ""
+        state.update((n, ",".join(sorted(players)), last, latest, newest))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
+        yield pd.DataFrame({"game_path": [key[0]], "traces": [n], "players": [len(players)], "last_phase": [last]})
+
+    rows = traces.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    return rows.select("game_path", "player_id", "phase", "trace_id", at).groupBy("game_path").applyInPandasWithState(
+        update, "game_path string, traces bigint, players int, last_phase string", "n bigint, players string, last string, latest bigint, newest bigint", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def finished(stream: DataFrame, mode: str, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
     """Run a stream over what is there and give its result as a table in the shared folder.
 
-    Complete results replace each other; of updates the last one per key counts.
+    Complete results replace each other; of updates the last one per key counts. ``late_rows`` of the result tells how many
+    rows came behind the watermark and are in no result.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    remove_at_exit(spark, base)
     schema = StructType([*stream.schema.fields, StructField("__batch", IntegerType())])
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -76,9 +87,12 @@ def finished(stream: DataFrame, mode: str, keys: list[str] | None = None, order:
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    late = sum(int(o["numRowsDroppedByWatermark"]) for p in q.recentProgress for o in p["stateOperators"])
     rows = spark.read.schema(schema).parquet(f"{base}/rows")
     if keys:
         rest = [c for c in rows.columns if c not in keys and c != "__batch"]
         rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("__batch", *([order] if order else []))).alias("v")).select(*keys, "v.*")
-        return rows
-    return rows.drop("__batch")
+    else:
+        rows = rows.drop("__batch")
+    rows.late_rows = late
+    return rows
