@@ -302,7 +302,7 @@ class Classifier:
     def suspects(self, text: str) -> bool:
         """Whether a training text is left out: verified, or so likely garbled that intact texts may only look alike for being garbled too."""
         best = self._likely(text)[1]
-        return bool(len(best)) and (best.max() >= SUSPECT or self.find(text) is not None)
+        return bool(len(best)) and (best.max() >= SUSPECT or self.find(text, True) is not None)
 
     @classmethod
     def _fit(cls, texts: list[tuple[str, str]], first: Classifier | None = None) -> Classifier:
@@ -361,12 +361,15 @@ class Classifier:
             starts = np.concatenate([[0], np.cumsum([len(raw[i]) + 1 for i in block])[:-1]])
             begins = np.searchsorted(at, starts)
             columns = self.columns[bins[at]]
+            starts_text = np.zeros(len(at) + 1, bool)
+            starts_text[begins] = True
+            starts_text = starts_text[:-1]
             for limit, bound, by_chain in self._bounds:
                 # a step down that nothing makes up for stands before each text, so that no run goes across two
                 total = np.cumsum(np.insert(bound[columns], begins, -1e6))
                 gain = np.delete(total - np.minimum.accumulate(total), begins + np.arange(len(begins)))
                 up = gain > 0
-                first = np.flatnonzero(up & ~np.concatenate([[False], up[:-1]]) | up & np.isin(np.arange(len(up)), begins))
+                first = np.flatnonzero(up & ~np.concatenate([[False], up[:-1]]) | up & starts_text)
                 if not len(first):
                     continue
                 last = np.append(first[1:], len(up))
@@ -460,8 +463,8 @@ class Classifier:
                 out.append((score, int(k), int(at[start]), int(at[end - 1]) + 1))
         return sorted(out, reverse=True)
 
-    def find(self, text: str | None) -> tuple[str, str | None, float] | None:
-        """(chains, restored text or None, log odds of the strongest passage) of a garbled text, None for an intact one.
+    def find(self, text: str | None, may: bool = False) -> tuple[str, str | None, float] | None:
+        """``may``: whether ``may_hold`` is known to be true of the text. (chains, restored text or None, log odds of the strongest passage) of a garbled text, None for an intact one.
 
         A passage that is found divides the text; what stands before and behind it is searched on its own, and what it was
         restored to as well where that is shorter, so that every passage is restored. Lost bytes in one leave no original.
@@ -472,7 +475,8 @@ class Classifier:
         todo = [(text, True)]
         while todo:
             part, open_ = todo.pop()
-            hit = self._passage(part) if open_ and not part.isascii() and self.may_hold([part])[0] else None
+            hit = self._passage(part) if open_ and not part.isascii() and (may or self.may_hold([part])[0]) else None
+            may = False
             if hit is None:
                 whole.append(part)
                 continue

@@ -51,7 +51,7 @@ def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text",
         model = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            rows = [(i, *found) for i in np.flatnonzero(model.may_hold(texts)) if (found := model.find(texts[i]))]
+            rows = [(i, *found) for i in np.flatnonzero(model.may_hold(texts)) if (found := model.find(texts[i], True))]
             cols = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))]
             cols += [pa.array([r[j] for r in rows], kind) for j, kind in ((1, pa.string()), (2, pa.string()), (3, pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, [key, "chain", "restored", "log_odds"])
