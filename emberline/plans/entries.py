@@ -250,14 +250,17 @@ def t_missing_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(logs.traces(spark, sf_dir, "game_path", "phase"), ["game_path", "phase"], "left_anti").groupBy("kto_bucket").agg(F.count(F.lit(1)).alias("missing"))
 
 
+#: The moment at which the cache of ``t_cache_lookup`` was taken.
+CACHED_UNTIL = "2025-07-01"
+
+
 def t_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts looked up by digest in the cache of earlier ones; the rest computed; both united."""
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("key"), "created_at", "source")
-    cache = d.filter("source = 'belief_trace'").groupBy("key").agg(F.min("doc_id").alias("cached_from"))
-    hit, new = matching.cached_or_new(d.filter("source IS NULL OR source <> 'belief_trace'"), cache, "key")
-    new = new.withColumn("cached_from", F.lit(None).cast("bigint"))
-    out = hit.select("doc_id", "cached_from").unionByName(new.select("doc_id", "cached_from"))
-    return out.groupBy(F.col("cached_from").isNotNull().alias("cached")).agg(F.count(F.lit(1)).alias("documents"))
+    """Documents by what becomes of them: those until a moment make up a cache, later ones are looked up in it by digest or computed."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("key"), F.coalesce(F.col("created_at") < F.lit(CACHED_UNTIL).cast("timestamp_ntz"), F.lit(False)).alias("early"))
+    cache = d.filter("early").groupBy("key").agg(F.min("doc_id").alias("cached_from"))
+    hit, new = matching.cached_or_new(d.filter("NOT early"), cache, "key")
+    parts = [d.filter("early").select(F.lit("cache").alias("kind")), hit.select(F.lit("hit").alias("kind")), new.select(F.lit("new").alias("kind"))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def t_phase_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +330,8 @@ ORACLE = {
     "t_first_per_phase": with_sql("SELECT game_path, player_id, phase, arg_min(trace_id, struct_pack(logged_at, trace_id)) AS trace_id FROM traces t WHERE EXISTS (SELECT 1 FROM samples s WHERE s.label AND s.game_path = t.game_path AND s.phase = t.phase) GROUP BY ALL"),
     "t_ranked_match": with_sql(*_tail(SQL_RANKED)), "t_changed_labels": with_sql(*_tail(SQL_CHANGED)),
     "t_missing_original": with_sql("SELECT kto_bucket, count(*) AS missing FROM samples s WHERE game_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM traces t WHERE t.game_path = s.game_path AND t.phase = s.phase) GROUP BY ALL"),
-    "t_cache_lookup": "WITH c AS (SELECT sha256(text) AS k FROM documents WHERE source = 'belief_trace' AND text IS NOT NULL GROUP BY ALL) SELECT k IS NOT NULL AS cached, count(*) AS documents FROM (SELECT doc_id, sha256(text) AS s FROM documents WHERE text IS NOT NULL AND (source IS NULL OR source <> 'belief_trace')) d LEFT JOIN c ON c.k = d.s GROUP BY ALL",
+    "t_cache_lookup": f"""WITH d AS (SELECT sha256(text) AS k, coalesce(created_at < TIMESTAMP '{CACHED_UNTIL}', false) AS early FROM documents WHERE text IS NOT NULL)
+      SELECT CASE WHEN early THEN 'cache' WHEN k IN (SELECT k FROM d WHERE early) THEN 'hit' ELSE 'new' END AS kind, count(*) AS documents FROM d GROUP BY ALL""",
     "t_phase_map": with_sql("""SELECT game_path, player_id, array_to_string(list_transform(list_sort(list_distinct(list(struct_pack(d := coalesce(TRY_CAST(split_part(phase, '_', 1) AS INT), 9999), p := phase)))), lambda x: x.p), ',') AS phases,
       count(DISTINCT phase) AS n FROM traces WHERE phase IS NOT NULL GROUP BY ALL"""),
     "t_name_or_number": with_sql(*_tail(SQL_NAME)),

@@ -9,27 +9,12 @@ from emberline.functions import text, verdicts
 from emberline.operators import matching, ordered, sampling
 from emberline.operators.ranking import distributed_rank
 from emberline.plans.games import _ROLE_SQL, SQL_ROSTER, _roster
-from emberline.plans.samples import SEED, SQL_QUOTA, _buckets
+from emberline.plans.samples import SEED, SQL_QUOTA, SQL_REBALANCE, _buckets, s_rebalance
 from emberline.sources import logs
 from emberline.sources.logs import agent_entries, content_of, game_events, prompt_of, staged_events, with_sql
 from emberline.sources.tables import table
 
 
-def x_accusations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Players whom English speeches call a werewolf, without negated ones; how many of them are."""
-    e = staged_events(spark, sf_dir, "god_view", "speech", "speech_pk")
-    s = e.filter("event IN ('speech', 'speech_pk')").select("file_id", "seq", "source", content_of("speech_content").alias("said"))
-    called = F.filter(F.regexp_extract_all("said", F.lit(r"((?:not |cannot say )?(?:that )?Player \d+ sounds like a Werewolf)"), F.lit(1)), lambda x: ~x.startswith("not ") & ~x.startswith("cannot "))
-    rows = s.select("file_id", "source", F.explode(F.array_distinct(F.transform(called, lambda x: F.regexp_extract(x, r"(\d+)", 1).cast("int")))).alias("target")).distinct()
-    r = _roster(e).select("file_id", F.col("player").alias("target"), "role")
-    return rows.join(r, ["file_id", "target"], "left").groupBy("file_id").agg(F.count(F.lit(1)).alias("accusations"), F.count_if(F.col("role") == "Werewolf").alias("right"))
-
-
-SQL_ACCUSE = r"""said AS (SELECT file_id, source, content ->> '$.speech_content' AS said FROM game_events WHERE event IN ('speech', 'speech_pk')),
-called AS (SELECT file_id, source, unnest(list_filter(regexp_extract_all(said, '((?:not |cannot say )?(?:that )?Player \d+ sounds like a Werewolf)', 1), lambda x: NOT starts_with(x, 'not ') AND NOT starts_with(x, 'cannot '))) AS c FROM said),
-acc AS (SELECT DISTINCT file_id, source, CAST(regexp_extract(c, '(\d+)', 1) AS INT) AS target FROM called)"""
-
-
 #: Calling a player a werewolf, in both languages of the reference, and the negations that take it back.
 CALLED = (r"Player[\s\p{Z}]*(\d+)[^\n]{0,80}?(?:werewolf|wolf|狼人)", r"(\d+)号[^\n]{0,40}?狼人")
 NOT_CALLED = r"not[\s\p{Z}]+(?:a[\s\p{Z}]+)?(?:werewolf|wolf)|不是[^\n]{0,6}狼人"
@@ -57,18 +42,6 @@ called AS (SELECT file_id, source, unnest(list_filter(list_concat(regexp_extract
 acc AS (SELECT DISTINCT file_id, source, TRY_CAST(regexp_extract(c, '(\d+)', 1) AS INT) AS target FROM called WHERE TRY_CAST(regexp_extract(c, '(\d+)', 1) AS INT) > 0)"""
 
 
-def x_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles that English speakers claim for themselves, against their true roles."""
-    e = staged_events(spark, sf_dir, "god_view", "speech")
-    s = e.filter("event = 'speech'").select("file_id", F.col("source").alias("player"), "seq", F.regexp_extract(content_of("speech_content"), r"I hold the (\w+) card", 1).alias("claim"))
-    first = ordered.first_wins(s.filter("claim <> ''"), ["file_id", "player"], F.col("seq"), "claim")
-    return first.join(_roster(e), ["file_id", "player"]).groupBy("claim", "role").agg(F.count(F.lit(1)).alias("players"))
-
-
-SQL_CLAIMS = r"""cl AS (SELECT file_id, source AS player, seq, regexp_extract(content ->> '$.speech_content', 'I hold the (\w+) card', 1) AS claim FROM game_events WHERE event = 'speech'),
-fc AS (SELECT file_id, player, arg_min(claim, seq) AS claim FROM cl WHERE claim <> '' GROUP BY ALL)"""
-
-
 #: Claiming a role for oneself, in both languages of the claims.
 CLAIMED = r"(?i)I hold the [a-z -]{0,20}?(" + "|".join(role_fn.ALIASES) + r")[a-z]* card|我拿的是(" + "|".join(role_fn.CHINESE) + ")"
 
@@ -175,18 +148,18 @@ SELECT sample_id, verified, place > quota AS filled FROM vs WHERE seat <= 250"""
 
 
 def x_replaced_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task rows of a sample replaced by an own build of task rows."""
+    """Task rows of a sample replaced by a build of their own: the rows of every action type, balanced by label."""
     b = _buckets(spark, sf_dir).select("sample_id", "bucket", "label")
     rest = b.filter("bucket <> 'task_action'").withColumn("part", F.lit("kept"))
-    built = logs.samples(spark, sf_dir, "task_action_type", "label").filter("label IS NOT NULL AND task_action_type IN ('MOVE', 'CALL', 'COMPLETE')").select("sample_id", F.lit("task_action").alias("bucket"), "label", F.lit("built").alias("part"))
+    built = s_rebalance(spark, sf_dir).select("sample_id", F.lit("task_action").alias("bucket"), "label", F.lit("built").alias("part"))
     return rest.unionByName(built).groupBy("part", "bucket", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def x_label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels spelled in several ways read by both rules, over the order states of the star tables."""
-    o = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"))
-    word = F.when(F.col("o_orderstatus") == "F", " TRUE ").when(F.col("o_orderstatus") == "O", "undesirable").otherwise("maybe")
-    return o.select("o_orderstatus", verdicts.label_or_null(word).alias("strict"), verdicts.label_or_true(word).alias("lenient"), "orders")
+    """Labels as text read by both rules: one knows true, false and neither, the other takes all but the words of false for true."""
+    word = F.coalesce(F.upper(F.col("label").cast("string")), F.col("kto_bucket"))
+    s = logs.samples(spark, sf_dir, "label", "kto_bucket").groupBy(word.alias("word")).agg(F.count(F.lit(1)).alias("samples"))
+    return s.select("word", verdicts.label_or_null(F.col("word")).alias("strict"), verdicts.label_or_true(F.col("word")).alias("lenient"), "samples")
 
 
 def x_prompt_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,11 +199,12 @@ SQL_KINDS = """SELECT CASE WHEN coalesce(TRY_CAST(prompt ->> '$."Action Repair F
 
 
 def x_cached_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers found in a cache of distinct texts, the rest judged by rule, one judgement per distinct text."""
+    """Answers found in a cache of verdicts on the texts of votes, the rest judged, one judgement per distinct text: does it hold JSON."""
+    ok = F.max(text.json_or_fence(F.col("response")).isNotNull()).alias("ok")
     t = logs.traces(spark, sf_dir, "response", "phase").filter("response IS NOT NULL").withColumn("key", F.sha2("response", 256))
-    cache = t.filter(F.col("phase").contains("_day_vote")).groupBy("key").agg(F.max(F.length("response") > 20).alias("ok"))
+    cache = t.filter(F.col("phase").contains("_day_vote")).groupBy("key").agg(ok)
     hit, new = matching.cached_or_new(t, cache, "key")
-    judged = new.groupBy("key").agg(F.max(F.length("response") > 20).alias("ok"))
+    judged = new.groupBy("key").agg(ok)
     out = hit.select("trace_id", "ok", F.lit(True).alias("cached")).unionByName(new.join(judged, "key").select("trace_id", "ok", F.lit(False).alias("cached")))
     return out.groupBy("cached", "ok").agg(F.count(F.lit(1)).alias("traces"))
 
@@ -243,25 +217,25 @@ def _tail(sql: str) -> tuple[str, str]:
 QUERIES = {
     f.__name__: f
     for f in (
-        x_accusations, x_wolf_accusations, x_claims, x_role_claims, x_interval_pairs, x_half_majority, x_group_cycle, x_balanced_batches, x_weighted_assignment, x_verified_sample, x_replaced_part, x_label_words, x_prompt_filter, x_roles_of_seats,
+        x_wolf_accusations, x_role_claims, x_interval_pairs, x_half_majority, x_group_cycle, x_balanced_batches, x_weighted_assignment, x_verified_sample, x_replaced_part, x_label_words, x_prompt_filter, x_roles_of_seats,
         x_entry_kinds, x_cached_verdicts,
     )
 }
 ORACLE = {
-    "x_accusations": with_sql(SQL_ROSTER, SQL_ACCUSE, "SELECT a.file_id, count(*) AS accusations, coalesce(count_if(r.role = 'Werewolf'), 0) AS right FROM acc a LEFT JOIN roster r ON r.file_id = a.file_id AND r.player = a.target GROUP BY ALL"),
     "x_wolf_accusations": with_sql(SQL_ROSTER, SQL_CALLED, "SELECT a.file_id, count(*) AS accusations, CAST(coalesce(count_if(r.role = 'Werewolf'), 0) AS BIGINT) AS right FROM acc a LEFT JOIN roster r ON r.file_id = a.file_id AND r.player = a.target GROUP BY ALL"),
-    "x_claims": with_sql(SQL_ROSTER, SQL_CLAIMS, "SELECT claim, role, count(*) AS players FROM fc JOIN roster USING (file_id, player) GROUP BY ALL"),
     "x_role_claims": with_sql(SQL_ROSTER, SQL_ROLE_CLAIMS, "SELECT claim, role, count(*) AS players FROM fc JOIN roster USING (file_id, player) GROUP BY ALL"),
     "x_interval_pairs": with_sql(*_tail(SQL_INTERVAL)),
     "x_half_majority": with_sql("vv AS (SELECT file_id, day, event, TRY_CAST(content ->> '$.vote_target' AS INT) AS t, count(*) AS n FROM game_events WHERE event IN ('vote', 'vote_pk') GROUP BY ALL)",
         "SELECT file_id, day, event, CAST(sum(n) AS BIGINT) AS votes, max(CASE WHEN t > 0 THEN n END) AS top, coalesce(max(CASE WHEN t > 0 THEN n END) * 2 > sum(n), false) AS decided FROM vv GROUP BY ALL"),
     "x_group_cycle": with_sql(SQL_QUOTA, *_tail(SQL_CYCLE)), "x_balanced_batches": with_sql(SQL_QUOTA, *_tail(SQL_BATCHES)), "x_weighted_assignment": with_sql(*_tail(SQL_ASSIGN)),
     "x_verified_sample": with_sql(*_tail(SQL_VERIFIED)),
-    "x_replaced_part": with_sql(SQL_QUOTA, "SELECT part, bucket, label, count(*) AS n FROM (SELECT 'kept' AS part, bucket, label FROM buck WHERE bucket <> 'task_action' UNION ALL SELECT 'built', 'task_action', label FROM samples WHERE label IS NOT NULL AND task_action_type IN ('MOVE', 'CALL', 'COMPLETE')) GROUP BY ALL"),
-    "x_label_words": "SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS strict, o_orderstatus <> 'O' AS lenient, count(*) AS orders FROM orders GROUP BY ALL",
+    "x_replaced_part": with_sql(SQL_QUOTA, SQL_REBALANCE.split("\nSELECT", 1)[0], "reb AS (SELECT" + SQL_REBALANCE.split("\nSELECT", 1)[1] + ")",
+        "SELECT part, bucket, label, count(*) AS n FROM (SELECT 'kept' AS part, bucket, label FROM buck WHERE bucket <> 'task_action' UNION ALL SELECT 'built', 'task_action', label FROM reb) GROUP BY ALL"),
+    "x_label_words": with_sql("""SELECT coalesce(upper(CAST(label AS VARCHAR)), kto_bucket) AS word, label AS strict, CASE WHEN coalesce(upper(CAST(label AS VARCHAR)), kto_bucket) IS NOT NULL THEN coalesce(label, true) END AS lenient,
+      count(*) AS samples FROM samples GROUP BY ALL"""),
     "x_prompt_filter": with_sql("SELECT note IS NOT NULL AS has_note, contains(prompt, '号玩家') AS chinese, count(*) AS traces, CAST(sum(length(note)) AS BIGINT) AS note_chars FROM traces WHERE NOT contains(prompt, 'Game state') GROUP BY ALL"),
     "x_roles_of_seats": with_sql(r"sa AS (SELECT game_path, player_id, coalesce(nullif(regexp_extract(prompt, 'card (?:is|reads)? ?([A-Z][a-z]+)', 1), ''), nullif(regexp_extract(prompt, '(?:身份|底牌是)([\x{4e00}-\x{9fff}]{2,3})[，,]', 1), '')) AS s FROM traces)",
         f"SELECT {_role_case('s')} AS said, {_role_case('r.role')} AS truth, count(*) AS traces FROM sa JOIN roles r ON r.game_path = sa.game_path AND r.id = sa.player_id GROUP BY ALL"),
     "x_entry_kinds": with_sql(SQL_KINDS),
-    "x_cached_verdicts": with_sql("SELECT response IN (SELECT response FROM traces WHERE contains(phase, '_day_vote') AND response IS NOT NULL) AS cached, length(response) > 20 AS ok, count(*) AS traces FROM traces WHERE response IS NOT NULL GROUP BY ALL"),
+    "x_cached_verdicts": with_sql("SELECT response IN (SELECT response FROM traces WHERE contains(phase, '_day_vote') AND response IS NOT NULL) AS cached, json_valid(response) OR coalesce(json_valid(nullif(regexp_extract(response, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1), '')), false) AS ok, count(*) AS traces FROM traces WHERE response IS NOT NULL GROUP BY ALL"),
 }

@@ -47,9 +47,8 @@ def r_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines by player identity, read back tolerantly and recursively without the folder ``sorted``."""
     out = _folder(spark, "entries")
     lines = logs.once(table(spark, sf_dir, "agent_log").select("line_id", "record"), "line_id").filter("record IS NOT NULL")
-    lines = lines.select(F.regexp_replace("record", r"[\r\n]", " ").alias("value"), F.element_at(F.array(F.lit("a"), F.lit("sorted")), F.pmod("line_id", F.lit(2)).cast("int") + 1).alias("part"))
-    for part in ("a", "sorted"):
-        lines.filter(F.col("part") == part).select("value").write.text(f"{out}/run/{part}")
+    for part in ("a", "sorted"):  # every line in both folders
+        lines.select(F.regexp_replace("record", r"[\r\n]", " ").alias("value")).write.text(f"{out}/run/{part}")
     rows = files.read_entries(spark, f"{out}/run", strict=False, without="sorted", recursive=True)
     return rows.groupBy(F.try_variant_get("entry", "$.player.identity", "string").alias("identity")).agg(F.count(F.lit(1)).alias("entries"))
 
@@ -98,7 +97,7 @@ def r_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("key"), "doc_id")
     first = d.groupBy("key").agg(F.min("doc_id").alias("value"))
     outputs.append_json(first.withColumn("run", F.lit(1)), out)
-    outputs.append_json(first.filter(F.col("key") < "8").withColumn("run", F.lit(2)), out)
+    outputs.append_json(first.withColumn("run", F.lit(2)), out)
     cache = spark.read.schema("key string, value bigint, run int").json(out)
     last = cache.groupBy("key").agg(F.max_by("value", "run").alias("value"), F.max("run").alias("run"), F.count(F.lit(1)).alias("entries"))
     return last.groupBy("run", "entries").agg(F.count(F.lit(1)).alias("keys"), F.sum("value").alias("values"))
@@ -131,12 +130,12 @@ ORACLE = {
     "r_game_logs": with_sql("arr AS (SELECT file_id, unnest(json_extract(payload, '$[*]')) AS e, generate_subscripts(json_extract(payload, '$[*]'), 1) AS seq FROM files WHERE json_valid(payload) AND json_type(payload) = 'ARRAY')",
         "SELECT file_id, e ->> '$.event' AS event, count(*) AS events, CAST(max(seq) AS INT) AS last_seq FROM arr GROUP BY ALL"),
     "r_player_files": with_sql("SELECT md5(game_path) AS game, player_id, count(*) AS traces, CAST(sum(trace_id) AS BIGINT) AS ids, coalesce(CAST(count_if(TRY_CAST(split_part(phase, '_', 1) AS INT) > 1) AS BIGINT), 0) AS later FROM traces GROUP BY ALL"),
-    "r_entries": with_sql("SELECT record ->> '$.player.identity' AS identity, count(*) AS entries FROM lines WHERE json_valid(record) AND line_id % 2 = 0 GROUP BY ALL"),
+    "r_entries": with_sql("SELECT record ->> '$.player.identity' AS identity, count(*) AS entries FROM lines WHERE json_valid(record) GROUP BY ALL"),
     "r_records": "SELECT source, count(*) AS documents, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY ALL",
     "r_columnar": with_sql("SELECT sample_id, coalesce(phase, '') AS phase, coalesce(CAST(label AS VARCHAR), '') AS label FROM samples"),
     "r_phase_maps": with_sql(f"SELECT DISTINCT {_KIND} AS category, CASE WHEN coalesce(gen_times <= 1, true) THEN 'good' ELSE 'bad' END AS label, game_path, player_id, phase FROM traces WHERE phase IS NOT NULL AND game_path IS NOT NULL AND player_id IS NOT NULL"),
     "r_companions": "SELECT game_path, player_id, phase, CAST(arg_max(gen_times, trace_id) AS VARCHAR) AS value FROM player_trace WHERE phase IS NOT NULL AND gen_times IS NOT NULL GROUP BY ALL",
-    "r_appended": "WITH k AS (SELECT sha256(text) AS key, min(doc_id) AS value FROM documents WHERE text IS NOT NULL GROUP BY ALL) SELECT CASE WHEN key < '8' THEN 2 ELSE 1 END AS run, CASE WHEN key < '8' THEN 2::BIGINT ELSE 1::BIGINT END AS entries, count(*) AS keys, CAST(sum(value) AS BIGINT) AS values FROM k GROUP BY ALL",
+    "r_appended": "SELECT 2 AS run, 2::BIGINT AS entries, count(*) AS keys, CAST(sum(value) AS BIGINT) AS values FROM (SELECT min(doc_id) AS value FROM documents WHERE text IS NOT NULL GROUP BY text)",
     "r_parts": with_sql("SELECT lang IS NULL AS no_lang, count(*) AS rows, count(CASE WHEN lang IS NULL THEN phase END) AS phases, CAST(sum(sample_id) AS BIGINT) AS ids FROM samples GROUP BY ALL"),
     "r_summaries": with_sql("SELECT CASE TRY_CAST(content ->> '$.outcome' AS INT) WHEN 1 THEN 'impostors' WHEN -1 THEN 'crew' END AS winner, 'votes' AS reason, count(*) AS games FROM game_events WHERE event = 'end_game' GROUP BY ALL"),
 }

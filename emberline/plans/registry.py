@@ -13,7 +13,7 @@ _TYPES = {
     },
     "BIGINT": {
         "g_vote_audit": ["numeric_outcomes"], "g_majority_belief": ["wolf_beliefs"], "g_alive_at_vote": ["alive", "wolves_alive"], "g_win_rates": ["wolf_wins", "good_wins"], "e_belief_shift": ["better", "worse"],
-        "e_room_witnesses": ["crew_witnesses"], "t_entry_roles": ["agree", "unsaid"], "s_auto_weights": ["good", "bad"], "s_unions": ["no_lang", "no_role"], "x_accusations": ["right"],
+        "e_room_witnesses": ["crew_witnesses"], "t_entry_roles": ["agree", "unsaid"], "s_auto_weights": ["good", "bad"], "s_unions": ["no_lang", "no_role"],
         "x_interval_pairs": ["speeches"], "x_balanced_batches": ["good", "bad"],
         "t_skip_counts": ["no_phase", "no_prompt", "no_response", "many_tries", "no_json"],
     },

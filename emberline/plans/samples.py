@@ -103,10 +103,10 @@ SELECT sample_id, task_action_type, label FROM (SELECT t.*, q.quota, row_number(
 
 
 def s_model_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wanted models at equal shares, restricted to those that exist, times bucket weights; other models under one name."""
-    wanted = ["tern-13b", "orchid-lite", "absent-1b"]
-    b = _buckets(spark, sf_dir).withColumn("model", F.when(F.col("source_model").isin(wanted), F.col("source_model")).otherwise("__unmatched_model__"))
-    n = b.groupBy("model", "bucket").agg(F.count(F.lit(1)).alias("available"))
+    """The models that play in the games at equal shares, restricted to those with samples, times bucket weights; other sources under one name."""
+    known = logs.roles(spark, sf_dir).filter("model IS NOT NULL").select(F.col("model").alias("source_model")).distinct().withColumn("wanted", F.lit(True))
+    n = _buckets(spark, sf_dir).groupBy("source_model", "bucket").agg(F.count(F.lit(1)).alias("n")).join(known, "source_model", "left")
+    n = n.groupBy(F.when(F.col("wanted"), F.col("source_model")).otherwise("__unmatched_model__").alias("model"), "bucket").agg(F.sum("n").alias("available"))
     models = n.filter("model <> '__unmatched_model__'").agg(F.count_distinct("model")).scalar()
     return n.withColumn("weight", F.when(F.col("model") == "__unmatched_model__", 0.0).otherwise(1.0 / models))
 
@@ -153,13 +153,13 @@ SELECT phase, count(*) AS rows, count_if(lang = '') AS no_lang, count_if(role =
 
 
 def s_columnar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parallel arrays per game turned back into rows; a short array pads with null. A game's samples are bounded by its log."""
+    """Parallel arrays per game turned back into rows. A game's samples are bounded by its log."""
     s = logs.samples(spark, sf_dir, "game_path", "phase").filter("game_path IS NOT NULL").groupBy("game_path").agg(F.sort_array(F.collect_list(F.struct("sample_id", "phase"))).alias("l"))
-    cols = s.select("game_path", F.col("l.sample_id").alias("ids"), F.expr("slice(l.phase, 1, size(l) - 1)").alias("phases"))
+    cols = s.select("game_path", F.col("l.sample_id").alias("ids"), F.col("l.phase").alias("phases"))
     return cols.select("game_path", F.inline(F.arrays_zip("ids", "phases"))).select("game_path", F.col("ids").alias("sample_id"), F.col("phases").alias("phase"))
 
 
-SQL_COLUMNAR = "SELECT game_path, sample_id, CASE WHEN row_number() OVER (PARTITION BY game_path ORDER BY sample_id DESC) > 1 THEN phase END AS phase FROM samples WHERE game_path IS NOT NULL"
+SQL_COLUMNAR = "SELECT game_path, sample_id, phase FROM samples WHERE game_path IS NOT NULL"
 
 
 def s_orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +211,7 @@ ORACLE = {
     "s_stratified": with_sql(SQL_QUOTA, *_tail(SQL_STRATIFIED)), "s_keep_or_copy": with_sql(SQL_QUOTA, *_tail(SQL_KEEP)), "s_split": with_sql(SQL_QUOTA, SQL_SPLIT),
     "s_relabel": with_sql(SQL_QUOTA, "SELECT origin, label, count(*) AS samples FROM (SELECT 'original' AS origin, label FROM buck UNION ALL SELECT 'relabelled', true FROM buck WHERE NOT label AND (contains(lower(phase), 'night_skill') OR contains(lower(phase), '_day_vote'))) GROUP BY ALL"),
     "s_rebalance": with_sql(*_tail(SQL_REBALANCE)),
-    "s_model_ratios": with_sql(SQL_QUOTA, "mm AS (SELECT CASE WHEN source_model IN ('tern-13b', 'orchid-lite', 'absent-1b') THEN source_model ELSE '__unmatched_model__' END AS model, bucket FROM buck)",
+    "s_model_ratios": with_sql(SQL_QUOTA, "mm AS (SELECT CASE WHEN source_model IN (SELECT model FROM roles WHERE model IS NOT NULL) THEN source_model ELSE '__unmatched_model__' END AS model, bucket FROM buck)",
         "SELECT model, bucket, count(*) AS available, CASE WHEN model = '__unmatched_model__' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / (SELECT count(DISTINCT model) FROM mm WHERE model <> '__unmatched_model__') END AS weight FROM mm GROUP BY ALL"),
     "s_summary": with_sql(SQL_QUOTA, SQL_SUMMARY),
     "s_auto_weights": with_sql(SQL_QUOTA, "SELECT bucket, good, bad, CASE WHEN good > 0 AND bad > 0 THEN greatest(1.0::DOUBLE, bad / good) END AS good_weight, CASE WHEN good > 0 AND bad > 0 THEN greatest(1.0::DOUBLE, good / bad) END AS bad_weight FROM (SELECT bucket, count_if(label) AS good, count_if(NOT label) AS bad FROM buck GROUP BY bucket)"),
