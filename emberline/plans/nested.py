@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.operators.nested import ROOT, child_items, flat_table, learn_plan, shred
 from emberline.sources.game_text import AGENT_LOG, GAME_LOG, RESPONSE
-from emberline.sources.tables import table
+from emberline.sources.tables import spread, table
 
 _SOURCES = {"game_log": ("file_id", "payload", GAME_LOG), "agent_log": ("line_id", "record", AGENT_LOG), "player_trace": ("trace_id", "response", RESPONSE)}
 #: Lists of the events' contents that are asked for, beside role_map and identity_labels.
@@ -16,7 +16,7 @@ CONTENT_LISTS = ["wolf_team", "dead_list", "speech_queue", "vote_queue"]
 def rows_of(spark: SparkSession, sf_dir: str, name: str, *only: str) -> DataFrame:
     """The shredded rows of a source, of the tables ``only`` where any are given. Redelivered records give repeated rows."""
     key, text, reader = _SOURCES[name]
-    return shred(table(spark, sf_dir, name).select(key, text), key, text, reader, only=set(only) or None)
+    return shred(spread(table(spark, sf_dir, name).select(key, text), key), key, text, reader, only=set(only) or None)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

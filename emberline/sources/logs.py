@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline.session import staged
@@ -36,20 +38,22 @@ def _is(kind: str, variant: Column) -> Column:
 def _event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, game_path, matchup, events) of every delivery: the events of a readable file as an array of VARIANT, whatever its layout."""
     files = table(spark, sf_dir, "game_log").select("file_id", "game_path", "matchup", "payload")
-    whole = F.try_parse_json(F.col("payload"))
-    lines = F.transform(F.filter(F.split("payload", "\n"), lambda x: F.trim(x) != ""), F.try_parse_json)
-    files = files.withColumn("__v", whole)
-    events = (
-        F.when(_is("ARRAY", F.col("__v")), F.try_variant_get(F.col("__v"), "$", "array<variant>"))
-        .when(_is("ARRAY", F.try_variant_get(F.col("__v"), "$.game_log", "variant")), F.try_variant_get(F.col("__v"), "$.game_log", "array<variant>"))
-        .when((F.size(lines) > 0) & ~F.exists(lines, lambda x: x.isNull()), lines)
-    )
-    return files.select("file_id", "game_path", "matchup", events.alias("events")).filter("events IS NOT NULL")
+    cut = F.filter(F.split("payload", "\n"), lambda x: F.trim(x) != "")
+    by_line = _once(F.transform(cut, F.try_parse_json), lambda x: F.when((F.size(x) > 0) & ~F.exists(x, lambda y: y.isNull()), x))
+    # a cast to the kind that is looked for tells kinds apart without the schema of the whole value
+    array = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    events = _once(F.try_parse_json(F.col("payload")), lambda v: F.coalesce(array(v, "$"), array(v, "$.game_log"), by_line))
+    return files.select("file_id", "game_path", "matchup", events.alias("events"))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used: a lambda's variable isn't inlined."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def game_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, game_path, matchup, n_events) of each readable file; payloads are read in place, not shuffled."""
-    return once(_event_lists(spark, sf_dir).select("file_id", "game_path", "matchup", F.size("events").alias("n_events")), "file_id")
+    return once(_event_lists(spark, sf_dir).select("file_id", "game_path", "matchup", F.size("events").alias("n_events")).filter("n_events >= 0"), "file_id")
 
 
 def game_events(spark: SparkSession, sf_dir: str, *kinds: str, bare: tuple[str, ...] = ()) -> DataFrame:
@@ -59,13 +63,14 @@ def game_events(spark: SparkSession, sf_dir: str, *kinds: str, bare: tuple[str,
     ``target`` is the single target (null for a list or none); ``content`` is VARIANT, also where the file holds its text, and
     null for the kinds in ``bare``, whose content isn't asked for.
     """
-    rows = _event_lists(spark, sf_dir).select("file_id", "game_path", "matchup", F.posexplode("events").alias("pos", "e"))
+    rows = _event_lists(spark, sf_dir).select("file_id", "game_path", "matchup", F.posexplode_outer("events").alias("pos", "e"))
     rows = rows.withColumn("event", F.try_variant_get(F.col("e"), "$.event", "string"))
-    if kinds:
-        rows = rows.filter(F.col("event").isin(*kinds))
+    # an outer explode, so that no condition on the list, with all that it takes to make it, is put before it
+    rows = rows.filter(F.col("event").isin(*kinds) if kinds else F.col("pos").isNotNull())
     text = F.try_variant_get(F.col("e"), "$.content", "string")
     content = F.try_variant_get(F.col("e"), "$.content", "variant")
-    content = F.when(_is("STRING", content), F.try_parse_json(text)).otherwise(content)
+    is_object = F.try_variant_get(F.col("e"), "$.content", "map<string,variant>").isNotNull()
+    content = F.when(is_object, content).otherwise(F.try_parse_json(text))
     if bare:
         content = F.when(~F.col("event").isin(*bare), content)
     target = F.try_variant_get(F.col("e"), "$.target", "variant")

@@ -61,3 +61,12 @@ def test_staged_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=None), sparkContext=SimpleNamespace(master="spark://driver:7077"))
     with pytest.raises(ValueError):
         shared_dir(cluster)
+
+
+def test_small_tables_are_dealt_out_and_large_ones_stay(spark):
+    from emberline.sources.tables import spread
+
+    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(64)
+    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "REPARTITION_BY_NUM" in plan_of(spread(few, "id")) and spread(many, "id") is many
+    assert sorted(r.id for r in spread(few, "id").collect()) == list(range(100))
