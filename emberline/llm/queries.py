@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.llm import budget, cutoff, encoding, mixing, mojibake, packing, pairs, proportions
 from emberline.session import staged
-from emberline.sources.tables import table
+from emberline.sources.tables import spread, table
 
 
 # -- problems 1 and 4 --------------------------------------------------------------------------------------------------
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tab, row_id, prompt, response) of both tables; redelivered rows repeat."""
-    traces = table(spark, sf_dir, "player_trace").select(F.lit("player_trace").alias("tab"), F.col("trace_id").alias("row_id"), "prompt", "response")
+def _pairs(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """(tab, row_id, prompt, response) of both tables; redelivered rows repeat. ``deal``: rows of few splits are dealt out to all cores."""
+
+    def read(name: str, key: str, *columns: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).select(key, *columns)
+        return spread(rows, key) if deal else rows
+
+    traces = read("player_trace", "trace_id", "prompt", "response").select(F.lit("player_trace").alias("tab"), F.col("trace_id").alias("row_id"), "prompt", "response")
     contents = lambda c: F.array_join(cutoff.completion_texts(F.col(c)), "\n")
-    kto = table(spark, sf_dir, "kto_dataset").select(
+    kto = read("kto_dataset", "sample_id", "prompt", "completion").select(
         F.lit("kto_dataset").alias("tab"), F.col("sample_id").alias("row_id"), contents("prompt").alias("prompt"), contents("completion").alias("response")
     )
     return traces.unionByName(kto)
@@ -28,7 +33,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The defective pairs with their defects. Rows are judged where they are read; only keys and defects are shuffled."""
     rows = _pairs(spark, sf_dir)
     model = pairs.PairModel.fit(pairs.sample_prompts(_labelled_prompts(spark, sf_dir)), pairs.sample_pairs(rows))
-    return pairs.find_defects(rows, model, ["tab", "row_id"]).distinct()
+    return pairs.find_defects(_pairs(spark, sf_dir, deal=True), model, ["tab", "row_id"]).distinct()
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +46,10 @@ def _cut_scores(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     rows = _pairs(spark, sf_dir)
     sample = pairs.sample_pairs(rows, cutoff.SAMPLE_VALUES)
     model = cutoff.CutModel.fit([r for _, r in sample], [p for p, _ in sample])
-    traces = table(spark, sf_dir, "player_trace").select(
+    traces = spread(table(spark, sf_dir, "player_trace").select("trace_id", "game_path", "player_id", "response", "prompt"), "trace_id").select(
         F.lit("player_trace").alias("tab"), F.col("trace_id").alias("row_id"), "game_path", "player_id", F.lit(None).cast("string").alias("source_model"), F.col("response").alias("text"), "prompt"
     )
-    kto = table(spark, sf_dir, "kto_dataset").select(
+    kto = spread(table(spark, sf_dir, "kto_dataset").select("sample_id", "source_model", "completion", "prompt"), "sample_id").select(
         F.lit("kto_dataset").alias("tab"), F.col("sample_id").alias("row_id"), F.lit(None).cast("string").alias("game_path"), F.lit(None).cast("int").alias("player_id"), "source_model",
         F.explode_outer(cutoff.completion_texts(F.col("completion"))).alias("text"), F.array_join(cutoff.completion_texts(F.col("prompt")), "\n").alias("prompt"),
     )
@@ -154,7 +159,7 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- problem 7 ---------------------------------------------------------------------------------------------------------
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
-    return encoding.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoding.encode_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 # -- problem 8 ---------------------------------------------------------------------------------------------------------
@@ -177,7 +182,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- problem 9 ---------------------------------------------------------------------------------------------------------
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.find_garbled(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return mojibake.find_garbled(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
