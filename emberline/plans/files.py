@@ -124,9 +124,21 @@ def r_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_summaries(spark, f"{out}/*.txt").groupBy("winner", "reason").agg(F.count(F.lit(1)).alias("games"))
 
 
-QUERIES = {f.__name__: f for f in (r_game_logs, r_player_files, r_entries, r_records, r_columnar, r_phase_maps, r_companions, r_appended, r_parts, r_summaries)}
+def r_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The games below each matchup folder: logs found one level down, the sides that play, and self-play."""
+    games = table(spark, sf_dir, "player_trace").filter("game_path IS NOT NULL").select("game_path").distinct()
+    paths = games.select(F.explode(F.array(F.concat("game_path", F.lit("/game_log.json")), F.concat("game_path", F.lit("/old/game_log.json")), F.concat("game_path", F.lit("/notes.txt")))).alias("path"))
+    roots = games.select(F.regexp_replace("game_path", "/[^/]+$", "").alias("root"))
+    found = files.resolve_logs(paths, roots, "game_log.json").withColumn("s", files.sides(F.col("path")))
+    return found.groupBy("root", "s.wolf", "s.good", "s.self_play").agg(F.count_distinct(files.game_dir(F.col("path"))).alias("games"), F.count(F.lit(1)).alias("logs"))
+
+
+QUERIES = {f.__name__: f for f in (r_discovery, r_game_logs, r_player_files, r_entries, r_records, r_columnar, r_phase_maps, r_companions, r_appended, r_parts, r_summaries)}
 _KIND = "CASE WHEN contains(lower(phase), '_day_speech') THEN 'speech' WHEN contains(lower(phase), '_day_vote') THEN 'vote' WHEN contains(lower(phase), 'night_skill') THEN 'action' WHEN contains(lower(phase), 'state_reconstruction') THEN 'state_recon' ELSE 'other' END"
 ORACLE = {
+    "r_discovery": r"""SELECT regexp_replace(game_path, '/[^/]+$', '') AS root, nullif(regexp_replace(regexp_extract(game_path, '(?:^|/)w-([^/]+?)_vs_v-([^/]+)', 1), '_tmp[0-9.]+$', ''), '') AS wolf,
+      nullif(regexp_replace(regexp_extract(game_path, '(?:^|/)w-([^/]+?)_vs_v-([^/]+)', 2), '_tmp[0-9.]+$', ''), '') AS good, wolf = good AS self_play, count(DISTINCT game_path) AS games, count(DISTINCT game_path) AS logs
+      FROM player_trace WHERE game_path IS NOT NULL GROUP BY ALL""",
     "r_game_logs": with_sql("arr AS (SELECT file_id, unnest(json_extract(payload, '$[*]')) AS e, generate_subscripts(json_extract(payload, '$[*]'), 1) AS seq FROM files WHERE json_valid(payload) AND json_type(payload) = 'ARRAY')",
         "SELECT file_id, e ->> '$.event' AS event, count(*) AS events, CAST(max(seq) AS INT) AS last_seq FROM arr GROUP BY ALL"),
     "r_player_files": with_sql("SELECT md5(game_path) AS game, player_id, count(*) AS traces, CAST(sum(trace_id) AS BIGINT) AS ids, coalesce(CAST(count_if(TRY_CAST(split_part(phase, '_', 1) AS INT) > 1) AS BIGINT), 0) AS later FROM traces GROUP BY ALL"),

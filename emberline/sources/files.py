@@ -122,3 +122,33 @@ def read_companion_maps(spark: SparkSession, path: str) -> DataFrame:
     maps = spark.read.schema("game_path string, players map<string,map<string,string>>").json(path)
     rows = maps.select("game_path", F.explode("players").alias("player", "values"))
     return rows.select("game_path", F.col("player").cast("int").alias("player_id"), F.explode("values").alias("phase", "value"))
+
+
+def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path) of the files below a folder, at any depth; their contents aren't read."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return df.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"))
+
+
+def resolve_logs(paths: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """(root, path): the log files called ``name`` of each root folder: its own, else those one level below, else all deeper ones.
+
+    ``paths`` (path) is met with ``roots`` (root) on the folders above each path, so no root is compared with every path.
+    """
+    parts = F.split("path", "/")
+    files = paths.filter(F.element_at(parts, -1) == name)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("root"), (F.size(parts) - n).alias("depth")))
+    found = files.select("path", F.inline(above)).join(roots.select("root").distinct(), "root").withColumn("level", F.least("depth", F.lit(3)))
+    nearest = found.groupBy("root").agg(F.min("level").alias("level"))
+    return found.join(nearest, ["root", "level"]).select("root", "path").distinct()
+
+
+def game_dir(path: Column) -> Column:
+    """The nearest folder ``game_*`` that a path is or lies in; null where there is none."""
+    return F.nullif(F.regexp_extract(path, r"^((?:.*/)?game_[^/]+)(?:/.*)?$", 1), F.lit(""))
+
+
+def sides(path: Column) -> Column:
+    """``wolf``, ``good`` and ``self_play`` from the folder ``w-X_vs_v-Y`` of a path; a temperature behind a model's name isn't part of it."""
+    name = lambda i: F.nullif(F.regexp_replace(F.regexp_extract(path, r"(?:^|/)w-([^/]+?)_vs_v-([^/]+)", i), r"_tmp[0-9.]+$", ""), F.lit(""))
+    return F.struct(name(1).alias("wolf"), name(2).alias("good"), (name(1) == name(2)).alias("self_play"))
