@@ -144,6 +144,35 @@ tp AS (SELECT b.file_id, b.viewer, b.day, count_if(b.role = 'Werewolf' AND r.rol
   LEFT JOIN roster r ON r.file_id = b.file_id AND r.player = b.target GROUP BY ALL)"""
 
 
+_SECTIONS = {"speech": "speech", "speech_pk": "speech", "vote": "vote", "vote_pk": "vote", "skill_wolf": "night", "skill_seer": "night", "skill_guard": "night", "skill_witch": "night", "skill_hunter": "night",
+             "end_night": "deaths", "end_vote": "outcome", "end_game": "winner"}
+
+
+def g_game_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The course of each game in order: actions, votes with the first reason that their player's traces give, speeches as digests, deaths, outcomes, the winner."""
+    e = game_events(spark, sf_dir, *_SECTIONS)
+    section = F.lit(None).cast("string")
+    for event, name in _SECTIONS.items():
+        section = F.when(F.col("event") == event, name).otherwise(section)
+    chosen = [F.nullif(content_of(m, "int"), F.lit(0)) for m in ("vote_target", "kill_target", "protected", "heal", "poison", "shoot", "expelled")]
+    detail = F.when(section == "speech", F.md5(content_of("speech_content"))).when(section == "deaths", F.array_join(content_of("dead_list", "array<string>"), ","))
+    detail = detail.when(section == "winner", F.when(content_of("outcome", "int") == 1, "wolves").when(content_of("outcome", "int") == -1, "village"))
+    phase = F.when(section == "vote", F.concat_ws("_day_", F.col("day").cast("string"), "event"))
+    rows = e.select("file_id", "game_path", "seq", section.alias("section"), F.col("source").alias("player_id"), F.coalesce(*chosen, F.when(section == "night", F.col("target"))).alias("target"), detail.alias("detail"), phase.alias("phase"))
+    reasons = logs.traces(spark, sf_dir, "game_path", "player_id", "phase", "vote_reason").filter("trim(vote_reason) <> ''")
+    reasons = ordered.first_wins(reasons, ["game_path", "player_id", "phase"], F.col("trace_id"), "vote_reason")
+    out = rows.join(reasons, ["game_path", "player_id", "phase"], "left")
+    return out.select("file_id", "seq", "section", F.col("player_id").alias("actor"), "target", "detail", F.md5("vote_reason").alias("reason"))
+
+
+_SECTION_SQL = "CASE event " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SECTIONS.items()) + " END"
+_SQL_GAME = f"""gr AS (SELECT file_id, game_path, seq, day, event, source, target AS single, content, {_SECTION_SQL} AS section FROM game_events),
+gd AS (SELECT file_id, game_path, seq, section, source AS player_id, coalesce({", ".join(f"nullif(TRY_CAST(content ->> '$.{m}' AS INT), 0)" for m in ("vote_target", "kill_target", "protected", "heal", "poison", "shoot", "expelled"))},
+  CASE WHEN section = 'night' THEN single END) AS target, CASE section WHEN 'speech' THEN md5(content ->> '$.speech_content') WHEN 'deaths' THEN CASE WHEN json_type(content, '$.dead_list') = 'ARRAY' THEN array_to_string(content ->> '$.dead_list[*]', ',') END
+  WHEN 'winner' THEN CASE TRY_CAST(content ->> '$.outcome' AS INT) WHEN 1 THEN 'wolves' WHEN -1 THEN 'village' END END AS detail, CASE WHEN section = 'vote' THEN day || '_day_' || event END AS phase FROM gr WHERE section IS NOT NULL),
+gq AS (SELECT game_path, player_id, phase, arg_min(vote_reason, trace_id) AS vote_reason FROM traces WHERE trim(vote_reason, ' ') <> '' GROUP BY ALL)"""
+
+
 # -- keys, counters, weights -------------------------------------------------------------------------------------------
 def s_label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label of each (game, phase) that samples agree on; null where some are good and some are bad."""
@@ -351,7 +380,7 @@ ov AS (SELECT sample_id, label, bucket, CAST(unnest(generate_series(1, (quota -
 QUERIES = {
     f.__name__: f
     for f in (
-        t_rehydrated, g_label_with_fallback, t_prompt_speeches, t_seer_called, g_pk_rounds, g_day_expelled, g_team_f1, s_label_conflicts, g_model_key, s_aux_weight, t_skip_counts, e_action_details,
+        t_rehydrated, g_label_with_fallback, t_prompt_speeches, t_seer_called, g_pk_rounds, g_day_expelled, g_team_f1, g_game_report, s_label_conflicts, g_model_key, s_aux_weight, t_skip_counts, e_action_details,
         e_fact_check, s_relabel_pairs, s_drawn_by_table, s_flat_weights, s_oversampled, s_oversampling_report,
     )
 }
@@ -359,6 +388,8 @@ ORACLE = {
     "t_rehydrated": with_sql(SQL_ROSTER, _SQL_HITS, "SELECT t.trace_id, t.game_path, t.player_id, t.phase FROM traces t JOIN hits h ON h.game_path = t.game_path AND h.player_id = t.player_id AND h.phase = t.phase WHERE t.prompt <> '' AND t.response <> ''"),
     "g_label_with_fallback": with_sql(SQL_ROSTER, SQL_BELIEFS, _SQL_RECON, _SQL_MOVES, "SELECT night, recon, process, coalesce(recon, process) AS label, count(*) AS moves FROM labelled GROUP BY ALL"),
     "g_pk_rounds": with_sql(_SQL_PK, "SELECT * FROM pk"),
+    "g_game_report": with_sql(_SQL_GAME, """SELECT d.file_id, d.seq, d.section, d.player_id AS actor, d.target, d.detail, md5(q.vote_reason) AS reason FROM gd d
+      LEFT JOIN gq q ON q.game_path = d.game_path AND q.player_id = d.player_id AND q.phase = d.phase"""),
     "g_day_expelled": with_sql(SQL_ROSTER, _SQL_DAY),
     "g_team_f1": with_sql(SQL_ROSTER, SQL_BELIEFS, _SQL_TEAM, """SELECT p.file_id, p.day, avg(CASE WHEN tp + fp + wolves > 0 THEN 2.0::DOUBLE * tp / (tp + fp + wolves) ELSE 0 END) AS mean_f1, count(*) AS viewers FROM tp p
       JOIN roster r ON r.file_id = p.file_id AND r.player = p.viewer AND r.role IN ('Villager', 'Seer', 'Witch', 'Guard', 'Hunter') JOIN tw w ON w.file_id = p.file_id GROUP BY p.file_id, p.day"""),
