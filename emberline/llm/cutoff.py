@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from emberline.llm.answers import END_MARKS, Answer, End, has_content, is_running, read_answer, read_end, strip_blank
 
 DIMS = 1 << 18
-#: Values the model is fitted on, and the length up to which values are taken for it.
-SAMPLE_VALUES, SAMPLE_CHARS = 6000, 8_000
+#: Values the model is fitted on.
+SAMPLE_VALUES = 6000
 #: Probability from which a text counts as cut.
 LIMIT = 0.5
 # Lengths at which fields are commonly cut.

@@ -19,6 +19,7 @@ specs with a null or non-positive capacity are left out; empty tables give empty
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_right
 
 import pandas as pd
@@ -29,8 +30,8 @@ from emberline.session import staged
 
 #: Rows of the match table up to which it is broadcast; beyond it the join shuffles. A row takes under 64 bytes.
 BROADCAST_MATCHES = 200_000
-#: A spec is a setting, not data.
-MOST_SPECS = 1000
+#: Specs whose items are made in one pass; further specs take further passes. A spec is a setting, not data.
+SPECS_AT_ONCE = 1000
 
 
 def content_length(*sides: str) -> Column:
@@ -51,13 +52,14 @@ def kto_items(kto: DataFrame) -> DataFrame:
 
 def pieces(items: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_id, capacity, item_id, length, piece_no, piece_length): items cut only where they exceed the capacity."""
-    settings = specs.filter("capacity_chars > 0").select("spec_id", F.col("capacity_chars").cast("int").alias("capacity")).distinct().limit(MOST_SPECS + 1).collect()
-    if len(settings) > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} specs: the spec table is a table of settings")
-    each = F.array(*[F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.capacity).alias("capacity")) for r in settings])
-    if not settings:
-        each = F.expr("CAST(array() AS array<struct<spec_id: int, capacity: int>>)")
-    rows = items.select("item_id", "length", F.inline(each))
+    settings = specs.filter("capacity_chars > 0").select("spec_id", F.col("capacity_chars").cast("int").alias("capacity")).distinct().orderBy("spec_id", "capacity").collect()
+    blocks = []
+    for first in range(0, max(1, len(settings)), SPECS_AT_ONCE):
+        each = F.array(*[F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.capacity).alias("capacity")) for r in settings[first : first + SPECS_AT_ONCE]])
+        if not settings:
+            each = F.expr("CAST(array() AS array<struct<spec_id: int, capacity: int>>)")
+        blocks.append(items.select("item_id", "length", F.inline(each)))
+    rows = functools.reduce(DataFrame.unionByName, blocks)
     n = F.greatest(F.lit(1), F.ceil(F.col("length") / F.col("capacity"))).cast("int")
     rows = rows.select("spec_id", "capacity", "item_id", "length", F.explode(F.sequence(F.lit(1), n)).alias("piece_no"))
     return rows.withColumn("piece_length", F.least(F.col("capacity"), F.col("length") - (F.col("piece_no") - 1) * F.col("capacity")).cast("int"))

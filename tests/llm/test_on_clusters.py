@@ -35,3 +35,13 @@ def test_small_sides_are_counted(spark):
     df = spark.range(10)
     assert "broadcast" in small_side(df)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in small_side(df, 5)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_more_specs_than_fit_one_pass(spark, monkeypatch):
+    from emberline.llm import packing
+
+    items = spark.createDataFrame([(1, 5), (2, 12)], "item_id bigint, length int")
+    specs = spark.createDataFrame([(i, "s", 10) for i in range(7)], "spec_id int, spec_name string, capacity_chars int")
+    want = sorted(map(tuple, packing.pack(items, specs).collect()))
+    monkeypatch.setattr(packing, "SPECS_AT_ONCE", 3)
+    assert sorted(map(tuple, packing.pack(items, specs).collect())) == want and len(want) == 21
