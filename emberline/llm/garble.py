@@ -33,6 +33,8 @@ RIVAL = 0.4
 GAIN = 1.0
 #: Bigrams of training text that a class must have.
 LEAST_BIGRAMS = 10
+#: How much more usual, in the mean log count of its bigrams, a garbled word may be than the word itself; beyond, the word was the garbled one.
+USUAL = 1.0
 #: Numbers held at once while all classes are scored on a text.
 BLOCK = 4_000_000
 #: Numbers held at once while bounds are computed: few enough to stay in a core's cache.
@@ -104,12 +106,19 @@ _DIGIT = re.compile(r"[0-9]")
 _NEAR = {i: "a" if chr(i).isalpha() else "0" if chr(i).isdigit() else " " for i in range(128) if chr(i).isalnum() or chr(i).isspace()} | {0xA0: "  "}
 _CHUNK = re.compile(r"(?=([\x00-\x7f][^\x00-\x7f]+(?:[\x00-\x7f]|$)))")
 _LOST = re.compile("\ufffd")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Encodings in which each byte is a letter of its own.
+_LETTERWISE = {"cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-roman", "cp437", "cp850"}
 #: Letters beyond ASCII, and controls that no text has.
 _LETTER = re.compile("[^\\W\\d_\x00-\x7f]|[\x80-\x9f]")
 #: Characters outside the blocks of Latin and Cyrillic letters, Han characters and their punctuation.
 _ODD = re.compile("[^\u0000-\u024f\u0300-\u036f\u0400-\u052f\u1e00-\u1eff\u2000-\u22ff\u2500-\u257f\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef\U0001f000-\U0001ffff]")
 #: Letters of two alphabets side by side, or a small accented letter among capitals.
 _MIXED = re.compile("[A-Z]{2}[\u00df-\u00f6\u00f8-\u00ff]|[\u00df-\u00f6\u00f8-\u00ff][A-Z]|[A-Za-z\u00c0-\u024f][\u0400-\u052f]|[\u0400-\u052f][A-Za-z\u00c0-\u024f]")
+#: Signs where correct text has them: an apostrophe behind a letter, quotes at the edges of words, dashes and dots between or behind words.
+_IN_PLACE = re.compile("(?<=[^\\W\\d_])[\u2019\u02bc]|(?<!\\w)[\u2018\u201c\u201e\u00ab\u00bf\u00a1]|[\u2019\u201d\u201c\u00bb\u2026](?!\\w)|(?<!\\w)[\u2013\u2014\u2022](?!\\w)|(?<=[0-9])\u2013(?=[0-9])")
+#: A sign inside a word that no word has there.
+_SPLIT = re.compile("[^\\W\\d_][\u201c-\u2022\u2030\u20ac\u2122\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b6\u00bb-\u00bf\u02c6\u02dc\u2500-\u259f][^\\W\\d_]")
 
 
 def chain_name(chain: tuple[tuple[str, str], ...]) -> str:
@@ -227,18 +236,35 @@ class _Counts:
         return np.log((1 - SMOOTHING) * out / max(self.weights.sum(), 1) + SMOOTHING / BINS)
 
 
-def _garbled_counts(weighed: dict[str, tuple[list[str], np.ndarray]]) -> dict[tuple[int, str], _Counts]:
-    """By (chain, language): the bigrams of the pieces, with their weights, as the chain shows those that it changes."""
+def _garbled_counts(weighed: dict[str, tuple[list[str], np.ndarray]], usual: np.ndarray) -> dict[tuple[int, str], _Counts]:
+    """By (chain, language): the bigrams of the pieces, with their weights, as the chain shows those that it changes.
+
+    ``usual``: by bin, the log count in all training texts. A garbled text among them gives words that the opposite chain
+    shows as usual ones; these would make a class of correct text, so they are left out.
+    """
     out = {}
     for lang, (pieces, weights) in weighed.items():
+        own = _usualness(pieces, usual)
         for k, chain in enumerate(CHAINS):
             bad = garble_all(pieces, chain)
-            some = [i for i, (p, q) in enumerate(zip(pieces, bad)) if q is not None and p != q]
-            if some:
+            some = np.array([i for i, (p, q) in enumerate(zip(pieces, bad)) if q is not None and p != q], np.int64)
+            some = some[_usualness([bad[i] for i in some], usual) <= own[some] + USUAL]
+            if len(some):
                 out[k, lang] = _weighed([bad[i] for i in some], weights[some])
     return out
 
 
+def _usualness(pieces: list[str], usual: np.ndarray) -> np.ndarray:
+    """By piece: the mean log count of its bigrams beyond ASCII."""
+    if not pieces:
+        return np.zeros(0)
+    encoded = [p.encode("utf-8", "replace").replace(b"\xc2\xa0", b"  ") for p in pieces]
+    bins = _bigrams(b"\n".join(encoded) + b"\n")
+    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in encoded])[:-1]])
+    n = np.add.reduceat((bins >= 0).astype(np.int64), starts)
+    return np.add.reduceat(np.where(bins >= 0, usual[bins], 0.0), starts) / np.maximum(n, 1)
+
+
 def _weighed(pieces: list[str], weights: np.ndarray) -> _Counts:
     """The bigrams beyond ASCII of all pieces, each with the weight of its piece."""
     encoded = [p.encode("utf-8", "replace").replace(b"\xc2\xa0", b"  ") for p in pieces]
@@ -285,7 +311,7 @@ class Classifier:
 
     def __getstate__(self) -> dict:
         """Without what is kept of chunks met: workers fill their own."""
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_") and k not in ("weighed", "garbled")}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_") and k not in ("weighed", "garbled", "usual")}
 
     @classmethod
     def train(cls, texts: list[tuple[str, str]]) -> Classifier:
@@ -314,10 +340,15 @@ class Classifier:
         weighed = {lang: (list(words), 1 + np.log(np.fromiter(words.values(), float, len(words)))) for lang, words in met.items()}
         intact = {lang: _weighed(*x) for lang, x in weighed.items()}
         if first is None:
-            garbled = _garbled_counts(weighed)
+            usual = np.zeros(BINS)
+            for c in intact.values():
+                usual[c.bins] += c.weights
+            usual = np.log1p(usual)
+            garbled = _garbled_counts(weighed, usual)
         else:
             others = {lang: [i for i, p in enumerate(pieces) if p not in met.get(lang, ())] for lang, (pieces, _) in first.weighed.items()}
-            less = _garbled_counts({lang: ([first.weighed[lang][0][i] for i in at], first.weighed[lang][1][at]) for lang, at in others.items() if at})
+            usual = first.usual
+            less = _garbled_counts({lang: ([first.weighed[lang][0][i] for i in at], first.weighed[lang][1][at]) for lang, at in others.items() if at}, usual)
             garbled = {x: c.minus(less[x]) if x in less else c for x, c in first.garbled.items()}
         kept = [x for x in sorted(garbled) if garbled[x].weights.sum() >= LEAST_BIGRAMS]
         seen = np.unique(np.concatenate([np.zeros(0, np.int64), *[c.bins for c in intact.values()], *[garbled[x].bins for x in kept]]))
@@ -333,7 +364,8 @@ class Classifier:
         odds[0] = 0
         limits = np.array([FOUND if CHAINS[k][0][0] == "utf-8" else FOUND_BYTES for k, _ in kept])
         model = cls(columns, odds, [(CHAINS[k], lang) for k, lang in kept], logs.astype(np.float32), limits)
-        model.weighed, model.garbled = weighed, garbled
+        model.weighed, model.garbled, model.usual = weighed, garbled, usual
+        model.words = frozenset(p for pieces, _ in weighed.values() for x in pieces for p in _WORD.findall(x.lower()))
         return model
 
     def may_hold(self, texts: list[str]) -> np.ndarray:
@@ -528,7 +560,12 @@ class Classifier:
                 return None
         elif restored is None or garble(restored, chain) != passage:
             return None
-        return restored if restored != passage and self._better(before + passage + after, before + restored + after) else None
+        return restored if restored != passage and self._better(before + passage + after, before + restored + after) and (chain[0][0] not in _LETTERWISE or self._known(restored)) else None
+
+    def _known(self, restored: str) -> bool:
+        """Whether a word of the restored passage is one of the training texts: where any byte is a letter, rare correct characters give letters too, but no words."""
+        words = _WORD.findall(restored.lower())
+        return not self.words.isdisjoint([w for w in words if not w.isascii()] or words)
 
     def _better(self, passage: str, restored: str) -> bool:
         """Whether the restored passage reads as intact text of one language, and better than the passage does."""
@@ -539,8 +576,10 @@ class Classifier:
 
         if not (_LETTER.search(passage) or _LETTER.search(restored)):  # signs between words are correct unless they hide letters
             return False
-        if restored.count("\ufffd") > passage.count("\ufffd") or len(_MIXED.findall(restored)) > len(_MIXED.findall(passage)):
+        if restored.count("\ufffd") > passage.count("\ufffd") or any(len(p.findall(restored)) > len(p.findall(passage)) for p in (_MIXED, _SPLIT)):
             return False
+        if _IN_PLACE.sub("", passage).isascii() and not self.words.issuperset(w for w in _WORD.findall(restored.lower()) if not w.isascii()):
+            return False  # signs that stand where signs belong hide letters only if these make known words
         return mean(restored) > mean(passage) + GAIN
 
 

@@ -63,3 +63,22 @@ def test_every_passage_is_restored_and_bounds_lose_nothing(spark):
 def test_sample_of_very_many_texts_is_not_empty(spark):
     docs = spark.createDataFrame([(i, f"é{i}", "fr") for i in range(5000)], "doc_id bigint, text string, lang string")
     assert len(mojibake.sample_texts(docs, n=5)) == 5
+
+
+def test_garbled_training_texts_make_no_class_of_correct_text(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    sample = [x for x in mojibake.sample_texts(docs) if garble.surely_intact(x[0])]
+    chains = ((("cp1251", "cp1252"),), (("cp1251", "latin-1"),), (("gbk", "cp1252"),))
+    bad = [(b, lang) for t, lang in sample for chain in chains if lang in ("ru", "zh") and (b := garble.garble(t, chain)) and b != t and garble.surely_intact(b)]
+    model = garble.Classifier.train(sample + bad[:8])
+    texts = [t for t, lang in sample if lang in ("ru", "zh")]
+    assert sum(model.find(t) is not None for t in texts) <= 0.02 * len(texts)
+
+
+def test_signs_in_their_places_are_correct(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    sample = [x for x in mojibake.sample_texts(docs) if garble.surely_intact(x[0])]
+    model = garble.Classifier.train([x for x in sample if "n’t" not in x[0] and "—" not in x[0]])
+    for text in ("Before we vote, I won’t help Player 3 push that vote.", "He sounds like a Villager — which fits a pack of 4.", "GROẞ ÄÖÜ ÅÆØ NÃO SÃO Ângulo"):
+        assert model.find(text) is None, text
+    assert model.find(garble.garble(FRENCH, (("cp1252", "mac-roman"),)))[1] == FRENCH
