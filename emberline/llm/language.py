@@ -12,6 +12,8 @@ import numpy as np
 from emberline.llm.answers import END_MARKS, read_end
 
 BINS = 1 << 16
+#: Texts from which a language has a model.
+LEAST_TEXTS = 5
 #: Lines whose scores a worker keeps.
 MEMO_LINES = 50_000
 #: Characters of a block of texts that are scored at once.
@@ -42,7 +44,13 @@ class LanguageModel:
     logs: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[tuple[str, str]], least: int = 5) -> LanguageModel:
+    def of_counts(cls, languages: list[str], counts: list[np.ndarray]) -> LanguageModel:
+        """From the counts of the bins in each language."""
+        logs = [np.log((c + 0.05) / (c.sum() + 0.05 * BINS)) for c in counts]
+        return cls(languages, np.stack(logs, axis=1).astype(np.float32) if logs else np.zeros((BINS, 0), np.float32))
+
+    @classmethod
+    def fit(cls, texts: list[tuple[str, str]], least: int = LEAST_TEXTS) -> LanguageModel:
         """``texts``: (text, language). Languages with fewer than ``least`` texts are left out."""
         n = Counter(lang for _, lang in texts)
         languages = sorted(lang for lang in n if n[lang] >= least)
@@ -51,8 +59,7 @@ class LanguageModel:
             if lang in counts:
                 for bins in grams(normal(text)):
                     counts[lang] += np.bincount(bins, minlength=BINS)
-        logs = [np.log((c + 0.05) / (c.sum() + 0.05 * BINS)) for c in counts.values()]
-        return cls(languages, np.stack(logs, axis=1).astype(np.float32) if logs else np.zeros((BINS, 0), np.float32))
+        return cls.of_counts(languages, list(counts.values()))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log likelihood of each text in each language: equal priors, so differences are log posterior odds.

@@ -25,15 +25,16 @@ def _pairs(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     return traces.unionByName(kto)
 
 
-def _labelled_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "kto_dataset").select(F.array_join(cutoff.completion_texts(F.col("prompt")), "\n").alias("text"), "lang")
+def _labelled_prompts(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    rows = table(spark, sf_dir, "kto_dataset").select("sample_id", "prompt", "lang")
+    return (spread(rows, "sample_id") if deal else rows).select(F.array_join(cutoff.completion_texts(F.col("prompt")), "\n").alias("text"), "lang")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The defective pairs with their defects. Rows are judged where they are read; only keys and defects are shuffled."""
-    rows = _pairs(spark, sf_dir)
-    model = pairs.PairModel.fit(pairs.sample_prompts(_labelled_prompts(spark, sf_dir)), pairs.sample_pairs(rows))
-    return pairs.find_defects(_pairs(spark, sf_dir, deal=True), model, ["tab", "row_id"]).distinct()
+    dealt = _pairs(spark, sf_dir, deal=True)
+    model = pairs.PairModel.fit([], pairs.sample_pairs(_pairs(spark, sf_dir)), pairs.count_pairs(dealt, _labelled_prompts(spark, sf_dir, deal=True)))
+    return pairs.find_defects(dealt, model, ["tab", "row_id"]).distinct()
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
