@@ -9,15 +9,19 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from emberline.llm.answers import END_MARKS, read_end
+from emberline.llm.answers import END_MARKS, End, read_end
 
 BINS = 1 << 16
 #: Texts from which a language has a model.
 LEAST_TEXTS = 5
 #: Lines whose scores a worker keeps.
 MEMO_LINES = 50_000
-#: Characters of a block of texts that are scored at once.
-BLOCK_CHARS = 30_000
+#: Characters of a block of texts that are scored at once, and of one whose ends are counted at once.
+BLOCK_CHARS, END_BLOCK_CHARS = 30_000, 100_000
+#: Occurrences from which a suffix speaks on the end of a text.
+LEAST_MET = 3
+#: Between two texts, so that no suffix of a tail reaches over it: a code point that stands for no character.
+_BETWEEN = "\n\uffff\n"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -133,14 +137,30 @@ class EndModel:
                 del out[k]
             yield n, x
 
+    @staticmethod
+    def _places(t: str) -> tuple[np.ndarray, np.ndarray]:
+        """The places behind which a text goes on or ends, and whether it ends there; ``t`` ends with a line's end."""
+        ends = np.array([ord(c) for c in END_MARKS + "\n"], np.uint32)
+        is_end = np.isin(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32), ends)
+        at = np.flatnonzero(~is_end[:-1])
+        return at, is_end[at + 1]
+
+    @staticmethod
+    def _odds(closing: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.log((closing + 0.1) / (size - closing + 0.1))
+
     @classmethod
-    def fit(cls, texts: list[str], least: int = 3) -> EndModel:
+    def of_counts(cls, keys: np.ndarray, closing: np.ndarray, size: np.ndarray, least: int = LEAST_MET) -> EndModel:
+        """From the hashes of suffixes, how often each was met and how often it closed."""
+        order = np.argsort(keys)
+        order = order[size[order] >= least]
+        return cls(keys[order], cls._odds(closing[order], size[order]).astype(np.float32))
+
+    @classmethod
+    def fit(cls, texts: list[str], least: int = LEAST_MET) -> EndModel:
         """On running texts and other texts whose lines are complete; an end is a mark, a line's end or the end of a text."""
         t = "\n" + "\n".join(_DIGITS.sub("9", x) for x in texts) + "\n"
-        ends = np.array([ord(c) for c in END_MARKS + "\n"], np.uint32)
-        is_end = np.isin(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32), ends)
-        at = np.flatnonzero(~is_end[:-1])  # places behind which a text goes on or ends
-        closes = is_end[at + 1]
+        at, closes = cls._places(t)
         keys, odds = [np.zeros(0, np.uint64)], [np.zeros(0)]
         for n, h in cls._hashes(t):
             here = at >= n - 1
@@ -152,7 +172,7 @@ class EndModel:
             closing = np.add.reduceat((met & np.uint64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
             often = size >= least
             keys.append(suffix[first[often]])
-            odds.append(np.log((closing[often] + 0.1) / (size[often] - closing[often] + 0.1)))
+            odds.append(cls._odds(closing[often], size[often]))
         keys, odds = np.concatenate(keys), np.concatenate(odds)
         order = np.argsort(keys)
         return cls(keys[order], odds[order].astype(np.float32))
@@ -161,18 +181,98 @@ class EndModel:
         """Positive: a complete text; negative: one that stops inside a sentence."""
         return float(self.complete_all([text])[0])
 
+    @classmethod
+    def tail(cls, end: End) -> str:
+        """What of an end without mark is looked up."""
+        return _DIGITS.sub("9", end.core[-2 * cls.LONGEST - 40 :])[-cls.LONGEST :]
+
     def complete_all(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), 9.0)
         ends = [read_end(t) for t in texts]
-        for i, end in enumerate(ends):
-            if end.mark:
-                continue
-            out[i] = -1.0
-            tail = _DIGITS.sub("9", end.core[-2 * self.LONGEST - 40 :])[-self.LONGEST :]
-            wanted = np.array([h[-1] for _, h in self._hashes(tail)][::-1], np.uint64) & ~np.uint64(1)
+        open_ = [i for i, end in enumerate(ends) if not end.mark]
+        out[open_] = self.tail_odds([self.tail(ends[i]) for i in open_])
+        return out
+
+    def tail_odds(self, tails: list[str]) -> np.ndarray:
+        out = np.full(len(tails), -1.0)
+        for i, tail in enumerate(tails):
+            wanted = np.array([h[-1] for _, h in self._hashes(tail) if len(h)][::-1], np.uint64) & ~np.uint64(1)
             if len(wanted) and len(self.keys):
                 place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
                 hit = np.flatnonzero(self.keys[place] == wanted)
                 if len(hit):
                     out[i] = self.odds[place[hit[0]]]
         return out
+
+
+class _Keys:
+    """The places of sorted distinct hashes, found without a search: what shares its slot with others is in a further table."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.tables = keys, []
+        self.shift = np.uint64(64 - max(4, len(keys).bit_length() + 1))
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            factor = np.array((0x9E3779B97F4A7C15 * (2 * len(self.tables) + 1)) % 2**64, np.uint64)
+            slots = (keys[left] * factor) >> self.shift
+            table = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+            table[slots] = left
+            self.tables.append((factor, table))
+            left = left[table[slots] != left]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is none of the keys."""
+        out = np.full(len(hashes), -1, np.int32)
+        left = np.arange(len(hashes))
+        for factor, table in self.tables:
+            here = hashes[left]
+            at = table[(here * factor) >> self.shift]
+            hit = (at >= 0) & (self.keys[at] == here)
+            out[left[hit]] = at[hit]
+            left = left[~hit & (at >= 0)]  # a slot that is free here is free in all tables
+            if not len(left):
+                break
+        return out
+
+
+class EndCounts:
+    """How often the suffixes of given tails are met in texts, and how often they close them. The counts of parts add up.
+
+    Only what will be looked up is counted, exactly, so a corpus of any size needs no more room than the tails.
+    """
+
+    def __init__(self, tails: list[str]) -> None:
+        sizes = np.array([len(x) for x in tails], np.int64)
+        last = np.cumsum(sizes) - 1
+        self.keys = {n: _Keys(np.unique(h[last[sizes >= n] - (n - 1)] & ~np.uint64(1))) for n, h in EndModel._hashes("".join(tails))}
+        self.size = {n: np.zeros(len(k.keys), np.int64) for n, k in self.keys.items()}
+        self.closing = {n: np.zeros(len(k.keys), np.int64) for n, k in self.keys.items()}
+        self.block, self.chars = [], 0
+
+    def put(self, texts: list[str]) -> None:
+        """Count the texts, as soon as a block of them is met."""
+        self.block += texts
+        self.chars += sum(map(len, texts))
+        if self.chars >= END_BLOCK_CHARS:
+            self._count()
+
+    def _count(self) -> None:
+        t = "\n" + _DIGITS.sub("9", _BETWEEN.join(self.block)) + "\n"
+        self.block, self.chars = [], 0
+        at, closes = EndModel._places(t)
+        for n, h in EndModel._hashes(t):
+            if n not in self.keys:
+                break
+            here = at >= n - 1
+            at, closes = at[here], closes[here]
+            place = self.keys[n].find(h[at - (n - 1)] & ~np.uint64(1))
+            hit = place >= 0  # a suffix that no tail has is no part of a longer one that a tail has
+            at, closes, place = at[hit], closes[hit], place[hit]
+            np.add.at(self.size[n], place, 1)
+            np.add.at(self.closing[n], place[closes], 1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, closing, size) of the suffixes that were met."""
+        self._count()
+        parts = [(k.keys[met], self.closing[n][met], self.size[n][met]) for n, k in self.keys.items() for met in [self.size[n] > 0]]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -33,8 +33,8 @@ def _labelled_prompts(spark: SparkSession, sf_dir: str, deal: bool = False) -> D
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The defective pairs with their defects. Rows are judged where they are read; only keys and defects are shuffled."""
     dealt = _pairs(spark, sf_dir, deal=True)
-    model = pairs.PairModel.fit([], pairs.sample_pairs(_pairs(spark, sf_dir)), pairs.count_pairs(dealt, _labelled_prompts(spark, sf_dir, deal=True)))
-    return pairs.find_defects(dealt, model, ["tab", "row_id"]).distinct()
+    model = pairs.PairModel.fit([], [], pairs.count_pairs(dealt, _labelled_prompts(spark, sf_dir, deal=True)))
+    return pairs.find_all_defects(dealt, model, ["tab", "row_id"]).distinct()
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
