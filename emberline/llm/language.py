@@ -6,6 +6,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import islice
 
 import numpy as np
 
@@ -14,8 +16,8 @@ from emberline.llm.answers import END_MARKS, End, read_end
 BINS = 1 << 16
 #: Texts from which a language has a model.
 LEAST_TEXTS = 5
-#: Lines whose scores a worker keeps.
-MEMO_LINES = 50_000
+#: Lines or pieces of lines of which a worker keeps what it found.
+MEMO_LINES = 200_000
 #: Characters of a block of texts that are scored at once, and of one whose ends are counted at once.
 BLOCK_CHARS, END_BLOCK_CHARS = 30_000, 100_000
 #: Occurrences from which a suffix speaks on the end of a text.
@@ -26,20 +28,70 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+@cache
+def _letters() -> np.ndarray:
+    """By code point: whether it is a letter."""
+    out = np.zeros(0x110000, bool)
+    for run in re.finditer(r"[^\W\d_]+", "".join(map(chr, range(0x110000)))):
+        out[run.start() : run.end()] = True
+    return out
+
+
 def normal(text: str) -> str:
     """The letters of a text, words apart."""
     return " " + _NOT_LETTERS.sub(" ", text.lower()) + " "
 
 
-def grams(t: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins of the n-grams, n = 1, 2, 3, that begin at each place of a normal text. Products wrap around; the high bits are the bin."""
-    p = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
+def normal_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the normal texts one behind the other, and where each begins."""
+    low = [" " + x.lower() + " " for x in texts]
+    p = code_points("".join(low))
+    sizes = np.array([len(x) for x in low], np.int64)
+    last = np.cumsum(sizes) - 1
+    edge = np.zeros(len(p), bool)
+    edge[last] = edge[last - sizes + 1] = True
+    between = ~_letters()[p]
+    kept = ~between | edge
+    kept[1:] |= ~(between & ~edge)[:-1]  # the first sign of a run stands for it
+    begins = np.cumsum(kept)[last - sizes + 1] - 1
+    return np.where(between, np.uint32(32), p)[kept], begins
+
+
+def point_grams(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins of the n-grams, n = 1, 2, 3, that begin at each place. Products wrap around; the high bits are the bin."""
     one = p * np.uint32(2654435761)
     two = p[:-1] * np.uint32(2246822519) + p[1:] * np.uint32(3266489917)
     three = two[:-1] * np.uint32(668265263) + p[2:] * np.uint32(374761393)
     return one >> np.uint32(16), two >> np.uint32(16), three >> np.uint32(16)
 
 
+def grams(t: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a normal text."""
+    return point_grams(code_points(t))
+
+
+def words_of(line: str) -> str:
+    """The letters of a line, words apart; a blank at either end stands for signs there."""
+    return _NOT_LETTERS.sub(" ", line.lower())
+
+
+def pieces(words: list[str]) -> list[str]:
+    """The normal text of lines, given their ``words_of``, in pieces, each but the last with the two characters that follow it.
+
+    So every n-gram begins in one piece and lies in it; pieces recur where lines do. Only the last one ends with a blank.
+    """
+    out = [" " + x for w in words if (x := w.strip(" "))]
+    if not out:
+        return ["   " if any(words) else "  "]
+    if words[0][:1] == " ":
+        out[0] = " " + out[0]
+    return [x + y[:2] for x, y in zip(out, [*out[1:], "  " if words[-1][-1:] == " " else " "])]
+
+
 @dataclass
 class LanguageModel:
     """``logs[b, l]``: log probability of bin b in language l."""
@@ -75,30 +127,44 @@ class LanguageModel:
         while first < len(texts):
             block, size = [], 0
             while first + len(block) < len(texts) and (not block or size < BLOCK_CHARS):
-                block.append(normal(texts[first + len(block)]))
+                block.append(texts[first + len(block)])
                 size += len(block[-1])
-            starts = np.concatenate([[0], np.cumsum([len(t) for t in block])[:-1]])
-            for n, bins in enumerate(grams("".join(block))):
-                rows = self.logs[bins]
+            points, starts = normal_points(block)
+            total = np.zeros((len(points), len(self.languages)), np.float32)
+            for n, bins in enumerate(point_grams(points)):
+                rows = np.take(self.logs, bins, axis=0)
                 for back in range(1, n + 1):
                     rows[starts[1:] - back] = 0
-                if len(rows):
-                    out[first : first + len(block)] += np.add.reduceat(rows, np.minimum(starts, len(rows) - 1), axis=0, dtype=np.float64)
+                total[: len(rows)] += rows
+            out[first : first + len(block)] = np.add.reduceat(total, starts, axis=0, dtype=np.float64)
             first += len(block)
         return out
 
-    def line_scores(self, lines: list[str]) -> np.ndarray:
-        """The same summed over lines; lines met before aren't scored again."""
-        memo = self.__dict__.setdefault("_memo", {})
-        if len(memo) > MEMO_LINES:
-            memo.clear()
-        total = np.zeros(len(self.languages))
-        new = [x for x in dict.fromkeys(lines) if x not in memo]
-        if new:
-            memo.update(zip(new, self.scores(new)))
-        for line in lines:
-            total = total + memo[line]
-        return total
+    def piece_scores(self, texts: list[list[str]]) -> np.ndarray:
+        """The same of texts in pieces; pieces met before aren't scored again."""
+        if len(self.__dict__.setdefault("_memo", {})) > MEMO_LINES or not self._memo:
+            self._memo, self._rows = {}, np.zeros((0, len(self.languages)))
+        if not texts:
+            return np.zeros((0, len(self.languages)))
+        new = [x for x in dict.fromkeys(x for t in texts for x in t) if x not in self._memo]
+        for last in (False, True):
+            of = [x for x in new if (x[-1] == " ") == last]
+            self._memo.update(zip(of, range(len(self._memo), len(self._memo) + len(of))))
+            self._rows = np.concatenate([self._rows, *(self._piece_rows(of[at : at + 500], last) for at in range(0, len(of), 500))])
+        met = np.array([self._memo[x] for t in texts for x in t])
+        return np.add.reduceat(self._rows[met], np.cumsum([0, *map(len, texts)])[:-1], axis=0)
+
+    def _piece_rows(self, block: list[str], last: bool) -> np.ndarray:
+        ends = np.cumsum([len(x) for x in block])
+        t = "".join(block)
+        total = np.zeros((len(t), len(self.languages)), np.float32)
+        for n, bins in enumerate(grams(t)):
+            rows = np.take(self.logs, bins, axis=0)
+            for back in range(1, (n if last else 2) + 1):
+                cut = ends - back
+                rows[cut[cut < len(rows)]] = 0
+            total[: len(rows)] += rows
+        return np.add.reduceat(total, np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.float64)
 
     def best(self, text: str) -> str | None:
         return self.languages[int(np.argmax(self.scores([text])[0]))] if self.languages else None
@@ -116,6 +182,8 @@ class EndModel:
     odds: np.ndarray
 
     LONGEST = 24
+    #: Sizes of suffixes, and those of which each is put together: the a characters before the b last ones.
+    PARTS = {2: (1, 1), 3: (1, 2), 4: (2, 2), 5: (1, 4), 7: (3, 4), 9: (4, 5), 12: (5, 7), 16: (7, 9), 24: (12, 12)}
 
     @staticmethod
     def _hashes(t: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,24 +192,38 @@ class EndModel:
         p = (p + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         out = {1: p ^ (p >> np.uint64(29))}
         yield 1, out[1]
-        # the a characters before the b last ones; arrays that no longer size needs are let go
-        for n, a, b, done in ((2, 1, 1, ()), (3, 1, 2, ()), (4, 2, 2, (2,)), (5, 1, 4, (1,)), (7, 3, 4, (3,)), (9, 4, 5, (4,)), (12, 5, 7, (5,)), (16, 7, 9, (7, 9)), (24, 12, 12, (12,))):
+        # arrays that no longer size needs are let go
+        for n, done in ((2, ()), (3, ()), (4, (2,)), (5, (1,)), (7, (3,)), (9, (4,)), (12, (5,)), (16, (7, 9)), (24, (12,))):
+            a, b = EndModel.PARTS[n]
             size = len(t) - n + 1
             if size <= 0:
                 return
-            x = out[a][:size] * np.uint64(0xBF58476D1CE4E5B9)
-            x += out[b][len(out[b]) - size :] * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            out[n] = x
+            out[n] = x = EndModel._joined(out[a][:size], out[b][len(out[b]) - size :])
             for k in done:
                 del out[k]
             yield n, x
 
+    @staticmethod
+    def _joined(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        x = before * np.uint64(0xBF58476D1CE4E5B9)
+        x += last * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
+
+    @classmethod
+    def _hash_at(cls, n: int, start: np.ndarray, whole: dict[int, np.ndarray]) -> np.ndarray:
+        """Hashes of the n characters from each start on, given those of short suffixes at every place."""
+        if n in whole:
+            return whole[n][start]
+        a, b = cls.PARTS[n]
+        return cls._joined(cls._hash_at(a, start, whole), cls._hash_at(b, start + a, whole))
+
     @staticmethod
     def _places(t: str) -> tuple[np.ndarray, np.ndarray]:
         """The places behind which a text goes on or ends, and whether it ends there; ``t`` ends with a line's end."""
-        ends = np.array([ord(c) for c in END_MARKS + "\n"], np.uint32)
-        is_end = np.isin(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32), ends)
+        is_end = np.zeros(0x110000, bool)
+        is_end[[ord(c) for c in END_MARKS + "\n"]] = True
+        is_end = is_end[code_points(t)]
         at = np.flatnonzero(~is_end[:-1])
         return at, is_end[at + 1]
 
@@ -210,7 +292,7 @@ class _Keys:
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys, self.tables = keys, []
-        self.shift = np.uint64(64 - max(4, len(keys).bit_length() + 1))
+        self.shift = np.uint64(64 - max(12, len(keys).bit_length() + 1))
         left = np.arange(len(keys), dtype=np.int32)
         while len(left):
             factor = np.array((0x9E3779B97F4A7C15 * (2 * len(self.tables) + 1)) % 2**64, np.uint64)
@@ -222,14 +304,19 @@ class _Keys:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 where it is none of the keys."""
-        out = np.full(len(hashes), -1, np.int32)
-        left = np.arange(len(hashes))
+        if not self.tables:
+            return np.full(len(hashes), -1, np.int32)
+        out, left = None, None
         for factor, table in self.tables:
-            here = hashes[left]
+            here = hashes if left is None else hashes[left]
             at = table[(here * factor) >> self.shift]
-            hit = (at >= 0) & (self.keys[at] == here)
-            out[left[hit]] = at[hit]
-            left = left[~hit & (at >= 0)]  # a slot that is free here is free in all tables
+            miss = np.flatnonzero(self.keys[at] != here)  # a slot that is free here is free in all tables
+            others = miss[at[miss] >= 0]
+            at[miss] = -1
+            if left is None:
+                out, left = at, others
+            else:
+                out[left], left = at, left[others]
             if not len(left):
                 break
         return out
@@ -260,13 +347,15 @@ class EndCounts:
         t = "\n" + _DIGITS.sub("9", _BETWEEN.join(self.block)) + "\n"
         self.block, self.chars = [], 0
         at, closes = EndModel._places(t)
-        for n, h in EndModel._hashes(t):
-            if n not in self.keys:
+        whole = dict(islice(EndModel._hashes(t), 5))
+        for n, keys in self.keys.items():
+            if at.size and at[0] < n - 1:
+                here = at >= n - 1
+                at, closes = at[here], closes[here]
+            if not at.size:
                 break
-            here = at >= n - 1
-            at, closes = at[here], closes[here]
-            place = self.keys[n].find(h[at - (n - 1)] & ~np.uint64(1))
-            hit = place >= 0  # a suffix that no tail has is no part of a longer one that a tail has
+            place = keys.find(EndModel._hash_at(n, at - (n - 1), whole) & ~np.uint64(1))
+            hit = np.flatnonzero(place >= 0)  # a suffix that no tail has is no part of a longer one that a tail has
             at, closes, place = at[hit], closes[hit], place[hit]
             np.add.at(self.size[n], place, 1)
             np.add.at(self.closing[n], place[closes], 1)
